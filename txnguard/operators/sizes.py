@@ -1,0 +1,18 @@
+"""Broadcast only what was counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond the bound."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint when it is small; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, max_rows) else df
