@@ -38,7 +38,10 @@ def _blank_to_null(text: Column) -> Column:
 
 
 def _parsed(value: Column, ddl: str) -> Column:
-    return F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    """The record as a one-row generator: a filter on the result cannot be pushed below it, which would repeat the
+    parse for every field the filter mentions."""
+    parsed = F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.explode_outer(F.array(parsed))
 
 
 def _unknown_fields(value: Column, allowed: Sequence[str]) -> Column:

@@ -57,5 +57,5 @@ TX_SQL = """tx AS (
          ['VN','US','SG','JP','GB','DE','FR','AU','TH','MY'][
            CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 10 + 1] AS country,
          CASE WHEN event_type = 'error' THEN 'FRAUD' ELSE 'SUCCESS' END AS status,
-         ts AS event_time, epoch_ms(ts) AS event_ms, value / 500 AS score
+         ts AS event_time, epoch_us(ts) // 1000 AS event_ms, value / 500 AS score
   FROM events)"""
