@@ -158,10 +158,3 @@ def counter_increase(
     step = step.otherwise(F.col(value) - F.col("_before"))
     rows = rows.withColumns({"window_ms": chunk * window_ms, "_step": step})
     return rows.groupBy(series, "window_ms").agg(F.sum("_step").alias("increase"))
-
-
-def model_info(registry: DataFrame, active: DataFrame) -> DataFrame:
-    """The active version with its quality; ``unknown`` when the registry does not list it."""
-    return active.join(registry.select("version", "auroc"), "version", "left").select(
-        "version", F.coalesce(F.col("auroc").cast("string"), F.lit("unknown")).alias("auroc")
-    )
