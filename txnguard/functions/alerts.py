@@ -66,20 +66,30 @@ def _by_rule(df: DataFrame, rule: PatternRule, description: Column, trigger: Seq
     return to_alert(df, F.lit(rule.rule_id), F.lit(rule.name), F.lit(rule.severity), description, trigger)
 
 
-def rapid_small_alerts(matches: DataFrame, rule: PatternRule) -> DataFrame:
+def rapid_small_text(rule: PatternRule) -> Column:
     text = f"{rule.times} transactions under {plain(rule.high)} EUR within {rule.window_s}s on card "
-    return _by_rule(matches, rule, F.concat(F.lit(text), "card_number"), ("first_id", "id"))
+    return F.concat(F.lit(text), "card_number")
 
 
-def midrange_alerts(matches: DataFrame, rule: PatternRule) -> DataFrame:
+def midrange_text(rule: PatternRule) -> Column:
     span = f"between {plain(rule.low)}-{plain(rule.high)}" if rule.high is not None else f"from {plain(rule.low)}"
-    text = f"{rule.times} transactions {span} EUR within {rule.window_s}s on card "
-    return _by_rule(matches, rule, F.concat(F.lit(text), "card_number"), ("first_id", "id"))
+    return F.concat(F.lit(f"{rule.times} transactions {span} EUR within {rule.window_s}s on card "), "card_number")
+
+
+def fail_success_text(rule: PatternRule) -> Column:
+    return F.concat(F.lit(f"{rule.times} fraud attempts followed by success for "), "user_id")
+
+
+def rapid_small_alerts(matches: DataFrame, rule: PatternRule) -> DataFrame:
+    return _by_rule(matches, rule, rapid_small_text(rule), ("first_id", "id"))
+
+
+def midrange_alerts(matches: DataFrame, rule: PatternRule) -> DataFrame:
+    return _by_rule(matches, rule, midrange_text(rule), ("first_id", "id"))
 
 
 def fail_success_alerts(matches: DataFrame, rule: PatternRule) -> DataFrame:
-    text = f"{rule.times} fraud attempts followed by success for "
-    return _by_rule(matches, rule, F.concat(F.lit(text), "user_id"), ("first_id", "id"))
+    return _by_rule(matches, rule, fail_success_text(rule), ("first_id", "id"))
 
 
 def new_country_text() -> Column:

@@ -19,9 +19,12 @@ LINEAR_SCALE = {"Amount": (100.0, 60.0), "Time": (1000.0, 500.0)}
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows from the embeddings: the first 28 numbers, an amount and a time, and class = label 0."""
-    e = table(spark, d, "embeddings")
+    return cards_of(table(spark, d, "embeddings"))
+
+
+def cards_of(embeddings: DataFrame) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
-    return e.select(
+    return embeddings.select(
         F.col("vec_id").cast("string").alias("id"),
         "vec_id",
         (F.col("label") == 0).cast("int").alias("Class"),
