@@ -20,6 +20,7 @@ from txnguard.streaming.processors import (
 
 # Five seconds of disorder; one more millisecond because rows at the watermark itself count as late.
 DELAY = "5001 milliseconds"
+SLOTS_PER_PARTITION = 8
 RULE_TABLE = (
     "rule_id string, rule_name string, enabled boolean, threshold_amount double, threshold_amount_high double, "
     "window_seconds int, min_occurrences int, severity string, rule_ts timestamp, rule_seq long"
@@ -57,6 +58,12 @@ def user_stages(rules: dict[str, P.PatternRule]) -> list[tuple[P.PatternRule, li
     return [(rule, [(P.is_failed(), rule.times), (P.is_success(), 1)])]
 
 
+def slot_of(keys: list[str], spark: SparkSession, slots: int | None) -> Column:
+    """Hash slot of a key. The number must stay the same for the life of a checkpoint."""
+    n = slots or SLOTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(*keys), F.lit(n))
+
+
 def sequence_stream(
     txns: DataFrame,
     key: str,
@@ -64,11 +71,13 @@ def sequence_stream(
     delay: str = DELAY,
     chunk_ms: int | None = None,
     report_late: bool = False,
+    slots: int | None = None,
 ) -> DataFrame:
     """Matches of several patterns of one key, with one shuffle and one state operator.
 
-    Stage tests become bits before the shuffle and rows that fit nothing are dropped there. State is kept per key
-    and time chunk, so a busy key is spread over chunks when a backlog is read, and its state ends with the chunk.
+    Stage tests become bits before the shuffle and rows that fit nothing are dropped there. State is kept per hash
+    slot of the key and time chunk: a busy key is spread over chunks when a backlog is read, and state ends with its
+    chunk. ``slots`` (default: eight per state partition) sets how many keys share one state.
     """
     sequences, fits, bit = [], F.lit(0).cast("long"), 0
     for rule, stages in patterns:
@@ -84,8 +93,8 @@ def sequence_stream(
         "event_time", "event_ms", "arrival", "id", "user_id", "card_number", F.col("amount").cast("double").alias("amount"), "fits"
     )
     rows, chunk_ms = spread_chunks(rows, "event_ms", within, chunk_ms or within * CHUNK_WINDOWS)
-    keyed = rows.withColumn("_key", F.col(key)).groupBy("_key", "chunk")
-    return keyed.transformWithStateInPandas(
+    rows = rows.withColumn("key", F.col(key)).withColumn("slot", slot_of([key], txns.sparkSession, slots))
+    return rows.groupBy("slot", "chunk").transformWithStateInPandas(
         SequenceProcessor(sequences, chunk_ms, report_late), MATCH_SCHEMA, "Append", "EventTime"
     )
 
@@ -108,7 +117,7 @@ def sequence_alerts(matches: DataFrame, rules: dict[str, P.PatternRule]) -> Data
 # --- new country ---------------------------------------------------------------------------------------------------
 
 
-def first_seen_stream(txns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def first_seen_stream(txns: DataFrame, ttl_ms: int | None = None, slots: int | None = None) -> DataFrame:
     """The first row of each user in each country, in arrival order. No watermark: late rows count too.
 
     Each input task passes on one row per pair and Arrow batch, so a busy user does not flood one task.
@@ -116,8 +125,9 @@ def first_seen_stream(txns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     rows = txns.filter(F.col("user_id").isNotNull() & F.col("country").isNotNull())
     rows = rows.select(*[F.col(c).cast("double").alias(c) if c == "amount" else F.col(c) for c in SEEN_COLUMNS])
     reduced = rows.mapInPandas(first_per_batch, SEEN_SCHEMA)
+    reduced = reduced.withColumn("slot", slot_of(["user_id", "country"], txns.sparkSession, slots))
     mode = "ProcessingTime" if ttl_ms else "None"
-    return reduced.groupBy("user_id", "country").transformWithStateInPandas(
+    return reduced.groupBy("slot").transformWithStateInPandas(
         FirstSeenProcessor(ttl_ms), SEEN_SCHEMA, "Append", mode
     )
 

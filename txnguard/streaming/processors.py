@@ -1,19 +1,24 @@
-"""State per key for streams. Rows reach these only after everything expressible as columns has been done."""
+"""State for streams. Rows reach these only after everything expressible as columns has been done.
+
+State is kept per *slot*, a hash bucket of many keys, so that a micro-batch costs a few state calls and a few
+vector operations per slot, not per card. The number of slots is a setting: more slots mean smaller states.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 MATCH_SCHEMA = (
     "kind string, pattern_id string, first_id string, id string, user_id string, card_number string, amount double, "
     "event_ms long, arrival long"
 )
-PENDING = "event_ms long, arrival long, id string, user_id string, card_number string, amount double, fits long"
-RUN = "pattern int, stage int, taken int, first_ms long, first_id string"
+ROW_COLUMNS = ["key", "event_ms", "arrival", "id", "user_id", "card_number", "amount", "fits"]
 
 
 @dataclass(frozen=True)
@@ -25,11 +30,49 @@ class Sequence:
     within_ms: int
 
 
+def _pack(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(blob: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(blob).read_pandas()
+
+
+def next_fit(fit: np.ndarray, key_end: np.ndarray) -> np.ndarray:
+    """For each row the index of the next later row of its key that fits, or -1. Rows are grouped by key."""
+    n = len(fit)
+    at = np.where(fit, np.arange(n), n)
+    upto = np.minimum.accumulate(at[::-1])[::-1]
+    after = np.append(upto[1:], n)
+    return np.where(after <= key_end, after, -1)
+
+
+def find_runs(rows: pd.DataFrame, seq: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, end)`` row indices of every run; ``end`` is -1 while the run is open. Sorted by key and time."""
+    codes = pd.factorize(rows["key"])[0]
+    last_of = np.flatnonzero(np.append(codes[1:] != codes[:-1], True))
+    key_end = last_of[np.searchsorted(last_of, np.arange(len(rows)))]
+    fits = rows["fits"].to_numpy()
+    start = np.flatnonzero(fits >> seq.stages[0][0] & 1)
+    end = start
+    for depth, (bit, times) in enumerate(seq.stages):
+        following = next_fit((fits >> bit & 1).astype(bool), key_end)
+        for _ in range(times - 1 if depth == 0 else times):
+            end = np.where(end >= 0, following[end], -1)
+    return start, end
+
+
 class SequenceProcessor(StatefulProcessor):
-    """Matches sequences in event-time order for one (key, time chunk).
+    """Matches sequences in event-time order for one (slot, time chunk).
 
-    Rows wait until the watermark has passed them, then extend the open runs in order. Rows at or behind the
-    watermark are late: dropped, and reported as ``kind = 'late'`` when asked for.
+    Rows wait until the watermark has passed them. Then all runs are followed at once over the rows kept and the
+    rows now due; a match counts when its last row is newly due. Of the rows gone by, only those from the oldest
+    run still open are kept. Rows at or behind the watermark are late: dropped, and reported as ``kind = 'late'``
+    when asked for.
     """
 
     def __init__(self, sequences: list[Sequence], chunk_ms: int, report_late: bool = False):
@@ -39,81 +82,77 @@ class SequenceProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
-        self.runs = handle.getListState("runs", RUN)
+        self.kept = handle.getValueState("kept", "rows binary")
+        self.inbox = handle.getListState("inbox", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        chunk = key[1]
-        fresh, late = [], []
         for pdf in rows:
-            columns = [pdf[c].tolist() for c in ("event_ms", "arrival", "id", "user_id", "card_number", "amount", "fits")]
-            for row in zip(*columns):
-                (late if row[0] <= watermark else fresh).append(row)
-        if fresh:
-            self.pending.appendList(fresh)
-            self.handle.registerTimer(min(r[0] for r in fresh))
-        if self.report_late:
-            late = [r for r in late if r[0] // self.chunk_ms == chunk]
-            if late:
-                yield self._frame([("late", None, None, r) for r in late])
+            late = pdf["event_ms"] <= watermark
+            fresh = pdf.loc[~late, ROW_COLUMNS]
+            if len(fresh):
+                self.inbox.appendValue((_pack(fresh),))
+                self.handle.registerTimer(int(fresh["event_ms"].min()))
+            if self.report_late and late.any():
+                gone = pdf[late & (pdf["event_ms"] // self.chunk_ms == key[1])]
+                yield self._output(gone, "late", None, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        chunk = key[1]
-        waiting = [tuple(r) for r in self.pending.get()]
-        due = sorted((r for r in waiting if r[0] <= watermark), key=lambda r: (r[0], r[1]))
-        left = [r for r in waiting if r[0] > watermark]
-        runs = [tuple(r) for r in self.runs.get()]
-        found = []
-        for row in due:
-            runs = self._advance(runs, row, chunk, found)
-        runs = [r for r in runs if r[3] + self.sequences[r[0]].within_ms > watermark + 1]
-        # Runs are of no use once the chunk is over: later rows belong to the next chunk.
+        watermark, chunk = timerValues.getCurrentWatermarkInMs(), key[1]
+        parts = [_unpack(blob).assign(done=False) for (blob,) in self.inbox.get()]
+        if self.kept.exists():
+            parts.append(_unpack(self.kept.get()[0]))
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        waiting = rows[rows["event_ms"] > watermark]
+        seen = rows[rows["event_ms"] <= watermark].sort_values(["key", "event_ms", "arrival"], kind="stable", ignore_index=True)
+        needed = np.zeros(len(seen), dtype=bool)
+        ms, done = seen["event_ms"].to_numpy(), seen["done"].to_numpy(dtype=bool)
+        for seq in self.sequences if len(seen) else []:
+            start, end = find_runs(seen, seq)
+            closed = end >= 0
+            s, e = start[closed], end[closed]
+            hit = (ms[e] - ms[s] < seq.within_ms) & ~done[e] & (ms[e] // self.chunk_ms == chunk)
+            if hit.any():
+                yield self._output(seen.iloc[e[hit]], "match", seq.pattern_id, seen["id"].to_numpy()[s[hit]])
+            still_open = start[~closed & (ms[start] + seq.within_ms > watermark + 1)]
+            needed |= self._from_oldest(seen, still_open)
+        # The chunk is over: later rows belong to the next one, which has its own copy of the rows it needs.
         if (chunk + 1) * self.chunk_ms <= watermark + 1:
-            runs = []
-        self._store(self.pending, left, bool(due))
-        self._store(self.runs, runs, True)
-        # Wake up for the next waiting row, else to drop the runs that can no longer finish.
-        wake = [r[0] for r in left] or [r[3] + self.sequences[r[0]].within_ms for r in runs]
-        if wake:
-            self.handle.registerTimer(min(wake))
-        if found:
-            yield self._frame(found)
-
-    def _advance(self, runs: list[tuple], row: tuple, chunk: int, found: list) -> list[tuple]:
-        ms, fits = row[0], row[6]
-        kept = []
-        opened = [(p, 0, 0, ms, row[2]) for p, s in enumerate(self.sequences) if fits >> s.stages[0][0] & 1]
-        for pattern, stage, taken, first_ms, first_id in [*runs, *opened]:
-            seq = self.sequences[pattern]
-            if ms - first_ms >= seq.within_ms:
-                continue
-            bit, times = seq.stages[stage]
-            if fits >> bit & 1:
-                taken += 1
-                if taken == times:
-                    stage, taken = stage + 1, 0
-            if stage < len(seq.stages):
-                kept.append((pattern, stage, taken, first_ms, first_id))
-            elif ms // self.chunk_ms == chunk:
-                found.append(("match", seq.pattern_id, first_id, row))
-        return kept
+            needed[:] = False
+        seen = seen[needed].assign(done=True)
+        self._store(pd.concat([seen, waiting], ignore_index=True) if len(seen) and len(waiting) else seen if len(seen) else waiting)
+        if len(waiting):
+            self.handle.registerTimer(int(waiting["event_ms"].min()))
+        elif len(seen):
+            # Wake up once more to drop what can no longer finish.
+            self.handle.registerTimer(int(seen["event_ms"].max()) + max(s.within_ms for s in self.sequences))
 
     @staticmethod
-    def _store(state, rows: list[tuple], changed: bool) -> None:
-        if not changed:
-            return
-        if rows:
-            state.put(rows)
+    def _from_oldest(rows: pd.DataFrame, starts: np.ndarray) -> np.ndarray:
+        """Rows of a key from its oldest open run on."""
+        if not len(starts):
+            return np.zeros(len(rows), dtype=bool)
+        codes = pd.factorize(rows["key"])[0]
+        oldest = np.full(codes.max() + 1, len(rows))
+        np.minimum.at(oldest, codes[starts], starts)
+        return np.arange(len(rows)) >= oldest[codes]
+
+    def _store(self, rows: pd.DataFrame) -> None:
+        self.inbox.clear()
+        if len(rows):
+            self.kept.update((_pack(rows),))
         else:
-            state.clear()
+            self.kept.clear()
 
     @staticmethod
-    def _frame(items: list[tuple]) -> pd.DataFrame:
-        rows = [(kind, pattern, first, r[2], r[3], r[4], r[5], r[0], r[1]) for kind, pattern, first, r in items]
-        names = ["kind", "pattern_id", "first_id", "id", "user_id", "card_number", "amount", "event_ms", "arrival"]
-        return pd.DataFrame(rows, columns=names)
+    def _output(rows: pd.DataFrame, kind: str, pattern_id: str | None, first_id) -> pd.DataFrame:
+        out = rows[["id", "user_id", "card_number", "amount", "event_ms", "arrival"]].reset_index(drop=True)
+        out.insert(0, "first_id", pd.Series(first_id if first_id is not None else [None] * len(out), dtype=object))
+        out.insert(0, "pattern_id", pattern_id)
+        out.insert(0, "kind", kind)
+        return out
 
     def close(self) -> None:
         pass
@@ -123,32 +162,37 @@ SEEN_COLUMNS = ["user_id", "country", "id", "amount", "event_ms", "arrival"]
 SEEN_SCHEMA = "user_id string, country string, id string, amount double, event_ms long, arrival long"
 
 
+def first_of_each(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["event_ms", "arrival"], kind="stable").drop_duplicates(["user_id", "country"])
+
+
 def first_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The earliest row of each user and country in each Arrow batch: only such a row can be the first one seen."""
     for pdf in batches:
-        ordered = pdf.sort_values(["event_ms", "arrival"], kind="stable")
-        yield ordered.drop_duplicates(["user_id", "country"])[SEEN_COLUMNS]
+        yield first_of_each(pdf)
 
 
 class FirstSeenProcessor(StatefulProcessor):
-    """Emits the first row of a (user, country) pair and remembers the pair."""
+    """Emits the first row of each (user, country) pair of a slot and remembers the pair for good, or for ``ttl_ms``."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
+        self.seen = handle.getMapState("seen", "user_id string, country string", "since long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            return
-        best = None
+        best = pd.DataFrame()
         for pdf in rows:
-            top = pdf.sort_values(["event_ms", "arrival"], kind="stable").head(1)
-            best = top if best is None else pd.concat([best, top]).sort_values(["event_ms", "arrival"]).head(1)
-        if best is not None and len(best):
-            self.seen.update((True,))
-            yield best[SEEN_COLUMNS]
+            best = first_of_each(pd.concat([best, pdf[SEEN_COLUMNS]]) if len(best) else pdf[SEEN_COLUMNS])
+        fresh = []
+        for user, country, ms in zip(best["user_id"], best["country"], best["event_ms"]):
+            known = self.seen.containsKey((user, country))
+            if not known:
+                self.seen.updateValue((user, country), (int(ms),))
+            fresh.append(not known)
+        if any(fresh):
+            yield best[fresh]
 
     def close(self) -> None:
         pass
