@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnguard import schemas
+from txnguard.functions.once import once
 
 REASONS = ("null_value", "bad_json", "unknown_field", "bad_type", "missing_required")
 
@@ -29,8 +30,12 @@ def number(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NUMBER), F.trim(text).try_cast(kind))
 
 
-def _is_nested(text: Column) -> Column:
-    return F.coalesce(F.ltrim(text).rlike(r"^[\[{]"), F.lit(False))
+def _is_nested(field: Column, record: Column, name: str) -> Column:
+    """Whether the field holds an object or array. Nested JSON arrives as its text, so text that starts like it is
+    looked up again with its type; that is rare."""
+    suspect = F.ltrim(field).startswith("{") | F.ltrim(field).startswith("[")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), f"$.{name}", "variant"))
+    return F.coalesce(F.when(suspect, kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.lit(False))
 
 
 def _blank_to_null(text: Column) -> Column:
@@ -38,10 +43,7 @@ def _blank_to_null(text: Column) -> Column:
 
 
 def _parsed(value: Column, ddl: str) -> Column:
-    """The record as a one-row generator: a filter on the result cannot be pushed below it, which would repeat the
-    parse for every field the filter mentions."""
-    parsed = F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    return F.explode_outer(F.array(parsed))
+    return once(F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
 
 
 def _unknown_fields(value: Column, allowed: Sequence[str]) -> Column:
@@ -81,7 +83,7 @@ def classify_transactions(raw: DataFrame) -> DataFrame:
     text_fields = ["id", "userId", "cardNumber", "currency", "merchantId", "country", "status"]
     nested_text = F.lit(False)
     for name in text_fields:
-        nested_text = nested_text | _is_nested(F.col(f"_r.{name}"))
+        nested_text = nested_text | _is_nested(F.col(f"_r.{name}"), F.col("_text"), name)
     bad_type = (
         nested_text
         | (amount_text.isNotNull() & F.col("amount").isNull())
@@ -96,7 +98,7 @@ def classify_transactions(raw: DataFrame) -> DataFrame:
         .when(bad_type, "bad_type")
         .when(F.col("id").isNull() | F.col("amount").isNull(), "missing_required")
     )
-    return rec.withColumn("reason", reason).drop("_text", "_r", "_features")
+    return rec.withColumn("reason", once(reason)).drop("_text", "_r", "_features")
 
 
 def decode_transactions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +145,7 @@ def decode_rules(raw: DataFrame) -> DataFrame:
     for name, parsed in wanted.items():
         broken = broken | (_blank_to_null(field[name]).isNotNull() & parsed.isNull())
     for name in ("ruleId", "ruleName", "severity"):
-        broken = broken | _is_nested(field[name])
+        broken = broken | _is_nested(field[name], F.col("_text"), name)
     ok = (
         _is_object(F.col("_text"))
         & F.col("_r._corrupt").isNull()
@@ -152,7 +154,7 @@ def decode_rules(raw: DataFrame) -> DataFrame:
         & field["ruleId"].isNotNull()
     )
     carried = [c for c in raw.columns if c not in ("key", "value")]
-    return text.filter(ok).select(
+    return text.withColumn("_ok", once(ok)).filter("_ok").select(
         field["ruleId"].alias("rule_id"),
         field["ruleName"].alias("rule_name"),
         F.coalesce(flag == "true", F.lit(False)).alias("enabled"),

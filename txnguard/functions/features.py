@@ -19,11 +19,11 @@ def feature_map(values: Column, amount: Column, time: Column) -> Column:
 def skip_reason(features: Column) -> Column:
     """Why a row gets no score (null = scored): no features, one missing, or a negative amount or time."""
     names = F.array(*[F.lit(n) for n in FEATURE_NAMES])
-    missing = F.exists(names, lambda n: F.element_at(features, n).isNull())
+    present = F.map_filter(features, lambda n, v: v.isNotNull() & F.array_contains(names, n))
     negative = (F.element_at(features, F.lit("Amount")) < 0) | (F.element_at(features, F.lit("Time")) < 0)
     return (
         F.when(features.isNull() | (F.size(features) == 0), "no_features")
-        .when(missing, "missing_feature")
+        .when(F.size(present) < len(FEATURE_NAMES), "missing_feature")
         .when(negative, "out_of_range")
     )
 
