@@ -109,10 +109,11 @@ A002 = alert_sql(
     "(SELECT * FROM seen WHERE amount > 50)", "'P002'", "'High Value New Location'", "'CRITICAL'", NEW_TEXT, "id"
 )
 ML_BAND = "CASE WHEN score >= 0.9 THEN 'CRITICAL' ELSE 'HIGH' END"
-# probability in percent = amount / 5: exact decimals, rounded half up.
+# Percent text: the double product's shortest decimal form, rounded half up, as the formatter does.
+ML_TEXT = "'XGBoost fraud probability ' || CAST(CAST(CAST(score * 100 AS VARCHAR) AS DECIMAL(18,1)) AS VARCHAR) || '%'"
 AML = alert_sql(
     "(SELECT * FROM tx WHERE score >= 0.5)", "'ML001'", "'XGBoost ML Detection'", ML_BAND,
-    "'XGBoost fraud probability ' || CAST(CAST(amount * 0.2 AS DECIMAL(18,1)) AS VARCHAR) || '%'", "id", "'ML'", "score",
+    ML_TEXT, "id", "'ML'", "score",
 )
 WITH_ALL = f"WITH {TX_SQL}, {P001_SQL}, {P003_SQL}, {P004_SQL}, {P002_SQL}"
 ALL_SQL = f"{WITH_ALL}, alerts AS ({A001} UNION ALL {A003} UNION ALL {A004} UNION ALL {A002} UNION ALL {AML})"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnguard.functions import alerts as A
+from txnguard.functions.once import once
 from txnguard.operators import patterns as P
 from txnguard.operators.ordered import CHUNK_WINDOWS, spread_chunks
 from txnguard.operators.rules import rule_current
@@ -88,7 +89,9 @@ def sequence_stream(
             bit += 1
         sequences.append(Sequence(rule.rule_id, tuple(bits), rule.window_s * 1000))
     within = max(s.within_ms for s in sequences)
-    rows = txns.withWatermark("event_time", delay).filter(F.col(key).isNotNull()).withColumn("fits", fits)
+    # All rows move the watermark, also those dropped next: the filter must not slip below it.
+    rows = txns.withWatermark("event_time", delay)
+    rows = rows.withColumn("fits", once(F.when(F.col(key).isNotNull(), fits).otherwise(F.lit(0).cast("long"))))
     rows = rows.filter(F.col("fits") > 0).select(
         "event_time", "event_ms", "arrival", "id", "user_id", "card_number", F.col("amount").cast("double").alias("amount"), "fits"
     )
