@@ -82,6 +82,9 @@ def test_random_rows_against_brute_force(spark, seed, chunk_ms):
     assert pairs(P.rapid_small(df, P001, **kw)) == brute_force(rows, [(small, 3)], 60_000)
     assert pairs(P.midrange_velocity(df, P004.with_(window_s=30), **kw)) == brute_force(rows, [(midrange, 2)], 30_000)
     assert pairs(P.fail_then_success(df, P003.with_(window_s=40), **kw)) == brute_force(rows, [(failed, 2), (success, 1)], 40_000)
+    both = P.repeated_patterns(df, "card_number", [(P001, P.is_small(P001)), (P004.with_(window_s=30), P.is_midrange(P004))], **kw)
+    assert pairs(both.filter("pattern_id = 'P001'")) == brute_force(rows, [(small, 3)], 60_000)
+    assert pairs(both.filter("pattern_id = 'P004'")) == brute_force(rows, [(midrange, 2)], 30_000)
     df.unpersist()
 
 

@@ -65,7 +65,7 @@ def test_stream_equals_batch_on_disordered_files(spark, own, tmp_path):
 
 
 def test_restart_from_checkpoint(spark, own, tmp_path):
-    rows = [(500, "c", 1, "SUCCESS"), (1000, "c", 1, "SUCCESS"), (9000, "c", 1, "SUCCESS"), (30_000, "c", 1, "SUCCESS"), (FAR, "z", 1, "SUCCESS")]
+    rows = [(500, "c", 1, "SUCCESS"), (1000, "c", 1, "SUCCESS"), (9000, "c", 1, "SUCCESS"), (30_000, "c", 1, "SUCCESS"), (FAR, "z", 1, "OTHER")]
     df = txns(spark, rows)
     path, base = str(tmp_path / "in"), str(tmp_path)
 

@@ -80,6 +80,20 @@ def fail_success_text(rule: PatternRule) -> Column:
     return F.concat(F.lit(f"{rule.times} fraud attempts followed by success for "), "user_id")
 
 
+def sequence_alerts(matches: DataFrame, rules: dict[str, PatternRule]) -> DataFrame:
+    """Alert rows from matches of any sequence pattern, told apart by ``pattern_id``, in one projection."""
+    pid = F.col("pattern_id")
+    name, severity, text = F.lit(None), F.lit(None), F.lit(None)
+    texts = {"P001": rapid_small_text, "P003": fail_success_text, "P004": midrange_text}
+    for rule_id, text_of in texts.items():
+        if rule_id in rules:
+            rule = rules[rule_id]
+            name = F.when(pid == rule_id, rule.name).otherwise(name)
+            severity = F.when(pid == rule_id, rule.severity).otherwise(severity)
+            text = F.when(pid == rule_id, text_of(rule)).otherwise(text)
+    return to_alert(matches, pid, name, severity, text, ("first_id", "id"))
+
+
 def rapid_small_alerts(matches: DataFrame, rule: PatternRule) -> DataFrame:
     return _by_rule(matches, rule, rapid_small_text(rule), ("first_id", "id"))
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnguard.operators.sizes import small_side
-
 HEX_DIGITS = 4
+MAX_CLASSES = 10_000
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -36,7 +35,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float =
     cuts = counts.filter(at_cut).select(
         label, F.col("_b").alias("_cut"), (F.col("_want") - F.col("_cum") + F.col("n")).alias("_left")
     )
-    marked = rows.join(small_side(cuts), label, "left")
+    few = cuts.limit(MAX_CLASSES + 1).collect()
+    if len(few) <= MAX_CLASSES:
+        cuts = F.broadcast(df.sparkSession.createDataFrame(few, cuts.schema))
+    marked = rows.join(cuts, label, "left")
     sure = marked.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
     sure = sure.withColumn("is_test", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
     edge = marked.filter(F.col("_b") == F.col("_cut"))

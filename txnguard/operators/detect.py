@@ -34,12 +34,12 @@ def detect_all(
         rules = {**pattern_rules(changelog, rules), "P002": rules["P002"]}
     slim = txns.select("id", "user_id", "card_number", "amount", "country", "status", "event_ms", "arrival")
     parts = []
-    if "P001" in rules:
-        parts.append(A.rapid_small_alerts(P.rapid_small(slim, rules["P001"]), rules["P001"]))
+    by_card = [(rules[i], fits(rules[i])) for i, fits in (("P001", P.is_small), ("P004", P.is_midrange)) if i in rules]
+    if by_card:
+        parts.append(A.sequence_alerts(P.repeated_patterns(slim, "card_number", by_card), rules))
     if "P003" in rules:
-        parts.append(A.fail_success_alerts(P.fail_then_success(slim, rules["P003"]), rules["P003"]))
-    if "P004" in rules:
-        parts.append(A.midrange_alerts(P.midrange_velocity(slim, rules["P004"]), rules["P004"]))
+        found = P.fail_then_success(slim, rules["P003"]).withColumn("pattern_id", F.lit("P003"))
+        parts.append(A.sequence_alerts(found, rules))
     if changelog is not None:
         parts.append(new_country_dynamic(slim, changelog))
     elif "P002" in rules:

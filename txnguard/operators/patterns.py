@@ -95,6 +95,38 @@ def repeated_within(
     return rows.withColumn("first_id", F.col("_first.id")).drop("_first", "chunk")
 
 
+def repeated_patterns(
+    df: DataFrame,
+    key: str,
+    wanted: Sequence[tuple[PatternRule, Column]],
+    order: Sequence[str] = ORDER,
+    chunk_ms: int | None = None,
+) -> DataFrame:
+    """Several "n fitting rows" patterns of one key in one scan, one exchange and one sort.
+
+    One output row per match, on its last row, with ``pattern_id`` and ``first_id``.
+    """
+    ms = F.col(order[0])
+    any_fits = F.lit(False)
+    for _, fits in wanted:
+        any_fits = any_fits | fits
+    rows = df.filter(any_fits & F.col(key).isNotNull())
+    rows, chunk_ms = spread_chunks(rows, order[0], max(r.window_s for r, _ in wanted) * 1000, chunk_ms)
+    here = F.struct(ms.alias("ms"), "id")
+    rows = rows.withColumns({f"_fit{i}": F.when(fits, here) for i, (_, fits) in enumerate(wanted)})
+    over = f"over (partition by `{key}`, chunk order by {', '.join(order)})"
+    firsts, hits = {}, []
+    for i, (rule, _) in enumerate(wanted):
+        back = rule.times - 1
+        firsts[f"_first{i}"] = F.expr(f"lag(_fit{i}, {back}) ignore nulls {over}") if back else F.col(f"_fit{i}")
+        first = F.col(f"_first{i}")
+        found = F.col(f"_fit{i}").isNotNull() & (ms - first["ms"] < rule.window_s * 1000)
+        hits.append(F.when(found, F.struct(F.lit(rule.rule_id).alias("pattern_id"), first["id"].alias("first_id"))))
+    rows = rows.withColumns(firsts).filter(chunk_of(ms, chunk_ms) == F.col("chunk"))
+    rows = rows.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
+    return rows.select(*df.columns, "_hit.*")
+
+
 def rapid_small(df: DataFrame, rule: PatternRule = BUILTIN["P001"], **kw) -> DataFrame:
     return repeated_within(df, "card_number", is_small(rule), rule.times, rule.window_s, **kw)
 
@@ -109,15 +141,17 @@ def fail_then_success(
     key: str = "user_id",
     order: Sequence[str] = ORDER,
     chunk_ms: int | None = None,
+    columns: Sequence[str] = ("id", "user_id", "card_number", "amount"),
 ) -> DataFrame:
     """``times`` failed rows, then the next successful row: one output row per match, on the successful row.
 
-    One window pass: each failed row looks back over failed rows only and forward to the next success.
+    One window pass: each failed row looks back over failed rows only and forward to the next success, of which it
+    takes ``columns`` and the order columns.
     """
     within_ms = rule.window_s * 1000
     rows = df.filter(F.col(key).isNotNull() & (is_failed() | is_success()))
     rows, chunk_ms = spread_chunks(rows, order[0], within_ms, chunk_ms)
-    payload = [c for c in rows.columns if c not in (key, "chunk")]
+    payload = [c for c in dict.fromkeys([*columns, *order]) if c != key]
     rows = rows.withColumns(
         {
             "_failed": F.when(is_failed(), F.struct(F.col(order[0]).alias("ms"), "id")),

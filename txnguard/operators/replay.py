@@ -18,8 +18,8 @@ def status_of(cls: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text in UTC with microseconds, whatever the session's time zone."""
-    wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.to_timestamp_ntz(ts.cast("string")))
-    return F.concat(F.date_format(wall.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    wall = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
 def card_rows_to_transactions(df: DataFrame, base: Column, components: str = "components") -> DataFrame:

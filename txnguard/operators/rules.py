@@ -15,7 +15,7 @@ BUCKET_MS = 3_600_000
 def rule_latest(changelog: DataFrame) -> DataFrame:
     """The newest version of each rule, enabled or not."""
     body = F.struct(*[c for c in changelog.columns if c != "rule_id"])
-    newest = changelog.groupBy("rule_id").agg(F.max_by(body, "rule_seq").alias("_r"))
+    newest = changelog.groupBy("rule_id").agg(F.max_by(body, F.struct("rule_ts", "rule_seq")).alias("_r"))
     return newest.select("rule_id", "_r.*")
 
 

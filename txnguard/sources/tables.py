@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnguard import schemas
@@ -10,8 +10,12 @@ from txnguard import schemas
 PARTITIONS = ["detected_date", "source"]
 
 
+def utc_date(ts: Column) -> Column:
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
 def with_date(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("detected_date", F.to_date("detected_at"))
+    return alerts.withColumn("detected_date", utc_date(F.col("detected_at")))
 
 
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
@@ -36,7 +40,7 @@ def alerts_by_user(alerts: DataFrame, user_id: str) -> DataFrame:
 def alerts_by_time(alerts: DataFrame, start: str, end: str) -> DataFrame:
     """From ``start`` up to but not including ``end``; the day test prunes partitions."""
     lo, hi = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
-    days = F.col("detected_date").between(F.to_date(lo), F.to_date(hi))
+    days = F.col("detected_date").between(utc_date(lo), utc_date(hi))
     return alerts.filter(days & (F.col("detected_at") >= lo) & (F.col("detected_at") < hi))
 
 

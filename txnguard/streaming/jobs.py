@@ -103,18 +103,8 @@ def sequence_stream(
 
 
 def sequence_alerts(matches: DataFrame, rules: dict[str, P.PatternRule]) -> DataFrame:
-    """Alert rows from matches of any sequence pattern, in one projection: a union would run the state twice."""
-    pid = F.col("pattern_id")
-    found = matches.filter(F.col("kind") == "match")
-    name, severity, text = F.lit(None), F.lit(None), F.lit(None)
-    builders = {"P001": A.rapid_small_text, "P003": A.fail_success_text, "P004": A.midrange_text}
-    for rule_id, build in builders.items():
-        if rule_id in rules:
-            rule = rules[rule_id]
-            name = F.when(pid == rule_id, rule.name).otherwise(name)
-            severity = F.when(pid == rule_id, rule.severity).otherwise(severity)
-            text = F.when(pid == rule_id, build(rule)).otherwise(text)
-    return A.to_alert(found, pid, name, severity, text, ("first_id", "id"))
+    """One projection for all patterns: a union would run the state once per pattern."""
+    return A.sequence_alerts(matches.filter(F.col("kind") == "match"), rules)
 
 
 # --- new country ---------------------------------------------------------------------------------------------------

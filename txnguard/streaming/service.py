@@ -16,7 +16,9 @@ from txnguard.functions.conform import conform
 from txnguard.ml import registry, train
 from txnguard.operators import patterns as P
 from txnguard.operators import scoring
-from txnguard.sources.sinks import send_alert_records
+from txnguard.sources.sinks import (
+    ALERT_BATCH, TRANSACTION_BATCH, jdbc_insert_absent, jdbc_options, send_alert_records,
+)
 from txnguard.streaming import jobs
 
 
@@ -77,6 +79,8 @@ class Service:
     available_now: bool = True
     interval_ms: int = 30_000
     send_to_topic: bool = False
+    to_database: bool = False
+    replay_window: str = "1 day"
 
     @property
     def rule_table(self) -> str:
@@ -105,9 +109,18 @@ class Service:
                 send_alert_records(rows, self.cfg)
             else:
                 send_alert_records(rows, path=f"{self.out}/alert_records/query={name}/batch_id={batch_id}")
+            if self.to_database:
+                self._insert(rows, "fraud_alerts", ALERT_BATCH, "detected_at")
         finally:
             rows.unpersist()
 
+    def _insert(self, rows: DataFrame, table: str, batch_rows: int, time_column: str) -> None:
+        """Insert-or-ignore. Only a batch that is run again can meet its own rows, so the look at the target reaches
+        back by ``replay_window``; anything older is stopped by the primary key of the table."""
+        earliest = rows.agg((F.min(time_column) - F.expr(f"interval {self.replay_window}")).cast("string")).first()[0]
+        if earliest is not None:
+            jdbc_insert_absent(rows, table, jdbc_options(self.cfg), batch_rows, since=(time_column, earliest))
+
     def _each(self, df: DataFrame, name: str, handle) -> StreamingQuery:
         return jobs.each_batch(df, handle, f"{self.checkpoint}/{name}", self.available_now, self.interval_ms)
 
@@ -156,6 +169,8 @@ class Service:
                 valid = valid.withColumn("event_time", F.coalesce("event_time", "timestamp"))
                 rows, rejected = conform(valid, schemas.TRANSACTIONS_TABLE, {"ingested_at": F.current_timestamp()})
                 jobs.write_batch(rows, f"{self.out}/transactions", batch_id)
+                if self.to_database:
+                    self._insert(rows, "transactions", TRANSACTION_BATCH, "event_time")
                 jobs.write_batch(rejected.select("id", "reject_reason"), f"{self.out}/rejected_transactions", batch_id)
                 malformed = batch.filter(F.col("reason").isNotNull()).select("value", "timestamp", "reason")
                 jobs.write_batch(malformed, f"{self.out}/malformed", batch_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +12,20 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one temporary folder, in local mode only."""
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="txnguard-")
-        spark.conf.set(SETTING, base)
+        base = local_dir(spark.sparkContext.applicationId)
     return base.rstrip("/")
 
 
+@cache
+def local_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="txnguard-")
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
