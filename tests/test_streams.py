@@ -10,7 +10,8 @@ from txnguard import schemas
 from txnguard.functions import decode as D
 from txnguard.ml import registry
 from txnguard.operators import patterns as P
-from txnguard.streaming import jobs
+from txnguard.operators import scoring
+from txnguard.streaming import jobs, service
 from txnguard.streaming.service import QualityListener, Service
 
 RULES = {"P001": P.BUILTIN["P001"], "P003": P.BUILTIN["P003"].with_(window_s=40), "P004": P.BUILTIN["P004"].with_(window_s=30)}
@@ -127,12 +128,12 @@ def test_whole_service(spark, own, tmp_path):
     own.sparkContext.setLogLevel("ERROR")
     listener = QualityListener()
     own.streams.addListener(listener)
-    service = Service(own, out, cp)
+    job = Service(own, out, cp)
 
     def go():
         recs = own.readStream.schema(schemas.RAW_RECORD).parquet(inbox)
         changes = own.readStream.schema(schemas.RAW_RECORD).parquet(rules)
-        for q in service.start_all(recs, changes).values():
+        for q in job.start_all(recs, changes).values():
             q.awaitTermination()
 
     go()
@@ -153,3 +154,39 @@ def test_whole_service(spark, own, tmp_path):
     assert spark.read.parquet(f"{out}/transactions").count() == 10
     own.streams.removeListener(listener)
     assert (listener.valid, listener.malformed) == (10, 2)
+
+
+def test_model_hot_swap(spark, tmp_path, monkeypatch):
+    """The active version is looked up every time and loaded only when it changed."""
+    root, loads = str(tmp_path / "models"), []
+    monkeypatch.setattr(service.train, "load", lambda _, __, version: loads.append(version) or (f"model {version}", {}))
+    active = service.ActiveModel(root)
+    assert active.get(spark) is None
+    registry.record(spark, root, "v1", 0.9, 0.5, "m")
+    registry.record(spark, root, "v2", 0.95, 0.5, "m")
+    registry.activate(spark, root, "v1")
+    assert active.get(spark)[:2] == ("v1", "model v1") and active.get(spark)[0] == "v1"
+    registry.activate(spark, root, "v2")
+    assert active.get(spark)[0] == "v2"
+    registry.activate(spark, root, "v1")
+    assert active.get(spark)[0] == "v1" and loads == ["v1", "v2", "v1"]
+
+
+def test_model_alerts_in_the_service(spark, own, tmp_path, monkeypatch):
+    """Only rows with usable features are scored; the batch is written with the version active at its start."""
+    root, inbox = str(tmp_path / "models"), str(tmp_path / "in")
+    registry.record(spark, root, "v1", 0.9, 0.5, "m")
+    registry.activate(spark, root, "v1")
+    monkeypatch.setattr(service.train, "load", lambda *_: (None, {}))
+    weights = [1.0] + [0.0] * 29
+    monkeypatch.setattr(
+        service.scoring, "score",
+        lambda df, model, scale, threshold, version: scoring.score_linear(df, weights, 0.0, scale, threshold, version).filter("outcome = 'scored'"),
+    )
+    full = {n: 0.0 for n in schemas.FEATURE_NAMES}
+    rows = [body(0, "a", 10, 1, features={**full, "V1": 9.0}), body(1, "a", 10, 2, features={**full, "V1": -9.0}), body(2, "a", 10, 3), body(3, "a", 10, 4, features={"V1": 9.0})]
+    feed(records(spark, rows), inbox)
+    job = Service(own, str(tmp_path / "out"), str(tmp_path / "cp"), model_root=root)
+    job.start_model(job.transactions(own.readStream.schema(schemas.RAW_RECORD).parquet(inbox))).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/alerts").collect()
+    assert [(r.transaction_id, r.pattern_id, r.source, r.severity) for r in got] == [("x0", "ML001", "ML", "CRITICAL")]

@@ -261,10 +261,12 @@ def alerts_by_source(spark, d):
 
 
 def txn_by_user_time(spark, d):
-    """The time test is written on the stored column, so the scan can skip row groups."""
-    return tables.transactions_by_user_time(
-        tx(spark, d), "7", "2024-01-05T00:00:00Z", "2024-01-25T00:00:00Z"
-    ).select("id", F.col("amount").cast("double").alias("amount"), "event_ms")
+    """The transaction table written by day and read back for one user and time span."""
+    rows, _ = conform(tx(spark, d), schemas.TRANSACTIONS_TABLE, {"ingested_at": F.current_timestamp()})
+    path = run_dir(spark, "transactions")
+    tables.write_transactions(rows, path)
+    found = tables.transactions_by_user_time(spark.read.parquet(path), "7", "2024-01-05T00:00:00Z", "2024-01-25T00:00:00Z")
+    return found.select("id", F.col("amount").cast("double").alias("amount"), F.unix_millis("event_time").alias("event_ms"))
 
 
 DEC = f"""WITH {TX_SQL}, marked AS (SELECT t.*, e.event_id, {REASON_SQL.replace('event_id', 'e.event_id')} AS reason FROM tx t JOIN events e ON t.arrival = e.event_id)"""

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utc(ts: Column) -> Column:
     """The stored zoneless times are UTC; independent of the session's time zone."""
-    return F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+    return F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
 
 
 def as_transactions(events: DataFrame) -> DataFrame:

@@ -184,6 +184,18 @@ KNN_SQL = """WITH r AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding[1:2
   p AS (SELECT a.id, b.id AS neighbour, list_distance(a.v, b.v) AS distance FROM r a JOIN r b ON a.id <> b.id)
   SELECT id, neighbour, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS rank, round(distance, 6) AS distance FROM p
   QUALIFY rank <= 5"""
+# The synthetic rows again in SQL: same hashes, same hash order of the minority, neighbours by brute force.
+SMOTE_SQL = """WITH r AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding[1:28] AS DOUBLE[]) AS v,
+    row_number() OVER (ORDER BY md5(concat_ws('|', vec_id, 42)), CAST(vec_id AS VARCHAR)) - 1 AS idx FROM embeddings WHERE label = 0),
+  c AS (SELECT count(*) FILTER (WHERE label = 0) AS mino, CAST(trunc(0.5 * count(*) FILTER (WHERE label <> 0) - count(*) FILTER (WHERE label = 0)) AS BIGINT) AS wanted FROM embeddings),
+  near AS (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank
+    FROM r a JOIN r b ON a.id <> b.id QUALIFY rank <= 5),
+  n AS (SELECT unnest(range(wanted)) AS num, mino FROM c),
+  h AS (SELECT num, mino, CAST('0x' || md5('base42|' || num)[1:12] AS BIGINT) / 281474976710656.0 AS b,
+    CAST('0x' || md5('near42|' || num)[1:12] AS BIGINT) / 281474976710656.0 AS k, CAST('0x' || md5('gap42|' || num)[1:12] AS BIGINT) / 281474976710656.0 AS u FROM n)
+  SELECT 'new-' || num AS id, r.id AS base, near.neighbour, round(r.v[1] + u * (o.v[1] - r.v[1]), 6) AS v1
+  FROM h JOIN r ON r.idx = CAST(floor(b * mino) AS BIGINT) JOIN near ON near.id = r.id AND near.rank = CAST(floor(k * 5) AS BIGINT) + 1
+  JOIN r o ON o.id = near.neighbour"""
 LINEAR_SQL = f"""WITH f AS (SELECT CAST(vec_id AS VARCHAR) AS id, list_concat(CAST(embedding[1:28] AS DOUBLE[]),
   [(round(abs(CAST(embedding[29] AS DOUBLE)) * 1000, 2) - 100.0) / 60.0, (vec_id - 1000.0) / 500.0]) AS x FROM embeddings),
   p AS (SELECT id, 1 / (1 + exp(-({BIAS} + list_sum(list_transform(list_zip(x, {WEIGHTS}), lambda z: z[1] * z[2]))))) AS p FROM f)
@@ -213,7 +225,7 @@ QUERIES = {
         """WITH c AS (SELECT count(*) FILTER (WHERE label <> 0) AS maj, count(*) FILTER (WHERE label = 0) AS mino FROM embeddings)
         SELECT 0 AS class, maj AS n FROM c UNION ALL SELECT 1, mino + CAST(trunc(0.5 * maj - mino) AS BIGINT) FROM c""",
     ),
-    "smote_rows": (smote_rows, None),
+    "smote_rows": (smote_rows, SMOTE_SQL),
     "metric_auroc": (metric_auroc, f"{LABELLED}, {ranking_sql('')} SELECT round(auroc, 9) AS auroc FROM ranking"),
     "metric_avg_precision": (metric_avg_precision, f"{LABELLED}, {ranking_sql('')} SELECT round(auprc, 9) AS auprc FROM ranking"),
     "confusion_matrix": (
