@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.functions.once import once
+from txnguard.functions.once import with_once
 
 
 def conform(df: DataFrame, table: dict, defaults: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +25,6 @@ def conform(df: DataFrame, table: dict, defaults: dict | None = None) -> tuple[D
         reason = F.when(given[name].isNotNull() & typed[name].isNull(), f"{name}_not_storable").otherwise(reason)
         if not nullable:
             reason = F.when(given[name].isNull(), f"{name}_null").otherwise(reason)
-    marked = df.withColumn("reject_reason", once(reason))
+    marked = with_once(df, "reject_reason", reason)
     accepted = marked.filter(F.col("reject_reason").isNull()).select(*[c.alias(n) for n, c in typed.items()])
     return accepted, marked.filter(F.col("reject_reason").isNotNull())

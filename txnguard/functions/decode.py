@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnguard import schemas
-from txnguard.functions.once import once
+from txnguard.functions.once import with_once
 
 REASONS = ("null_value", "bad_json", "unknown_field", "bad_type", "missing_required")
 
@@ -43,7 +43,7 @@ def _blank_to_null(text: Column) -> Column:
 
 
 def _parsed(value: Column, ddl: str) -> Column:
-    return once(F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    return F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
 
 
 def _unknown_fields(value: Column, allowed: Sequence[str]) -> Column:
@@ -58,7 +58,7 @@ def _is_object(value: Column) -> Column:
 def classify_transactions(raw: DataFrame) -> DataFrame:
     """Every raw record with its decoded fields and ``reason`` (null when the record is valid)."""
     text = raw.withColumn("_text", F.col("value").cast("string"))
-    rec = text.withColumn("_r", _parsed(F.col("_text"), schemas.TRANSACTION_TEXT))
+    rec = with_once(text, "_r", _parsed(F.col("_text"), schemas.TRANSACTION_TEXT))
     amount_text, time_text = _blank_to_null(F.col("_r.amount")), _blank_to_null(F.col("_r.eventTime"))
     features_text = F.col("_r.mlFeatures")
     features = F.from_json(features_text, "map<string,string>")
@@ -67,7 +67,7 @@ def classify_transactions(raw: DataFrame) -> DataFrame:
             "id": F.col("_r.id"),
             "user_id": F.col("_r.userId"),
             "card_number": F.col("_r.cardNumber"),
-            "amount": number(amount_text, "decimal(38,18)"),
+            "amount": F.trim(amount_text).try_cast("decimal(38,18)"),
             "currency": F.col("_r.currency"),
             "merchant_id": F.col("_r.merchantId"),
             "country": F.col("_r.country"),
@@ -98,7 +98,7 @@ def classify_transactions(raw: DataFrame) -> DataFrame:
         .when(bad_type, "bad_type")
         .when(F.col("id").isNull() | F.col("amount").isNull(), "missing_required")
     )
-    return rec.withColumn("reason", once(reason)).drop("_text", "_r", "_features")
+    return with_once(rec, "reason", reason).drop("_text", "_r", "_features")
 
 
 def decode_transactions(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +132,7 @@ def decode_rules(raw: DataFrame) -> DataFrame:
     Absent flags and numbers take false and 0, except the upper amount, which stays null.
     """
     as_text = ", ".join(f"{name} string" for name in schemas.RULE_FIELDS)
-    text = raw.withColumn("_text", F.col("value").cast("string")).withColumn("_r", _parsed(F.col("_text"), as_text))
+    text = with_once(raw.withColumn("_text", F.col("value").cast("string")), "_r", _parsed(F.col("_text"), as_text))
     field = {name: F.col(f"_r.{name}") for name in schemas.RULE_FIELDS}
     flag = F.lower(F.trim(field["enabled"]))
     wanted = {
@@ -154,7 +154,7 @@ def decode_rules(raw: DataFrame) -> DataFrame:
         & field["ruleId"].isNotNull()
     )
     carried = [c for c in raw.columns if c not in ("key", "value")]
-    return text.withColumn("_ok", once(ok)).filter("_ok").select(
+    return with_once(text, "_ok", ok).filter("_ok").select(
         field["ruleId"].alias("rule_id"),
         field["ruleName"].alias("rule_name"),
         F.coalesce(flag == "true", F.lit(False)).alias("enabled"),

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def once(value: Column) -> Column:
-    """``value`` as a one-row generator.
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as column ``name``, computed once per row.
 
     A filter on a computed column is pushed below the projection with the whole expression copied into it, once per
-    mention. It cannot be pushed below a generator, so the expression runs once per row. For parsed or validated
-    columns only: plain columns should be pushed down.
+    mention. It is not pushed below the one-row generator put on top here. For parsed or validated columns only:
+    filters on plain columns should be pushed down.
     """
-    return F.explode_outer(F.array(value))
+    computed = df.withColumn("_once", value)
+    return computed.withColumn(name, F.explode_outer(F.array("_once"))).drop("_once")

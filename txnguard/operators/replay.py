@@ -22,6 +22,11 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
+def padded(number: Column, width: int) -> Column:
+    """Leading zeros; the numbers used here never exceed the width."""
+    return F.lpad(number.cast("string"), width, "0")
+
+
 def card_rows_to_transactions(df: DataFrame, base: Column, components: str = "components") -> DataFrame:
     """Transactions from rows (idx, Time, 28 components, Amount, Class); ``idx`` is the original row number."""
     idx, amount = F.col("idx"), F.col("Amount")
@@ -29,11 +34,13 @@ def card_rows_to_transactions(df: DataFrame, base: Column, components: str = "co
     return df.select(
         F.md5(F.concat_ws("|", F.lit("card"), idx)).alias("id"),
         idx.alias("arrival"),
-        F.format_string("user_%04d", idx % 500).alias("user_id"),
-        F.format_string("4%03d-xxxx-xxxx-%04d", idx % 500, amount.cast("long") % 9999).alias("card_number"),
+        F.concat(F.lit("user_"), padded(idx % 500, 4)).alias("user_id"),
+        F.concat(
+            F.lit("4"), padded(idx % 500, 3), F.lit("-xxxx-xxxx-"), padded(amount.cast("long") % 9999, 4)
+        ).alias("card_number"),
         F.round(amount, 2).cast("decimal(12,2)").alias("amount"),
         F.lit("EUR").alias("currency"),
-        F.format_string("MER-%04d", idx % 1000).alias("merchant_id"),
+        F.concat(F.lit("MER-"), padded(idx % 1000, 4)).alias("merchant_id"),
         F.element_at(F.array(*[F.lit(c) for c in COUNTRIES]), (idx % len(COUNTRIES) + 1).cast("int")).alias("country"),
         status_of(F.col("Class")).alias("status"),
         time.alias("event_time"),

@@ -9,7 +9,7 @@ from txnguard import schemas
 from txnguard.functions import decode as D
 from txnguard.functions import features as X
 from txnguard.functions.conform import conform
-from txnguard.functions.once import once
+from txnguard.functions.once import with_once
 from txnguard.operators import replay
 from txnguard.plans.inputs import TX_SQL, table, tx
 from txnguard.plans.pattern_queries import ALL_SQL, alerts
@@ -73,9 +73,9 @@ def raw_records(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(body)
     )
     marked = t.withColumn("fault", F.coalesce(fault, F.lit("none")))
-    return marked.select(
+    return with_once(marked, "value", value.cast("binary")).select(
         F.col("user_id").cast("binary").alias("key"),
-        once(value.cast("binary")).alias("value"),
+        "value",
         F.col("event_time").alias("timestamp"),
         "arrival",
     )
@@ -112,7 +112,7 @@ def stream_like_rules(spark, d) -> DataFrame:
         F.when(F.col("country") == "TH", F.lit("")).otherwise(F.lit("}")),
     )
     value = F.when(F.col("country") != "AU", text)
-    return t.select(F.lit(None).cast("binary").alias("key"), once(value.cast("binary")).alias("value"),
+    return with_once(t, "value", value.cast("binary")).select(F.lit(None).cast("binary").alias("key"), "value",
                     F.col("event_time").alias("rule_ts"), F.col("arrival").alias("rule_seq"))
 
 
@@ -189,7 +189,7 @@ def feature_validation(spark, d):
         .when(F.col("country") == "GB", F.transform_values(full, lambda k, v: F.when(k == "V3", F.lit(None)).otherwise(v)))
         .otherwise(full)
     )
-    rows = rows.select("id", once(features).alias("features"))
+    rows = with_once(rows, "features", features)
     return rows.select("id", F.coalesce(X.skip_reason(F.col("features")), F.lit("scored")).alias("outcome"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnguard.operators.patterns import BUILTIN
+from txnguard.operators.replay import padded
 
 # Fixed value: the country list of the replayed card data.
 COUNTRIES = ["VN", "US", "SG", "JP", "GB", "DE", "FR", "AU", "TH", "MY"]
@@ -37,7 +38,7 @@ def as_transactions(events: DataFrame) -> DataFrame:
         F.col("user_id").cast("string").alias("card_number"),
         F.col("value").cast("decimal(12,2)").alias("amount"),
         F.lit("EUR").alias("currency"),
-        F.format_string("MER-%04d", F.col("event_id") % 1000).alias("merchant_id"),
+        F.concat(F.lit("MER-"), padded(F.col("event_id") % 1000, 4)).alias("merchant_id"),
         F.element_at(F.array(*[F.lit(c) for c in COUNTRIES]), k % 10 + 1).alias("country"),
         F.when(F.col("event_type") == "error", "FRAUD").otherwise("SUCCESS").alias("status"),
         utc(F.col("ts")).alias("event_time"),

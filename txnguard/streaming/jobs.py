@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txnguard.functions import alerts as A
-from txnguard.functions.once import once
+from txnguard.functions.once import with_once
 from txnguard.operators import patterns as P
 from txnguard.operators.ordered import CHUNK_WINDOWS, spread_chunks
 from txnguard.operators.rules import rule_current
@@ -33,6 +33,8 @@ def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkS
     partitions for the life of a checkpoint (default: the cores of the cluster)."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
+    # Generated methods above this size are not compiled by the JVM; split them instead.
+    own.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     own.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.sparkContext.defaultParallelism))
     own.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -91,7 +93,7 @@ def sequence_stream(
     within = max(s.within_ms for s in sequences)
     # All rows move the watermark, also those dropped next: the filter must not slip below it.
     rows = txns.withWatermark("event_time", delay)
-    rows = rows.withColumn("fits", once(F.when(F.col(key).isNotNull(), fits).otherwise(F.lit(0).cast("long"))))
+    rows = with_once(rows, "fits", F.when(F.col(key).isNotNull(), fits).otherwise(F.lit(0).cast("long")))
     rows = rows.filter(F.col("fits") > 0).select(
         "event_time", "event_ms", "arrival", "id", "user_id", "card_number", F.col("amount").cast("double").alias("amount"), "fits"
     )
