@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 import check
 
-CATALOG = entry.catalog()
+CATALOG = entry.core_catalog()
 QUICK = [n for n, (_, sql) in CATALOG.items() if sql is not None and not n.startswith("stream_")]
 
 
