@@ -296,17 +296,8 @@ def at_midpoints(members: DataFrame, parts: list[tuple[list[int], int]]) -> Data
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
-    """``doc_id``, ``fp`` (signed long) and ``component_id``, one row for each row of ``docs(doc_id, text)``.
-
-    Documents whose fingerprints differ in at most 3 bits are linked; ``component_id`` is the smallest doc_id that
-    links reach. Equal fingerprints are folded first, so copies cost nothing. Every link between different
-    fingerprints is found: the parts' thresholds follow the pigeonhole principle, and each candidate is verified.
-
-    Null text, or one without words: fingerprint zero, linked like any other. A null doc_id takes part but can't be a
-    component_id; a component without any doc_id has a null one. Repeated rows stay as they are. Other columns of
-    ``docs`` are not read. An empty table gives no rows.
-    """
+def classes(docs: DataFrame, largest: int = LARGEST_RUN) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs`` as a written table, and ``(fp, label, component_id)`` of each different one."""
     found = materialize(fingerprints(docs), "simhash")
     folded = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-folded")
     parts = plan(folded)
@@ -318,27 +309,34 @@ def near_duplicates(docs: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
     label = components(links).withColumnRenamed("node", "fp")
     labelled = folded.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "label").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return found, labelled.join(least, "label").select("fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
+    """``doc_id``, ``fp`` (signed long) and ``component_id``, one row for each row of ``docs(doc_id, text)``.
+
+    Documents whose fingerprints differ in at most 3 bits are linked; ``component_id`` is the smallest doc_id that
+    links reach. Equal fingerprints are folded first, so copies cost nothing. Every link between different
+    fingerprints is found: the parts' thresholds follow the pigeonhole principle, and each candidate is verified.
+
+    Null text, or one without words: fingerprint zero, linked like any other. A null doc_id takes part but can't be a
+    component_id; a component without any doc_id has a null one. Repeated rows stay as they are. Other columns of
+    ``docs`` are not read. An empty table gives no rows.
+    """
+    found, known = classes(docs, largest)
+    return found.join(known.drop("label"), "fp").select("doc_id", "fp", "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest doc_id, once if it is repeated.
     A group without any doc_id keeps one of its rows."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter("doc_id is null")
-    lost = found.filter("doc_id is null and component_id is null")
-    if lost.isEmpty():
-        return named.select(docs.columns)
-    own = nameless.withColumn("_text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).dropDuplicates(["_text"]).drop("_text")
-    return named.select(docs.columns).unionByName(_one_each(own, docs.columns))
-
-
-def _one_each(nameless: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of each group among rows that have no doc_id, by their own numbers in a written table."""
-    numbered = materialize(nameless.withColumn("_own", F.monotonically_increasing_id()), "simhash-nameless")
-    found = near_duplicates(numbered.select(F.col("_own").alias("doc_id"), "text"))
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_own"))
-    return numbered.join(kept, "_own", "left_semi").select(columns)
+    found, known = classes(docs)
+    known = materialize(known, "simhash-classes")
+    kept = known.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    if found.filter("doc_id is null").isEmpty():
+        return named
+    rows = materialize(docs.filter("doc_id is null").withColumn("_own_row", F.monotonically_increasing_id()), "simhash-nameless")
+    own = fingerprints(rows.select(F.col("_own_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_own_row")
+    first = own.join(known.filter("component_id is null"), "fp").groupBy("label").agg(F.min("_own_row").alias("_own_row"))
+    return named.unionByName(rows.join(first, "_own_row", "left_semi").select(docs.columns))
