@@ -74,8 +74,18 @@ def test_odd_texts(spark):
 
 
 def test_no_language_to_learn(spark):
-    with pytest.raises(ValueError, match="no row"):
-        langid.train(docs(spark, [(1, "text")]))
+    unlabelled = docs(spark, [(1, "text"), (2, "12")])
+    model = langid.train(unlabelled)
+    assert [tuple(r) for r in langid.predict(unlabelled, model).collect()] == [(1, "und", 0.0), (2, "und", 0.0)]
+    assert [r.doc_id for r in langid.with_language(unlabelled).collect()] == [1]
+
+
+def test_rejected_rows_and_filled_languages(spark):
+    df = clashing(docs(spark, [*ROWS, (8, "12 !", "en", "s"), (9, "", "de", "s"), (10, "der Hund war hier", None, "s")]))
+    got = langid.with_language(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.lang for r in got.collect()} == {1: "en", 2: "en", 3: "de", 4: "de", 5: "fr", 7: "en", 10: "de"}
+    assert langid.with_language(docs(spark, [])).count() == 0
 
 
 def test_language_of_a_row_is_no_input(spark):

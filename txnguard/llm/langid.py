@@ -40,6 +40,10 @@ def letters() -> np.ndarray:
     return flags
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of rows with a limited number of characters together; a longer text is a run of its own."""
     start = held = 0
@@ -84,7 +88,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model of all rows with a language; counts of n-grams and documents are summed over the whole table.
 
     Null languages teach nothing, null texts have no n-grams. The model has a fixed size per language, whatever the
-    number of rows; it needs at least one language.
+    number of rows. Without any labelled row it knows no language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,15 +122,17 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         languages.append(r.lang)
         docs.append(n[bucket < 0].sum())
         table.append(np.log((dense + SMOOTHING) / (dense.sum() + SMOOTHING * BUCKETS)))
-    if not languages:
-        raise ValueError("no row has a language to learn")
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not languages:
+        return Model([], np.zeros(0), np.zeros((0, BUCKETS)))
     return Model(languages, np.log(np.array(docs) / sum(docs)), np.array(table))
 
 
 def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The likeliest language of each text and its probability: the sum of the matrix entries of its n-grams."""
+    if not model.languages:
+        return np.zeros(len(texts), int), np.zeros(len(texts))
     total = np.tile(model.prior, (len(texts), 1))
     for start, end in chunks(texts):
         bucket, numbers = ngrams(texts[start:end])
@@ -143,7 +149,7 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score`` for each row of ``docs``; only the text decides.
 
-    ``und`` with score 0 if the text is null, empty or has no letter. Texts are read whole, whatever their length.
+    ``und`` with score 0 if the text is null, empty or has no letter, or if the model knows no language. Texts are read whole, whatever their length.
     Repeated rows get equal results; equal probabilities go to the first language in order. No rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -156,10 +162,32 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 part = batch.slice(at, 512)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 best, score = scores(own, texts)
-                lettered = [any(map(str.isalpha, t)) for t in texts]
-                pred = [own.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-                score = np.where(lettered, score, 0.0)
+                known = [bool(own.languages) and has_letter(t) for t in texts]
+                pred = [own.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
+                score = np.where(known, score, 0.0)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(of, f"{kinds}, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; the others are rejected. A null ``lang`` becomes the predicted
+    one. The model learns from all rows that have a language; if none has, every text with a letter stays."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                part = part.filter(pa.array([has_letter(t or "") for t in part.column(text).to_pylist()]))
+                given = part.column(lang).to_pylist()
+                if own.languages and None in given:
+                    best, _ = scores(own, part.column(text).to_pylist())
+                    filled = [own.languages[b] if g is None else g for g, b in zip(given, best, strict=True)]
+                    part = part.set_column(lang, part.schema.field(lang), pa.array(filled, pa.string()))
+                yield part
+
+    return docs.mapInArrow(of, docs.schema)
