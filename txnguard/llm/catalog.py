@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from txnguard.llm import q_langid, q_mixing, q_packing, q_pii, q_simhash
+from txnguard.llm import q_langid, q_mixing, q_packing, q_pii, q_simhash, q_winnowing
 
-MODULES = (q_langid, q_mixing, q_packing, q_pii, q_simhash)
+MODULES = (q_langid, q_mixing, q_packing, q_pii, q_simhash, q_winnowing)
 
 
 def catalog() -> dict:
