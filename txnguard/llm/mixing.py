@@ -186,9 +186,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them; what has no word is not taken."""
+    """The rows of ``docs`` as often as the mix takes them; what has no word is not taken.
+
+    What is drawn grows with the documents, so the two are merged by row number whatever their size."""
     rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
     sizes = rows.select(F.col("_mix_row").alias("key"), "source", words(F.col("text")).alias("size"))
-    drawn = mix(sizes).filter("copies > 0").select(F.col("key").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
+    drawn = mix(sizes).filter("copies > 0").select(F.col("key").alias("_mix_row"), F.col("copies").alias("_mix_copies")).hint("merge")
     repeats = F.explode(F.array_repeat(F.lit(True), F.col("_mix_copies").cast("int")))
     return rows.join(drawn, "_mix_row").withColumn("_mix_copy", repeats).select(docs.columns)
