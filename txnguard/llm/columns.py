@@ -46,3 +46,21 @@ def spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def run_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` numbers, from the hashes of runs of 1, 2, 4 .. of them."""
+    run, have, out, at = spread(values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1, None, 0
+    n, left = len(values) - size + 1, size
+    while left:
+        if left & 1:
+            piece = run[at : at + n]
+            out = piece if out is None else (out * np.uint64(0x9FB21C651E98DF25)) ^ piece
+            out = out ^ (out >> np.uint64(29))
+            at += have
+        left >>= 1
+        if left:
+            run = (run[:-have] * np.uint64(0xD6E8FEB86659FD93)) + run[have:]
+            run ^= run >> np.uint64(32)
+            have *= 2
+    return spread(out)

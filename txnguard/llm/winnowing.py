@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.llm.columns import code_points, only, spread, with_columns_of
+from txnguard.llm.columns import code_points, only, run_hashes, with_columns_of
 from txnguard.workdir import materialize
 
 #: Characters of a k-gram, and k-grams of a window. A passage of GRAM + WINDOW - 1 characters that two texts share has a
@@ -22,22 +22,8 @@ LOW = np.uint64(0xFFFFFFFF)
 
 
 def gram_hashes(points: np.ndarray, size: int) -> np.ndarray:
-    """A 32-bit hash of each run of ``size`` code points, from the hashes of runs of 1, 2, 4 .. characters."""
-    run, have, length, out, at = spread(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1, len(points), None, 0
-    n = length - size + 1
-    left = size
-    while left:
-        if left & 1:
-            piece = run[at : at + n]
-            out = piece if out is None else (out * np.uint64(0x9FB21C651E98DF25)) ^ piece
-            out = out ^ (out >> np.uint64(29))
-            at += have
-        left >>= 1
-        if left:
-            run = (run[:-have] * np.uint64(0xD6E8FEB86659FD93)) + run[have:]
-            run ^= run >> np.uint64(32)
-            have *= 2
-    return spread(out) & LOW
+    """A 32-bit hash of each run of ``size`` code points."""
+    return run_hashes(points, size) & LOW
 
 
 def winnow(text: str) -> tuple[np.ndarray, np.ndarray]:
