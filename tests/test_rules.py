@@ -20,10 +20,10 @@ def log(spark, *rows):
 HISTORY = [("P002", True, 10.0, 1000, 1), ("P002", False, 10.0, 3000, 2), ("P002", True, 90.0, 5000, 3), ("P002", True, 50.0, 5000, 4), ("P9", True, 1.0, 0, 5)]
 
 
-@pytest.mark.parametrize("max_rows", [100, 0])
-def test_as_of_broadcast_and_bucketed_agree(spark, max_rows):
+@pytest.mark.parametrize("chunk_ms", [1, 700, 3_600_000])
+def test_as_of_over_chunks(spark, chunk_ms):
     df = txns(spark, [(ms, "u", 60, "SUCCESS") for ms in (500, 1000, 2999, 3000, 4999, 5000, 9000)])
-    got = R.rule_as_of(df, log(spark, *HISTORY), "P002", max_rows=max_rows, bucket_ms=700)
+    got = R.rule_as_of(df, log(spark, *HISTORY), "P002", chunk_ms=chunk_ms, slots=3)
     assert sorted((r.event_ms, r.threshold_amount) for r in got.collect()) == [(1000, 10.0), (2999, 10.0), (5000, 50.0), (9000, 50.0)]
 
 
@@ -48,6 +48,22 @@ def test_dynamic_mode_follows_and_disables(spark):
     assert detect.detect_all(df, changelog=off, mode="static").filter("pattern_id = 'P001'").count() == 1
 
 
+def test_as_of_plan_has_no_nested_loop(spark):
+    got = R.rule_as_of(txns(spark, [(1, "u", 1, "SUCCESS")]), log(spark, *HISTORY), "P002")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_dynamic_settings_that_are_absent_keep_the_built_in(spark):
+    row = ("P001", None, True, 0.0, None, 0, 0, None, datetime.fromtimestamp(0), 1)
+    other = ("P003", "x", True, 0.0, None, 0, 3, "LOW", datetime.fromtimestamp(0), 2)
+    got = R.pattern_rules(spark.createDataFrame([row, other], LOG))
+    assert got["P001"] == P.BUILTIN["P001"]
+    assert got["P003"] == P.BUILTIN["P003"].with_(name="x", times=3, severity="LOW")
+    with pytest.raises(ValueError, match="positive"):
+        P.BUILTIN["P001"].with_(times=0)
+
+
 def test_profiles():
     assert P.BUILTIN["P001"].high == 50.0 and P.RULES_FILE["P001"].high == 20.0
 

@@ -43,7 +43,7 @@ def _blank_to_null(text: Column) -> Column:
 
 
 def _parsed(value: Column, ddl: str) -> Column:
-    return F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.from_json(value, ddl + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
 
 
 def _unknown_fields(value: Column, allowed: Sequence[str]) -> Column:

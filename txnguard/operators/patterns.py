@@ -30,6 +30,10 @@ class PatternRule:
     window_s: int = 60
     times: int = 2
 
+    def __post_init__(self) -> None:
+        if self.times < 1 or self.window_s < 1:
+            raise ValueError(f"{self.rule_id}: times and window must be positive")
+
     def with_(self, **changes) -> "PatternRule":
         return replace(self, **changes)
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from txnguard.functions.alerts import new_country_rule_alerts
 from txnguard.operators.patterns import BUILTIN, PatternRule, first_in_country
-from txnguard.operators.sizes import BROADCAST_ROWS, fits
 
-BUCKET_MS = 3_600_000
+CHUNK_MS = 3_600_000
+SLOTS = 16
 
 
 def rule_latest(changelog: DataFrame) -> DataFrame:
@@ -24,34 +24,30 @@ def rule_current(changelog: DataFrame) -> DataFrame:
     return rule_latest(changelog).filter("enabled")
 
 
-def rule_versions(changelog: DataFrame) -> DataFrame:
-    """Each version with the half-open span ``[from_ms, to_ms)`` in which it was the newest."""
-    w = Window.partitionBy("rule_id").orderBy("from_ms", "rule_seq")
-    timed = changelog.withColumn("from_ms", F.unix_millis("rule_ts"))
-    return timed.withColumn("to_ms", F.lead("from_ms").over(w))
+def rule_as_of(txns: DataFrame, changelog: DataFrame, rule_id: str, chunk_ms: int = CHUNK_MS, slots: int = SLOTS) -> DataFrame:
+    """Inner join of each transaction to the version of ``rule_id`` in force at its event time, if that is enabled.
 
-
-def rule_as_of(
-    txns: DataFrame, changelog: DataFrame, rule_id: str, max_rows: int = BROADCAST_ROWS, bucket_ms: int = BUCKET_MS
-) -> DataFrame:
-    """Inner join of each transaction to the version of ``rule_id`` in force at its event time.
-
-    A changelog of checked size is broadcast. A larger one is cut into time buckets and joined on the bucket, so
-    that no side travels whole.
+    Versions and transactions are put in one order, and each transaction takes the last version before it. That is done
+    per time chunk and slot: a chunk's transactions are spread over ``slots`` and each slot gets the chunk's versions.
+    What was in force when a chunk began comes from one row per chunk. One plan for every size of either side.
     """
-    versions = rule_versions(changelog.filter(F.col("rule_id") == rule_id)).filter("enabled")
-    versions = versions.select("rule_id", "rule_name", "severity", "threshold_amount", "from_ms", "to_ms")
-    inside = (F.col("event_ms") >= F.col("from_ms")) & (
-        F.col("to_ms").isNull() | (F.col("event_ms") < F.col("to_ms"))
+    body = F.struct("rule_id", "rule_name", "severity", "threshold_amount", "enabled")
+    log = changelog.filter(F.col("rule_id") == rule_id).select(F.unix_millis("rule_ts").alias("_ms"), "rule_seq", body.alias("_v"))
+    log = log.groupBy("_ms").agg(F.max_by("_v", "rule_seq").alias("_v")).withColumn("_chunk", F.floor(F.col("_ms") / chunk_ms))
+    rows = txns.filter(F.col("event_ms").isNotNull()).select(
+        F.struct(*txns.columns).alias("_t"), F.col("event_ms").alias("_ms"), F.floor(F.col("event_ms") / chunk_ms).alias("_chunk"),
+        F.pmod(F.xxhash64("event_ms", *[c for c in ("id",) if c in txns.columns]), F.lit(slots)).alias("_slot"),
     )
-    if fits(versions, max_rows):
-        return txns.join(F.broadcast(versions), inside).drop("from_ms", "to_ms")
-    horizon = txns.agg(F.max("event_ms")).first()[0] or 0
-    last = F.least(F.coalesce(F.col("to_ms") - 1, F.lit(horizon)), F.lit(horizon))
-    buckets = F.sequence(F.floor(F.col("from_ms") / bucket_ms), F.floor(last / bucket_ms))
-    spans = versions.filter((last >= F.col("from_ms"))).withColumn("_bucket", F.explode(buckets))
-    keyed = txns.withColumn("_bucket", F.floor(F.col("event_ms") / bucket_ms))
-    return keyed.join(spans, "_bucket").filter(inside).drop("from_ms", "to_ms", "_bucket")
+    copies = log.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    every = rows.withColumn("_late", F.lit(1)).unionByName(copies.withColumn("_late", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy("_chunk", "_slot").orderBy("_ms", "_late")
+    known = every.withColumn("_here", F.last("_v", ignorenulls=True).over(so_far)).filter(F.col("_t").isNotNull())
+    chunks = rows.select("_chunk").unionByName(log.select("_chunk")).distinct()
+    lasts = chunks.join(log.groupBy("_chunk").agg(F.max_by("_v", "_ms").alias("_last")), "_chunk", "left")
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk, no transactions
+    carried = lasts.select("_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    found = known.join(carried, "_chunk").withColumn("_r", F.coalesce("_here", "_carried")).filter("_r.enabled")
+    return found.select("_t.*", "_r.rule_id", "_r.rule_name", "_r.severity", "_r.threshold_amount")
 
 
 def new_country_dynamic(txns: DataFrame, changelog: DataFrame, order=("arrival",), **kw) -> DataFrame:
@@ -63,7 +59,8 @@ def new_country_dynamic(txns: DataFrame, changelog: DataFrame, order=("arrival",
 def pattern_rules(changelog: DataFrame, base: dict[str, PatternRule] = BUILTIN) -> dict[str, PatternRule]:
     """The current settings of the known patterns, for the mode in which all patterns follow the rule table.
 
-    Reads at most one row per known pattern. A pattern whose newest version is disabled is left out; one that was
+    Reads at most one row per known pattern. A number that is absent, which decoding turns into 0, and an absent name or
+    severity keep the built-in setting. A pattern whose newest version is disabled is left out; one that was
     never published keeps its built-in settings.
     """
     newest = rule_latest(changelog.filter(F.col("rule_id").isin(*base)))
@@ -75,17 +72,17 @@ def pattern_rules(changelog: DataFrame, base: dict[str, PatternRule] = BUILTIN)
         if not row.enabled:
             out.pop(row.rule_id)
             continue
-        rule = base[row.rule_id].with_(name=row.rule_name, severity=row.severity)
-        if row.rule_id == "P001":
-            rule = rule.with_(high=row.threshold_amount, window_s=row.window_seconds, times=row.min_occurrences)
-        elif row.rule_id == "P002":
-            rule = rule.with_(low=row.threshold_amount)
-        elif row.rule_id == "P003":
-            rule = rule.with_(window_s=row.window_seconds, times=row.min_occurrences)
-        elif row.rule_id == "P004":
-            rule = rule.with_(
-                low=row.threshold_amount, high=row.threshold_amount_high, window_s=row.window_seconds,
-                times=row.min_occurrences,
-            )
+        rule = base[row.rule_id]
+        rule = rule.with_(name=row.rule_name or rule.name, severity=row.severity or rule.severity)
+        wanted = {
+            "P001": {"high": row.threshold_amount, "window_s": row.window_seconds, "times": row.min_occurrences},
+            "P002": {"low": row.threshold_amount},
+            "P003": {"window_s": row.window_seconds, "times": row.min_occurrences},
+            "P004": {
+                "low": row.threshold_amount, "high": row.threshold_amount_high, "window_s": row.window_seconds,
+                "times": row.min_occurrences,
+            },
+        }[row.rule_id]
+        rule = rule.with_(**{k: v for k, v in wanted.items() if v is not None and v > 0})
         out[row.rule_id] = rule
     return out

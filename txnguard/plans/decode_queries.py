@@ -20,9 +20,10 @@ from txnguard.workdir import run_dir
 FAULTS = {
     3: "null_value", 5: "bad_json", 7: "missing_id", 11: "missing_amount", 13: "unknown_field", 17: "amount_object",
     19: "amount_word", 23: "amount_text", 29: "epoch_time", 31: "null_time", 37: "json_array", 41: "bad_time",
+    43: "single_quotes", 47: "country_object", 53: "feature_word",
 }
 REASON_SQL = """CASE event_id % 97 WHEN 3 THEN 'null_value' WHEN 5 THEN 'bad_json' WHEN 37 THEN 'bad_json'
-  WHEN 13 THEN 'unknown_field' WHEN 17 THEN 'bad_type' WHEN 19 THEN 'bad_type' WHEN 41 THEN 'bad_type'
+  WHEN 13 THEN 'unknown_field' WHEN 17 THEN 'bad_type' WHEN 19 THEN 'bad_type' WHEN 41 THEN 'bad_type' WHEN 43 THEN 'bad_json' WHEN 47 THEN 'bad_type' WHEN 53 THEN 'bad_type'
   WHEN 7 THEN 'missing_required' WHEN 11 THEN 'missing_required' END"""
 
 
@@ -60,15 +61,17 @@ def raw_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit('"amount":'), amount_json, F.lit(","),
         text("currency", F.col("currency")), F.lit(","),
         text("merchantId", F.col("merchant_id")), F.lit(","),
-        text("country", F.col("country")), F.lit(","),
+        F.when(F.col("fault") == "country_object", F.lit('"country":{"code":"VN"}')).otherwise(text("country", F.col("country"))), F.lit(","),
         text("status", F.col("status")), F.lit(","),
         F.lit('"eventTime":'), time_json,
-        F.when(F.col("fault") == "unknown_field", F.lit(',"extra":1')).otherwise(F.lit("")),
+        F.when(F.col("fault") == "unknown_field", F.lit(',"extra":1'))
+        .when(F.col("fault") == "feature_word", F.lit(',"mlFeatures":{"V1":"much"}')).otherwise(F.lit("")),
         F.lit("}"),
     )
     value = (
         F.when(F.col("fault") == "null_value", F.lit(None))
         .when(F.col("fault") == "bad_json", F.concat(F.lit("{"), body))
+        .when(F.col("fault") == "single_quotes", F.translate(body, '"', "'"))
         .when(F.col("fault") == "json_array", F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(body)
     )

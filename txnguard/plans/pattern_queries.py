@@ -125,7 +125,7 @@ def scored(spark, d) -> DataFrame:
 
 def alerts(spark: SparkSession, d: str) -> DataFrame:
     """The whole alert table, with ``event_ms``."""
-    return detect.detect_all(tx(spark, d), WIDE, scored=scored(spark, d))
+    return detect.detect.detect_all(tx(spark, d), WIDE, scored=scored(spark, d))
 
 
 def all_alerts(spark, d):
@@ -239,6 +239,36 @@ def rule_asof_join(spark, d):
     return joined.select("id", "severity", "threshold_amount")
 
 
+def event_changelog(spark, d) -> DataFrame:
+    """A version of one rule with every event, so that the log is as long as the table."""
+    t = tx(spark, d)
+    return t.select(
+        F.lit("P002").alias("rule_id"), F.col("user_id").alias("rule_name"), (F.col("status") != "FRAUD").alias("enabled"),
+        F.col("amount").cast("double").alias("threshold_amount"), F.lit("LOW").alias("severity"),
+        F.timestamp_millis("event_ms").alias("rule_ts"), F.col("arrival").alias("rule_seq"),
+    )
+
+
+def rule_asof_large(spark, d):
+    joined = R.rule_as_of(tx(spark, d), event_changelog(spark, d), "P002")
+    return joined.select("id", "rule_name", "threshold_amount")
+
+
+def detect_dynamic(spark, d):
+    """All patterns under a log that omits numbers (decoded as 0), switches one pattern off and changes another."""
+    log = spark.sql(
+        """
+        SELECT rule_id, rule_name, enabled, threshold_amount, CAST(NULL AS DOUBLE) AS threshold_amount_high, 0 AS window_seconds,
+               0 AS min_occurrences, severity, to_timestamp('2024-01-01T00:00:00Z') AS rule_ts, rule_seq
+        FROM VALUES ('P001', CAST(NULL AS STRING), true, 0D, CAST(NULL AS STRING), 1L), ('P003', 'Off', false, 0D, 'LOW', 2L),
+          ('P004', 'Midrange', true, 80D, 'LOW', 3L), ('P002', 'Place', true, 60D, 'HIGH', 4L)
+          AS log(rule_id, rule_name, enabled, threshold_amount, severity, rule_seq)
+        """
+    )
+    found = detect.detect_all(tx(spark, d), WIDE, changelog=log, mode="dynamic")
+    return found.groupBy("pattern_id", "pattern_name", "severity").agg(F.count("*").alias("n"))
+
+
 def p002_dynamic(spark, d):
     return R.new_country_dynamic(tx(spark, d), changelog(spark)).select(*ALERT)
 
@@ -261,6 +291,11 @@ def dedupe_first(spark, d):
 
 
 SIMPLE = "id, user_id, CAST(amount AS DOUBLE) AS amount"
+P002_DYNAMIC_SQL = (
+    f"WITH {TX_SQL}, {P002_SQL}, {CHANGELOG_SQL}, hit AS (SELECT seen.*, rule_name, severity AS sev FROM seen "
+    f"ASOF JOIN rule_log ON event_time >= rule_ts WHERE enabled AND amount > threshold_amount) "
+    + alert_sql("hit", "'P002'", "rule_name", "sev", NEW_TEXT, "id")
+)
 QUERIES = {
     "all_alerts": (all_alerts, f"{ALL_SQL} SELECT * FROM alerts"),
     "p001_rapid_small": (p001, f"WITH {TX_SQL}, {P001_SQL} {A001}"),
@@ -304,11 +339,24 @@ QUERIES = {
         f"""WITH {TX_SQL}, {CHANGELOG_SQL} SELECT id, severity, CAST(threshold_amount AS DOUBLE) AS threshold_amount
         FROM tx ASOF JOIN rule_log ON event_time >= rule_ts WHERE enabled""",
     ),
+    "rule_asof_large": (
+        rule_asof_large,
+        f"""WITH {TX_SQL}, versions AS (SELECT event_ms AS from_ms, arg_max(user_id, arrival) AS rule_name,
+          arg_max(CAST(amount AS DOUBLE), arrival) AS threshold_amount, arg_max(status <> 'FRAUD', arrival) AS enabled FROM tx GROUP BY 1)
+        SELECT id, rule_name, threshold_amount FROM tx ASOF JOIN versions ON event_ms >= from_ms WHERE enabled""",
+    ),
+    "detect_dynamic": (
+        detect_dynamic,
+        f"""WITH {TX_SQL}, {P001_SQL}, {P002_SQL}, mid AS (SELECT event_ms - lag(event_ms) OVER w AS gap FROM tx
+          WHERE amount BETWEEN 80 AND 500 AND status = 'SUCCESS' WINDOW w AS (PARTITION BY card_number ORDER BY event_ms, arrival)
+          QUALIFY gap < 21600000),
+        every AS (SELECT 'P001' AS pattern_id, '{WIDE["P001"].name}' AS pattern_name, '{WIDE["P001"].severity}' AS severity FROM p001
+          UNION ALL SELECT 'P004', 'Midrange', 'LOW' FROM mid UNION ALL SELECT 'P002', 'Place', 'HIGH' FROM seen WHERE amount > 60)
+        SELECT pattern_id, pattern_name, severity, count(*) AS n FROM every GROUP BY ALL""",
+    ),
     "p002_dynamic": (
         p002_dynamic,
-        f"WITH {TX_SQL}, {P002_SQL}, {CHANGELOG_SQL}, hit AS (SELECT seen.*, rule_name, severity AS sev FROM seen "
-        f"ASOF JOIN rule_log ON event_time >= rule_ts WHERE enabled AND amount > threshold_amount) "
-        + alert_sql("hit", "'P002'", "rule_name", "sev", NEW_TEXT, "id"),
+        P002_DYNAMIC_SQL,
     ),
     "upsert_ignore_anti": (
         upsert_ignore_anti,

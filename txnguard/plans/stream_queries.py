@@ -15,7 +15,7 @@ from txnguard.plans.inputs import TX_SQL, WIDE
 from txnguard.plans.ml_queries import BIAS, LINEAR_SCALE, LINEAR_SQL, WEIGHTS, cards_of
 from txnguard.plans.monitor_queries import LOG_SQL
 from txnguard.plans.pattern_queries import (
-    A001, A003, A004, ALERT, NEW_TEXT, P001_SQL, P002_SQL, P003_SQL, P004_SQL, alert_sql, changelog,
+    A001, A003, A004, ALERT, P001_SQL, P002_DYNAMIC_SQL, P003_SQL, P004_SQL, alert_sql, changelog,
 )
 from txnguard.sources.records import read_transactions
 from txnguard.streaming import jobs
@@ -72,16 +72,21 @@ def stream_p003(spark, d):
 
 
 def stream_p002(spark, d):
-    """New-country alerts under the rules in force when each micro-batch runs."""
+    """New-country alerts, each row under the rule in force at its time; the input arrives in two parts."""
     own = jobs.stream_session(spark)
     base = run_dir(spark, "country")
     changelog(spark).write.parquet(f"{base}/rules")
+    t = inputs.tx(spark, d)
+    middle = t.select(F.percentile_approx("arrival", 0.5)).first()[0] or 0
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rule = jobs.current_rule(batch.sparkSession, f"{base}/rules", "P002")
-        jobs.write_batch(jobs.new_country_alerts(batch, rule).select(*ALERT), f"{base}/out", batch_id)
+        log = batch.sparkSession.read.parquet(f"{base}/rules")
+        jobs.write_batch(jobs.new_country_alerts(batch, log).select(*ALERT), f"{base}/out", batch_id)
 
-    jobs.each_batch(jobs.first_seen_stream(tx_stream(own, d)), handle, f"{base}/checkpoint").awaitTermination()
+    for part in (F.col("arrival") <= middle, F.col("arrival") > middle):
+        t.filter(part).write.mode("append").parquet(f"{base}/in")
+        rows = own.readStream.schema(t.schema).parquet(f"{base}/in")
+        jobs.each_batch(jobs.first_seen_stream(rows), handle, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select(*ALERT)
 
 
@@ -127,8 +132,7 @@ QUERIES = {
     "stream_p003": (stream_p003, f"WITH {TX_SQL}, {P003_SQL} {A003} WHERE event_ms <= {CLOSED}"),
     "stream_p002": (
         stream_p002,
-        f"WITH {TX_SQL}, {P002_SQL} "
-        + alert_sql("(SELECT * FROM seen WHERE amount > 20)", "'P002'", "'High Value New Location'", "'MEDIUM'", NEW_TEXT, "id"),
+        P002_DYNAMIC_SQL,
     ),
     "stream_score": (stream_score, LINEAR_SQL),
     "stream_fraud_count": (

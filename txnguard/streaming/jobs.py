@@ -12,8 +12,7 @@ from txnguard.functions import alerts as A
 from txnguard.functions.once import with_once
 from txnguard.operators import patterns as P
 from txnguard.operators.ordered import CHUNK_WINDOWS, spread_chunks
-from txnguard.operators.rules import rule_current
-from txnguard.operators.sizes import small_side
+from txnguard.operators.rules import rule_as_of
 from txnguard.sources.files import read_or_empty
 from txnguard.streaming.processors import (
     MATCH_SCHEMA, SEEN_COLUMNS, SEEN_SCHEMA, FirstSeenProcessor, Sequence, SequenceProcessor, first_per_batch,
@@ -127,14 +126,14 @@ def first_seen_stream(txns: DataFrame, ttl_ms: int | None = None, slots: int | N
     )
 
 
-def current_rule(spark: SparkSession, rule_table: str, rule_id: str) -> DataFrame:
-    """The version of one rule in force now, read anew at every call."""
-    return rule_current(read_or_empty(spark, rule_table, RULE_TABLE).filter(F.col("rule_id") == rule_id))
+def rule_log(spark: SparkSession, rule_table: str) -> DataFrame:
+    """All rule versions that have arrived, read anew at every call."""
+    return read_or_empty(spark, rule_table, RULE_TABLE)
 
 
-def new_country_alerts(first_seen: DataFrame, rule: DataFrame) -> DataFrame:
-    rule = rule.select("rule_name", "severity", "threshold_amount", F.lit(1).alias("_one"))
-    joined = first_seen.withColumn("_one", F.lit(1)).join(small_side(rule), "_one")
+def new_country_alerts(first_seen: DataFrame, changelog: DataFrame) -> DataFrame:
+    """Each row under the version in force at its own time, so that a repeated batch gives the same alerts."""
+    joined = rule_as_of(first_seen, changelog, "P002")
     return A.new_country_rule_alerts(joined.filter(F.col("amount") > F.col("threshold_amount")))
 
 

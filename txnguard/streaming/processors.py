@@ -163,11 +163,11 @@ SEEN_SCHEMA = "user_id string, country string, id string, amount double, event_m
 
 
 def first_of_each(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["event_ms", "arrival"], kind="stable").drop_duplicates(["user_id", "country"])
+    return pdf.sort_values("arrival", kind="stable").drop_duplicates(["user_id", "country"])
 
 
 def first_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The earliest row of each user and country in each Arrow batch: only such a row can be the first one seen."""
+    """The row of each user and country that arrived first in each Arrow batch: only such a row can be the first one seen."""
     for pdf in batches:
         yield first_of_each(pdf)
 
