@@ -6,18 +6,33 @@ from txnguard.operators import monitor as M
 from txnguard.sources import files, sinks, tables
 
 
-def test_insert_absent_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "t")
-    ddl = "id string, v int"
-    batch = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 3, 5)], "id string, v int, _seq int")
-
-    def go(rows):
-        sinks.insert_absent(rows, lambda: files.read_or_empty(spark, path, ddl), lambda r: r.write.mode("append").parquet(path), order=("_seq",))
-
-    go(batch)
-    go(batch)
-    go(spark.createDataFrame([("b", 9, 0), ("c", 4, 0)], batch.schema))
-    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 3), ("c", 4)]
+def test_insert_or_ignore_stages_then_inserts(spark):
+    """The first row by arrival is staged; the database decides what is new, in one statement after the stage is full."""
+    stages, table, steps = {}, {}, []
+
+    def stage(rows, name):
+        stages[name] = rows.collect()
+        steps.append(("stage", name))
+
+    def execute(statements):
+        steps.append(("execute", statements))
+        for r in stages[statements[0].split(" FROM ")[1].split(" ")[0]]:
+            table.setdefault(r.id, r.v)
+
+    def go(rows, batch_id):
+        df = spark.createDataFrame(rows, "id string, v int, arrival long")
+        sinks.insert_or_ignore(df, "fraud_alerts", "card", batch_id, stage, execute)
+
+    go([("a", 1, 1), ("a", 2, 0), ("b", 3, 5)], 7)
+    go([("a", 1, 1), ("a", 2, 0), ("b", 3, 5)], 7)
+    go([("b", 9, 0), ("c", 4, 0)], 8)
+    assert table == {"a": 2, "b": 3, "c": 4}
+    assert [s[0] for s in steps] == ["stage", "execute"] * 3
+    assert steps[0][1] == steps[2][1] == "fraud_alerts_stage_card_7" != steps[4][1]
+    assert steps[1][1] == [
+        "INSERT INTO fraud_alerts (id, v) SELECT id, v FROM fraud_alerts_stage_card_7 ON CONFLICT (id) DO NOTHING",
+        "DROP TABLE fraud_alerts_stage_card_7",
+    ]
 
 
 def test_config_blank_counts_as_unset():

@@ -7,10 +7,12 @@ from helpers import brute_force, failed, random_rows, small, success, txns
 from pyspark.sql import functions as F
 
 from txnguard import schemas
+from txnguard.functions import alerts as A
 from txnguard.functions import decode as D
 from txnguard.ml import registry
 from txnguard.operators import patterns as P
 from txnguard.operators import scoring
+from txnguard.sources import tables
 from txnguard.streaming import jobs, service
 from txnguard.streaming.service import QualityListener, Service
 
@@ -146,14 +148,45 @@ def test_whole_service(spark, own, tmp_path):
     assert sorted(r.reason for r in spark.read.parquet(f"{out}/malformed").collect()) == ["missing_required", "null_value"]
     # The rule is switched off while the service is down for a moment; countries go on being remembered.
     later = {**rule, "enabled": False}
-    late = records(spark, [later]).withColumn("timestamp", F.expr("timestamp + interval 1 day"))
+    late = records(spark, [later]).withColumn("timestamp", F.expr("timestamp + interval 10 minutes"))
     feed(late, rules)
     feed(records(spark, [body(100, "c", 900, 1801, country="US")]), inbox)
     go()
     assert spark.read.parquet(f"{out}/alerts").count() == 4
     assert spark.read.parquet(f"{out}/transactions").count() == 10
+    # The lookups read what the service has written, and a transaction that is delivered again is stored once.
+    stored = tables.read_alerts(spark, f"{out}/alerts")
+    assert tables.alerts_by_time(stored, "2000-01-01T00:00:00Z", "2100-01-01T00:00:00Z").count() == 4
+    kept = spark.read.parquet(f"{out}/transactions")
+    assert tables.transactions_by_user_time(kept, "a", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z").count() == 4
+    feed(records(spark, [body(7, "a", 900, 8, country="US"), body(101, "d", 1, 1802)]), inbox)
+    go()
+    assert sorted(r.id for r in spark.read.parquet(f"{out}/transactions").collect()) == sorted({f"x{i}" for i in (*range(8), 99, 100, 101)})
     own.streams.removeListener(listener)
-    assert (listener.valid, listener.malformed) == (10, 2)
+    assert job.quality.valid == listener.valid
+    own.streams.removeListener(job.quality)
+    assert (listener.valid, listener.malformed) == (12, 2)
+
+
+def test_alerts_are_computed_once_and_stored_once(spark, own, tmp_path):
+    """The same alerts in two batches, and one batch run twice: one row per id, and what made them runs once a batch."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    df = spark.createDataFrame([(f"a{i}", f"t{i}") for i in range(6)], "id string, transaction_id string")
+    made = {"user_id": "u", "pattern_id": "P001", "pattern_name": "n", "severity": "LOW", "amount": "1.50", "description": "d", "source": "CEP"}
+    df = df.withColumns({k: F.lit(v) for k, v in made.items()}).withColumns({"ml_probability": F.lit(None).cast("double"), "detected_at": F.lit(None).cast("timestamp")})
+    df = df.select(*A.ALERT_COLUMNS)
+    df = df.mapInPandas(count, df.schema)
+    job = service.Service(own, str(tmp_path / "out"), str(tmp_path / "cp"))
+    for n, batch_id in enumerate((0, 1, 1), start=1):
+        job.write_alerts(df, "card", batch_id)
+        assert seen.value == 6 * n
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/alerts").collect()) == [f"a{i}" for i in range(6)]
 
 
 def test_model_hot_swap(spark, tmp_path, monkeypatch):

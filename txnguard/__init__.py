@@ -15,14 +15,14 @@ from txnguard.operators.patterns import (
 )
 from txnguard.operators.rules import new_country_dynamic, rule_as_of, rule_current
 from txnguard.operators.scoring import score, score_linear, score_python
-from txnguard.sources.sinks import insert_absent, jdbc_insert_absent
+from txnguard.sources.sinks import insert_or_ignore, jdbc_insert_or_ignore
 from txnguard.streaming.jobs import first_seen_stream, sequence_stream, stream_session
 from txnguard.streaming.service import Service
 
 __all__ = [
     "BUILTIN", "RULES_FILE", "Config", "PatternRule", "Service", "activate", "classification_report", "conform",
     "decode_rules", "decode_transactions", "dedupe_first", "detect_all", "fail_then_success", "first_seen_stream",
-    "insert_absent", "jdbc_insert_absent", "match_sequence", "midrange_velocity", "monitor", "new_country",
+    "insert_or_ignore", "jdbc_insert_or_ignore", "match_sequence", "midrange_velocity", "monitor", "new_country",
     "new_country_dynamic", "new_rows", "ranking_metrics", "rapid_small", "rule_as_of", "rule_current", "save", "score",
     "score_linear", "score_python", "sequence_stream", "stream_session", "to_alert", "to_records", "train",
 ]

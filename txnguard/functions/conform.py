@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from txnguard.functions.once import with_once
 
 
-def conform(df: DataFrame, table: dict, defaults: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def conform(
+    df: DataFrame, table: dict, defaults: dict | None = None, keep: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)`` for a table of column -> (type, nullable, maximum text length).
 
-    ``defaults`` fill nulls first. A rejected row keeps its own values and gets ``reject_reason``: the first broken
+    ``defaults`` fill nulls first; columns in ``keep`` that the input has go along with the accepted rows. A rejected row keeps its own values and gets ``reject_reason``: the first broken
     constraint in column order.
     """
     defaults = defaults or {}
@@ -26,5 +28,7 @@ def conform(df: DataFrame, table: dict, defaults: dict | None = None) -> tuple[D
         if not nullable:
             reason = F.when(given[name].isNull(), f"{name}_null").otherwise(reason)
     marked = with_once(df, "reject_reason", reason)
-    accepted = marked.filter(F.col("reject_reason").isNull()).select(*[c.alias(n) for n, c in typed.items()])
+    accepted = marked.filter(F.col("reject_reason").isNull()).select(
+        *[c.alias(n) for n, c in typed.items()], *[c for c in keep if c in df.columns]
+    )
     return accepted, marked.filter(F.col("reject_reason").isNotNull())

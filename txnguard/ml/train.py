@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from txnguard.functions.features import feature_array
 from txnguard.ml import metrics, registry, scaler, smote, split
 from txnguard.workdir import materialize
+from txnguard.ship import ship
 
 # The training settings.
 SETTINGS = {"rounds": 300, "depth": 6, "rate": 0.05, "row_share": 0.8, "feature_share": 0.8, "seed": 42}
@@ -52,6 +53,7 @@ def train(
     **settings,
 ) -> Trained:
     """``features`` is the map column. The scaling is fitted on all rows by default, before the split."""
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(label).cast("int").alias(label), features)
     rows = split.stratified_split(rows, label, "id", test_share, settings.get("seed", SETTINGS["seed"]))
     base = rows if scale_on_all else rows.filter(~F.col("is_test"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnguard.config import Config
 from txnguard.functions.alerts import to_records
-from txnguard.operators.merge import absent_from, dedupe_first
+from txnguard.operators.merge import dedupe_first
 
 # Rows per database round trip.
 ALERT_BATCH, TRANSACTION_BATCH = 200, 500
@@ -25,47 +25,62 @@ def send_alert_records(alerts: DataFrame, cfg: Config | None = None, path: str |
     writer.option("topic", cfg.alerts_topic).save()
 
 
-def insert_absent(
-    batch: DataFrame,
-    read_keys: Callable[[], DataFrame],
-    append: Callable[[DataFrame], None],
-    key: str = "id",
-    order: tuple[str, ...] = (),
-) -> None:
-    """Insert-or-ignore into any table that can be read by key and appended to; the first row of a key wins.
+def jdbc_options(cfg: Config, driver: str = "org.postgresql.Driver") -> dict[str, str]:
+    return {"url": cfg.jdbc_url, "user": cfg.jdbc_user, "password": cfg.jdbc_password, "driver": driver}
 
-    ``order`` tells which copy inside the batch came first; its columns are not written.
-    """
-    first = dedupe_first(batch, key, order or (key,))
-    append(absent_from(first, read_keys(), (key,)).drop(*[c for c in order if c.startswith("_")]))
 
+def insert_or_ignore_sql(table: str, staging: str, columns: Sequence[str], key: str = "id") -> list[str]:
+    """The statements that take a staged batch into its table and clear the stage. The database itself decides what is
+    there already, so neither a repeated batch nor another writer can fail or double it."""
+    listed = ", ".join(columns)
+    return [
+        f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staging} ON CONFLICT ({key}) DO NOTHING",
+        f"DROP TABLE {staging}",
+    ]
 
-def jdbc_options(cfg: Config, driver: str = "org.postgresql.Driver") -> dict[str, str]:
-    return {"url": cfg.jdbc_url, "user": cfg.jdbc_user, "password": cfg.jdbc_password, "driver": driver}
+
+def jdbc_execute(spark: SparkSession, options: dict[str, str], statements: Sequence[str]) -> None:
+    """Runs statements in one database transaction."""
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.Class.forName(options["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(options["url"], options["user"], options["password"])
+    try:
+        connection.setAutoCommit(False)
+        for statement in statements:
+            connection.createStatement().execute(statement)
+        connection.commit()
+    finally:
+        connection.close()
 
 
-def jdbc_insert_absent(
+def insert_or_ignore(
     batch: DataFrame,
     table: str,
-    options: dict[str, str],
-    batch_rows: int,
-    since: tuple[str, str] | None = None,
-    order: tuple[str, ...] = (),
+    name: str,
+    batch_id: int,
+    stage: Callable[[DataFrame, str], None],
+    execute: Callable[[Sequence[str]], None],
+    order: Sequence[str] = ("arrival",),
+) -> None:
+    """Insert-or-ignore of one micro-batch: the first row of each id, by ``order``, goes to a staging table of this query
+    and batch, which a repeated batch replaces; one statement in the database then adds what is new."""
+    staging = f"{table}_stage_{name}_{batch_id}"
+    known = [c for c in order if c in batch.columns]
+    first = dedupe_first(batch, "id", known or ("id",)).drop(*known)
+    stage(first, staging)
+    execute(insert_or_ignore_sql(table, staging, first.columns))
+
+
+def jdbc_insert_or_ignore(
+    batch: DataFrame, table: str, name: str, batch_id: int, options: dict[str, str], batch_rows: int, order: Sequence[str] = ("arrival",)
 ) -> None:
-    """Insert-or-ignore into a database table.
-
-    Only the key column of the target is read. ``since`` = (column, timestamp) narrows that read in the database
-    itself to rows that a repeated batch could have written.
-    """
-    spark = batch.sparkSession
-    where = f" WHERE {since[0]} >= TIMESTAMP '{since[1]}'" if since else ""
-    query = f"SELECT id FROM {table}{where}"
-    insert_absent(
-        batch,
-        lambda: spark.read.format("jdbc").options(**options).option("query", query).load(),
-        lambda rows: rows.write.format("jdbc").options(**options).option("dbtable", table)
-        .option("batchsize", batch_rows).mode("append").save(),
-        order=order,
+    """``insert_or_ignore`` over a database connection."""
+    insert_or_ignore(
+        batch, table, name, batch_id,
+        lambda rows, staging: rows.write.format("jdbc").options(**options).option("dbtable", staging)
+        .option("batchsize", batch_rows).mode("overwrite").save(),
+        lambda statements: jdbc_execute(batch.sparkSession, options, statements),
+        order,
     )
 
 

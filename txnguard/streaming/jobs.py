@@ -14,6 +14,7 @@ from txnguard.operators import patterns as P
 from txnguard.operators.ordered import CHUNK_WINDOWS, spread_chunks
 from txnguard.operators.rules import rule_as_of
 from txnguard.sources.files import read_or_empty
+from txnguard.ship import ship
 from txnguard.streaming.processors import (
     MATCH_SCHEMA, SEEN_COLUMNS, SEEN_SCHEMA, FirstSeenProcessor, Sequence, SequenceProcessor, first_per_batch,
 )
@@ -30,6 +31,7 @@ RULE_TABLE = (
 def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of the same application with the state store settings; ``partitions`` fixes the number of state
     partitions for the life of a checkpoint (default: the cores of the cluster)."""
+    ship(spark)
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
     # Generated methods above this size are not compiled by the JVM; split them instead.
@@ -157,6 +159,12 @@ def _trigger(writer, available_now: bool, interval_ms: int):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{interval_ms} milliseconds")
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, partitions: Seq[str] = ()) -> None:
     """One folder per micro-batch, replaced when the batch is run again: no repeated rows after a restart."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
+
+
+def stored_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Ids that other batches have stored; only that column is read. A batch that is run again does not meet its own."""
+    known = read_or_empty(spark, path, "id string, batch_id long")
+    return known.filter(F.col("batch_id") != batch_id).select("id")

@@ -16,9 +16,11 @@ from txnguard.functions.conform import conform
 from txnguard.ml import registry, train
 from txnguard.operators import patterns as P
 from txnguard.operators import scoring
+from txnguard.operators.merge import absent_from, dedupe_first
 from txnguard.sources.sinks import (
-    ALERT_BATCH, TRANSACTION_BATCH, jdbc_insert_absent, jdbc_options, send_alert_records,
+    ALERT_BATCH, TRANSACTION_BATCH, jdbc_insert_or_ignore, jdbc_options, send_alert_records,
 )
+from txnguard.sources.tables import PARTITIONS, utc_date, with_date
 from txnguard.streaming import jobs
 
 
@@ -29,6 +31,7 @@ class QualityListener(StreamingQueryListener):
         self.name = name
         self.valid = 0
         self.malformed = 0
+        self.attached = False
 
     def onQueryStarted(self, event):
         pass
@@ -80,7 +83,7 @@ class Service:
     interval_ms: int = 30_000
     send_to_topic: bool = False
     to_database: bool = False
-    replay_window: str = "1 day"
+    quality: QualityListener = field(default_factory=QualityListener)
 
     @property
     def rule_table(self) -> str:
@@ -99,27 +102,24 @@ class Service:
         return D.with_event_ms(valid)
 
     def write_alerts(self, alerts: DataFrame, name: str, batch_id: int) -> None:
-        """One computed batch, two sinks: the alert table and the outgoing records."""
-        rows, rejected = conform(A.write_defaults(alerts.select(*A.ALERT_COLUMNS)), schemas.ALERTS_TABLE, {"detected_at": F.current_timestamp()})
-        rows.persist()
+        """One computed batch, two sinks: the alert table and the outgoing records. The batch with all that made it, state
+        and scores included, is computed once."""
+        found = A.write_defaults(alerts.select(*A.ALERT_COLUMNS)).persist()
         try:
-            jobs.write_batch(rows, f"{self.out}/alerts/query={name}", batch_id)
+            rows, rejected = conform(found, schemas.ALERTS_TABLE, {"detected_at": F.current_timestamp()})
+            path = f"{self.out}/alerts/query={name}"
+            rows = absent_from(dedupe_first(rows, "id", ("transaction_id",)), jobs.stored_ids(rows.sparkSession, path, batch_id)).persist()
+            jobs.write_batch(with_date(rows), path, batch_id, PARTITIONS)
             jobs.write_batch(rejected, f"{self.out}/rejected_alerts/query={name}", batch_id)
             if self.send_to_topic:
                 send_alert_records(rows, self.cfg)
             else:
                 send_alert_records(rows, path=f"{self.out}/alert_records/query={name}/batch_id={batch_id}")
             if self.to_database:
-                self._insert(rows, "fraud_alerts", ALERT_BATCH, "detected_at")
-        finally:
+                jdbc_insert_or_ignore(rows, "fraud_alerts", name, batch_id, jdbc_options(self.cfg), ALERT_BATCH)
             rows.unpersist()
-
-    def _insert(self, rows: DataFrame, table: str, batch_rows: int, time_column: str) -> None:
-        """Insert-or-ignore. Only a batch that is run again can meet its own rows, so the look at the target reaches
-        back by ``replay_window``; anything older is stopped by the primary key of the table."""
-        earliest = rows.agg((F.min(time_column) - F.expr(f"interval {self.replay_window}")).cast("string")).first()[0]
-        if earliest is not None:
-            jdbc_insert_absent(rows, table, jdbc_options(self.cfg), batch_rows, since=(time_column, earliest))
+        finally:
+            found.unpersist()
 
     def _each(self, df: DataFrame, name: str, handle) -> StreamingQuery:
         return jobs.each_batch(df, handle, f"{self.checkpoint}/{name}", self.available_now, self.interval_ms)
@@ -167,10 +167,15 @@ class Service:
             try:
                 valid = batch.filter(F.col("reason").isNull())
                 valid = valid.withColumn("event_time", F.coalesce("event_time", "timestamp"))
-                rows, rejected = conform(valid, schemas.TRANSACTIONS_TABLE, {"ingested_at": F.current_timestamp()})
-                jobs.write_batch(rows, f"{self.out}/transactions", batch_id)
+                rows, rejected = conform(valid, schemas.TRANSACTIONS_TABLE, {"ingested_at": F.current_timestamp()}, ("arrival",))
+                path = f"{self.out}/transactions"
+                rows = dedupe_first(rows.withColumn("event_date", utc_date(F.col("event_time"))), "id", ("arrival",))
+                known = jobs.stored_ids(batch.sparkSession, path, batch_id)
+                new = absent_from(rows, known).drop("arrival")
+                jobs.write_batch(new, path, batch_id, ("event_date",))
                 if self.to_database:
-                    self._insert(rows, "transactions", TRANSACTION_BATCH, "event_time")
+                    staged = rows.drop("event_date")
+                    jdbc_insert_or_ignore(staged, "transactions", "transactions", batch_id, jdbc_options(self.cfg), TRANSACTION_BATCH)
                 jobs.write_batch(rejected.select("id", "reject_reason"), f"{self.out}/rejected_transactions", batch_id)
                 malformed = batch.filter(F.col("reason").isNotNull()).select("value", "timestamp", "reason")
                 jobs.write_batch(malformed, f"{self.out}/malformed", batch_id)
@@ -182,6 +187,9 @@ class Service:
     def start_all(self, records: DataFrame, rule_records: DataFrame | None = None) -> dict[str, StreamingQuery]:
         """Each part is its own query with its own checkpoint, so one can fail and restart alone."""
         queries = {}
+        if not self.quality.attached:
+            self.spark.streams.addListener(self.quality)
+            self.quality.attached = True
         if rule_records is not None:
             queries["rules"] = self.start_rules(rule_records)
             if self.available_now:
