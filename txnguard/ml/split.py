@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEX_DIGITS = 4
-MAX_CLASSES = 10_000
+SLOTS = 64
 
 
 def hash_order(id_col: str, seed: int) -> Column:
@@ -35,10 +35,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float =
     cuts = counts.filter(at_cut).select(
         label, F.col("_b").alias("_cut"), (F.col("_want") - F.col("_cum") + F.col("n")).alias("_left")
     )
-    few = cuts.limit(MAX_CLASSES + 1).collect()
-    if len(few) <= MAX_CLASSES:
-        cuts = F.broadcast(df.sparkSession.createDataFrame(few, cuts.schema))
-    marked = rows.join(cuts, label, "left")
+    # A class is spread over slots, and its one cut is copied to each, so that no class meets in one task.
+    cuts = cuts.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    marked = rows.withColumn("_slot", F.pmod("_b", F.lit(SLOTS))).join(cuts, [label, "_slot"], "left").drop("_slot")
     sure = marked.filter(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
     sure = sure.withColumn("is_test", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(False)))
     edge = marked.filter(F.col("_b") == F.col("_cut"))
