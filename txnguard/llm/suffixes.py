@@ -35,6 +35,7 @@ from txnguard.workdir import materialize, run_dir
 LENGTH = 50
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)
+IN_COVER = np.isin(np.arange(PERIOD), COVER)
 SAMPLE = LENGTH - PERIOD + 1
 CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 8192
@@ -105,46 +106,40 @@ class Chunk:
         self.bytes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.copies = set(row.get("copies") or ())
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        self.known_ids = np.array([d if d is not None else 0 for d in self.ids], np.int64)
         self.fresh = np.array([d is not None and k not in self.copies for k, d in enumerate(self.ids)])
 
-    def owners(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of fresh documents at which a string of this length fits, and the documents' numbers."""
-        room = np.where(self.fresh, np.maximum(self.sizes - length + 1, 0), 0)
-        doc = np.repeat(np.arange(len(self.ids)), room)
-        first = np.concatenate(([0], np.cumsum(room)[:-1]))
-        return self.starts[doc] + np.arange(len(doc)) - first[doc], doc
-
-    def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the cover's samples, their positions and documents."""
-        at, doc = self.owners(SAMPLE)
-        if not len(at):
-            return np.zeros(0, np.uint64), at, doc
-        chosen = np.isin((at - self.starts[doc]) % PERIOD, COVER)
-        at, doc = at[chosen], doc[chosen]
-        return run_hashes(self.bytes, SAMPLE)[at] >> np.uint64(64 - bits), at, doc
-
-    def suffixes(self, plan: Plan, ranks: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the strings that may be in another document, their positions and documents."""
-        keys, at, doc = self.samples(plan.sample_bits)
-        ranked = answers(keys, ranks, plan.sample_bits, plan.sample_buckets) if len(keys) else np.zeros(0, bool)
-        if len(keys):
-            ranked |= in_two(keys, doc)
+    def fits(self, length: int, pattern: np.ndarray | None = None) -> np.ndarray:
+        """Positions of fresh documents at which a string of this length fits, and which the pattern of positions has."""
+        out = np.zeros(len(self.bytes), bool)
+        room = np.where(self.fresh, self.sizes - length + 1, 0)
+        line = np.ones(room.max(initial=0), bool) if pattern is None else np.resize(pattern, room.max(initial=0))
+        for start, n in zip(self.starts[room > 0].tolist(), room[room > 0].tolist(), strict=True):
+            out[start : start + n] = line[:n]
+        return out
+
+    def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the cover's samples, and their positions."""
+        at = np.flatnonzero(self.fits(SAMPLE, IN_COVER))
+        return (run_hashes(self.bytes, SAMPLE)[at] >> np.uint64(64 - bits) if len(at) else np.zeros(0, np.uint64)), at
+
+    def suffixes(self, plan: Plan, ranks: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the strings that may be in another document, and their positions."""
+        keys, at = self.samples(plan.sample_bits)
+        ranked = answers(keys, ranks, plan.sample_bits, plan.sample_buckets) | in_two(keys, self.doc[at])
         near = np.zeros(len(self.bytes) + PERIOD + 1, np.int32)
         near[at[ranked] + 1] = 1
         near = np.cumsum(near, dtype=np.int32)
-        at, doc = self.owners(LENGTH)
-        chosen = near[at + PERIOD] > near[at]
-        at, doc = at[chosen], doc[chosen]
-        if not len(at):
-            return np.zeros(0, np.uint64), at, doc
-        return run_hashes(self.bytes, LENGTH)[at] >> np.uint64(64 - plan.suffix_bits), at, doc
+        at = np.flatnonzero((near[PERIOD:-1] > near[: -PERIOD - 1]) & self.fits(LENGTH))
+        return (run_hashes(self.bytes, LENGTH)[at] >> np.uint64(64 - plan.suffix_bits) if len(at) else np.zeros(0, np.uint64)), at
 
     def removed(self, plan: Plan, ranks: dict[int, bytes], smaller: dict[int, bytes]) -> np.ndarray:
         """Which bytes go: those of strings that start in a smaller document, in this chunk or another."""
-        keys, at, doc = self.suffixes(plan, ranks)
+        keys, at = self.suffixes(plan, ranks)
         out = np.zeros(len(self.bytes) + 1, np.int32)
         if len(keys):
-            own = np.array([d if d is not None else 0 for d in self.ids], np.int64)[doc]
+            own = self.known_ids[self.doc[at]]
             order = np.argsort(keys, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
             least = np.minimum.reduceat(own[order], first)
@@ -167,14 +162,31 @@ class Chunk:
             yield {"doc_id": doc, "n_bytes": size, "n_removed": int(gone.sum()), "n_spans": int(edges), "kept_sha256": hashlib.sha256(kept).hexdigest()}
 
 
+def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the numbers of keys that each stands for."""
+    ordered = np.sort(keys)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), ordered[1:] != ordered[:-1])))
+    return ordered[first], np.diff(np.append(first, len(keys)))
+
+
+def among(keys: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which keys are among a few ones in order."""
+    if not len(few):
+        return np.zeros(len(keys), bool)
+    return few[np.minimum(np.searchsorted(few, keys), len(few) - 1)] == keys
+
+
 def in_two(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether another document of the chunk has the key as well."""
-    order = np.argsort(keys, kind="stable")  # documents stay in order within a key
-    k, d = keys[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    known, times = different(keys)
+    at = np.flatnonzero(among(keys, known[times > 1]))
+    order = np.argsort(keys[at], kind="stable")  # documents stay in order within a key
+    k, d = keys[at][order], doc[at][order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(k), 1), bool), k[1:] != k[:-1])))
     length = np.diff(np.append(first, len(k)))
-    out = np.empty(len(keys), bool)
-    out[order] = np.repeat(d[first] != d[first + length - 1], length)
+    out = np.zeros(len(keys), bool)
+    if len(k):
+        out[at[order]] = np.repeat(d[first] != d[first + length - 1], length)
     return out
 
 
@@ -185,13 +197,12 @@ def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 
 def answers(keys: np.ndarray, given: dict[int, bytes], bits: int, buckets: int) -> np.ndarray:
     """The buckets' answers to each key; they are given for the different keys in their order."""
-    known, number = np.unique(keys, return_inverse=True)
-    bucket = bucket_of(known, bits, buckets)
+    known, _ = different(keys)
     flags = np.zeros(len(known), bool)
-    for b, s, e in slices(bucket):
+    for b, s, e in slices(bucket_of(known, bits, buckets)):
         if b in given:
             flags[s:e] = np.unpackbits(np.frombuffer(given[b], np.uint8), count=e - s).astype(bool)
-    return flags[number]
+    return among(keys, known[flags])
 
 
 def slices(sorted_numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -233,7 +244,7 @@ RESULT_KINDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_r
 def deal(chunk: int, keys: np.ndarray, docs: np.ndarray | None, bits: int, buckets: int) -> Iterator[dict]:
     """A chunk's different keys (and their smallest documents) by bucket, in their order."""
     if docs is None:
-        known, least = np.unique(keys), None
+        (known, _), least = different(keys), None
     else:
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
@@ -329,9 +340,8 @@ def _removed(chunks: DataFrame) -> DataFrame:
 
     def suffixes(row: dict) -> Iterator[dict]:
         own = Chunk(row)
-        keys, _, doc = own.suffixes(plan, pairs(row["ranks"]))
-        ids = np.array([d if d is not None else 0 for d in own.ids], np.int64)
-        yield from deal(own.number, keys, ids[doc], plan.suffix_bits, plan.suffix_buckets)
+        keys, at = own.suffixes(plan, pairs(row["ranks"]))
+        yield from deal(own.number, keys, own.known_ids[own.doc[at]], plan.suffix_bits, plan.suffix_buckets)
 
     def removal(row: dict) -> Iterator[dict]:
         own = Chunk(row)
