@@ -66,6 +66,9 @@ def _by_rule(df: DataFrame, rule: PatternRule, description: Column, trigger: Seq
     return to_alert(df, F.lit(rule.rule_id), F.lit(rule.name), F.lit(rule.severity), description, trigger)
 
 
+# The wording of the alert texts below.
+
+
 def rapid_small_text(rule: PatternRule) -> Column:
     text = f"{rule.times} transactions under {plain(rule.high)} EUR within {rule.window_s}s on card "
     return F.concat(F.lit(text), "card_number")

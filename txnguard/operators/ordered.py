@@ -21,6 +21,10 @@ CHUNK_WINDOWS = 8
 CHUNK_ROWS = 1 << 20
 
 
+#: Distinct values that one task ranks.
+BUCKET_VALUES = 20_000
+
+
 def chunk_of(ms: Column, chunk_ms: int) -> Column:
     return F.floor(ms / F.lit(chunk_ms))
 
@@ -76,6 +80,12 @@ def running_totals(
     return out.drop("_chunk", *[f"_{p}_{n}" for n in values for p in ("v", "r", "o")])
 
 
+def bucket_count(df: DataFrame, value: str, depth: int = BUCKET_VALUES) -> int:
+    """Buckets of about ``depth`` distinct values each: their number grows with the values, not their size."""
+    found = df.agg(F.approx_count_distinct(F.col(value).cast("double"))).first()[0] or 0
+    return max(2, -(-found // depth))
+
+
 def depth_cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
     """Strictly increasing inner cut points of ``value`` at about equal depth (at most ``buckets - 1`` numbers)."""
     probs = [i / buckets for i in range(1, buckets)]
@@ -89,7 +99,7 @@ def ranked_totals(
     counts: dict[str, Column],
     keys: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct ``value`` (and key) with each count, and ``cum_<count>`` up to and including it.
 
@@ -97,7 +107,7 @@ def ranked_totals(
     values are then cut at approximate quantiles; where a cut falls changes the load, never the result.
     """
     keys = list(keys)
-    splits = [float("-inf"), *depth_cuts(df, value, buckets), float("inf")]
+    splits = [float("-inf"), *depth_cuts(df, value, buckets or bucket_count(df, value)), float("inf")]
     distinct = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias(value))

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnguard.operators.patterns import BUILTIN
-from txnguard.operators.replay import padded
-
-# Fixed value: the country list of the replayed card data.
-COUNTRIES = ["VN", "US", "SG", "JP", "GB", "DE", "FR", "AU", "TH", "MY"]
+from txnguard.operators.replay import COUNTRIES, padded
 
 # The built-in one-minute windows are empty on these tables, so the queries pass wider ones.
 WIDE = {
@@ -51,11 +48,11 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_transactions(table(spark, sf_dir, "events"))
 
 
-TX_SQL = """tx AS (
+TX_SQL = f"""tx AS (
   SELECT CAST(event_id AS VARCHAR) AS id, event_id AS arrival, CAST(user_id AS VARCHAR) AS user_id,
          CAST(user_id AS VARCHAR) AS card_number, CAST(value AS DECIMAL(12,2)) AS amount, 'EUR' AS currency,
          printf('MER-%04d', event_id % 1000) AS merchant_id,
-         ['VN','US','SG','JP','GB','DE','FR','AU','TH','MY'][
+         {COUNTRIES}[
            CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) % 10 + 1] AS country,
          CASE WHEN event_type = 'error' THEN 'FRAUD' ELSE 'SUCCESS' END AS status,
          ts AS event_time, epoch_us(ts) // 1000 AS event_ms, value / 500 AS score

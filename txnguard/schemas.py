@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Field and column names, types and lengths of the records and tables below.
 FEATURE_NAMES = [f"V{i}" for i in range(1, 29)] + ["Amount", "Time"]
 
 RAW_RECORD = "key binary, value binary, timestamp timestamp"

@@ -10,6 +10,14 @@ from txnguard import schemas
 PARTITIONS = ["detected_date", "source"]
 
 
+#: Files of a day: its users are spread over so many, and a user is in one of them.
+FILES_PER_DAY = 4
+
+
+def by_user() -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(FILES_PER_DAY))
+
+
 def utc_date(ts: Column) -> Column:
     return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
 
@@ -20,18 +28,21 @@ def with_date(alerts: DataFrame) -> DataFrame:
 
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by day and source; files sorted by user so that a user lookup skips row groups."""
-    rows = with_date(alerts.select(*schemas.ALERTS_TABLE))
+    rows = with_date(alerts.select(*schemas.ALERTS_TABLE)).repartition(*PARTITIONS, by_user())
     rows.sortWithinPartitions(*PARTITIONS, "user_id").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
 def write_transactions(txns: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by day; files sorted by user so that a user lookup skips row groups."""
     rows = txns.select(*schemas.TRANSACTIONS_TABLE).withColumn("event_date", utc_date(F.col("event_time")))
+    rows = rows.repartition("event_date", by_user())
     rows.sortWithinPartitions("event_date", "user_id").write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The alert table as ``write_alerts`` or the service lays it out; partition columns come from the folders."""
+    stored = ", ".join(f"{name} {kind}" for name, (kind, *_) in schemas.ALERTS_TABLE.items())
+    return spark.read.schema(f"{stored}, detected_date date").parquet(path)
 
 
 def alerts_recent(alerts: DataFrame, n: int = 5) -> DataFrame:
