@@ -247,7 +247,7 @@ def _stored_alerts(spark, d):
 
 
 def alerts_recent(spark, d):
-    return tables.alerts_recent(_stored_alerts(spark, d), 5)
+    return tables.alerts_recent(_stored_alerts(spark, d), 5).withColumn("amount", F.col("amount").cast("double"))
 
 
 def alerts_by_user(spark, d):

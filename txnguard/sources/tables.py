@@ -28,7 +28,8 @@ def with_date(alerts: DataFrame) -> DataFrame:
 
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by day and source; files sorted by user so that a user lookup skips row groups."""
-    rows = with_date(alerts.select(*schemas.ALERTS_TABLE)).repartition(*PARTITIONS, by_user())
+    typed = [F.col(name).cast(kind) for name, (kind, *_) in schemas.ALERTS_TABLE.items()]
+    rows = with_date(alerts.select(*typed)).repartition(*PARTITIONS, by_user())
     rows.sortWithinPartitions(*PARTITIONS, "user_id").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
