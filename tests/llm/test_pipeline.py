@@ -1,5 +1,7 @@
 """Each stage of the corpus pipeline against a plain version, on what the stage before has kept."""
 
+import itertools
+import random
 from collections import defaultdict
 
 import pytest
@@ -92,3 +94,49 @@ def test_empty_and_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, "")
         df.collect()
+
+
+def five_word_groups(texts):
+    """The first text of each one's group, by comparing the five-word shingles of every two."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+    return [find(k) for k in range(len(sets))]
+
+
+def test_no_two_near_copies_stay(kept):
+    before, after = rows(kept[1]), rows(kept[2])
+    order = sorted(before)
+    assert set(after) == {order[k] for k in five_word_groups([before[i].text for i in order])}
+
+
+def test_near_copies_at_the_limit(spark):
+    """Similarity just above and below 0.8, chains of copies, and a passage that all texts have."""
+    rng = random.Random(3)
+    line = [f"c{i}" for i in range(40)]
+    texts = []
+    for n in (8, 45, 90, 300):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(base)
+        for changed in range(1, n // 40 + 2):
+            for _ in range(6):
+                copy = list(texts[-1] if changed % 2 else base)
+                for at in rng.sample(range(n), changed):
+                    copy[at] = f"x{rng.randrange(10**6)}"
+                texts.append(copy)
+    texts += [line + [f"z{rng.randrange(10**6)}" for _ in range(rng.choice((3, 8, 12, 200)))] for _ in range(60)]
+    texts = [" ".join(t) for t in texts]
+    got = corpus_pipeline.near_duplicates(spark, docs(spark, list(enumerate(texts))).repartition(3), "")
+    assert {r.doc_id for r in got.collect()} == set(five_word_groups(texts))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.llm.columns import only, utf8, with_columns_of
+from txnguard.llm.columns import only, spread, utf8, with_columns_of
 from txnguard.llm.graph import components
 from txnguard.workdir import materialize
 
@@ -27,22 +27,34 @@ ROW_COST = 100
 PARTS = (2, 3, 4)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ONE = np.uint64(1)
+#: The pipeline's near copies: words of a shingle, bits within which candidates' fingerprints are, bands and their minima.
+COPY_SHINGLE = 5
+WIDE = 20
+BANDS, ROWS = 40, 5
+FACTORS, TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------------
 
 
-def fingerprint_of(text: bytes) -> int:
-    """The bits that are set in more than half of the shingles' hashes; 0 without a word."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The hash of each run of ``size`` words, in order; shorter texts are one run, and no word gives none."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    size = min(SHINGLE, len(words))
+    size = min(size, len(words))
     spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashed = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), "<u8", len(words) - size + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), "<u8", len(words) - size + 1)
+
+
+def fingerprint_of(text: bytes) -> int:
+    """The bits that are set in more than half of the shingles' hashes; 0 without a word."""
+    hashed = shingle_hashes(text, SHINGLE)
+    if not len(hashed):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashed), 8192):
         bits = np.unpackbits(hashed[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -327,16 +339,181 @@ def near_duplicates(docs: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
     return found.join(known.drop("label"), "fp").select("doc_id", "fp", "component_id")
 
 
+# --- the pipeline's stage: near copies by exact similarity ------------------------------------------------------------
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The different hashes of the text's shingles of five words, in order."""
+    return np.unique(shingle_hashes(text, COPY_SHINGLE))
+
+
+def band_hashes(own: np.ndarray) -> np.ndarray:
+    """A hash of the smallest values that each band's ROWS functions take on a set; none for an empty set."""
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 512):
+        least = np.minimum(least, (own[k : k + 512, None] * FACTORS + TERMS).min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = spread(out * np.uint64(0x9FB21C651E98DF25) + column)
+    return out
+
+
+def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of ``a`` and ``b`` elements with so many common ones have similarity 0.8 or more, in whole numbers."""
+    return 5 * common >= 4 * (a + b - common)
+
+
+def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, the first one that links of similarity 0.8 or more lead to. The sets not yet reached are indexed by
+    element, and indexed again when half of them are reached."""
+    sizes, root = np.array([len(s) for s in sets], np.int64), np.full(len(sets), -1)
+    left, indexed = len(sets), None
+    for start in range(len(sets)):
+        if root[start] >= 0:
+            continue
+        root[start], wave, left = start, [start], left - 1
+        while wave and left:
+            if indexed is None or left * 2 < len(indexed):
+                indexed = np.flatnonzero(root < 0)
+                elements = np.concatenate([sets[i] for i in indexed])
+                order = np.argsort(elements, kind="stable")
+                elements, holder = elements[order], np.repeat(np.arange(len(indexed)), sizes[indexed])[order]
+            x = wave.pop()
+            lo, hi = np.searchsorted(elements, sets[x], "left"), np.searchsorted(elements, sets[x], "right")
+            count = hi - lo
+            at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+            common = np.bincount(holder[at], minlength=len(indexed))
+            new = indexed[similar(common, sizes[x], sizes[indexed]) & (root[indexed] < 0)]
+            root[new] = start
+            wave.extend(new.tolist())
+            left -= len(new)
+    return root
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """``(k1, k2, doc_id, node, fp, size, bands)``: of each row the hash and size of its shingle set, its fingerprint
+    and its bands."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = utf8(batch.column("text"))
+        sets = [shingle_set(t) for t in texts]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+        fp = np.fromiter(map(fingerprint_of, texts), np.uint64, len(texts))
+        made = [pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([len(s) for s in sets], pa.int64())]
+        bands = pa.array([band_hashes(s).tobytes() for s in sets], pa.binary())
+        names = ["k1", "k2", "doc_id"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made, bands], [*names, "node", "fp", "size", "bands"])
+
+    return with_columns_of("k1 long, k2 long, doc_id long, node long, fp long, size long, bands binary", of, rows)
+
+
+def band_rows(folded: DataFrame) -> DataFrame:
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sigs = [np.frombuffer(b, np.int64) for b in batch.column("bands").to_pylist()]
+        times = np.array([len(s) for s in sigs], np.int64)
+        own = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times)) for c in ("node", "fp", "size")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])), *own], ["sig", "node", "fp", "size"])
+
+    return with_columns_of("sig long, node long, fp long, size long", of, folded.select("node", "fp", "size", "bands"))
+
+
+def wide_links_of_run(node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what the rows of one band connect: fingerprints within WIDE bits, sizes that allow 0.8."""
+    left = np.arange(len(node))
+    while len(left) > 1:
+        root, left, wave = left[0], left[1:], left[:1]
+        while len(wave) and len(left):
+            x, wave = wave[0], wave[1:]
+            near = (np.bitwise_count(fp[left] ^ fp[x]) <= WIDE) & similar(np.minimum(size[left], size[x]), size[left], size[x])
+            if near.any():
+                wave = np.concatenate((wave, left[near]))
+                yield np.full(near.sum(), node[root]), node[left[near]]
+                left = left[~near]
+
+
+def wide_links(rows: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between shingle sets that share a band; the rows of one band are held at a time."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def links(run: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+            if sum(len(r[0]) for r in run) < 2:
+                return []
+            _, node, fp, size = (np.concatenate(c) for c in zip(*run, strict=True))
+            return list(wide_links_of_run(node, fp.view(np.uint64), size))
+
+        def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("sig", "node", "fp", "size")]
+            sig, found = columns[0], []
+            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and held[0][0][0] != sig[s]:
+                    found += links(held)
+                    held = []
+                if s and e < len(sig) and e - s == 1:
+                    continue
+                held.append(tuple(c[s:e].copy() for c in columns))
+            yield from batch_of(found)
+        yield from batch_of(links(held))
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(of, "a long, b long")
+
+
+def verified(texts: DataFrame) -> DataFrame:
+    """``(node, label)`` from rows ``(near, node, text)``: within each ``near``, the smallest node that links of
+    similarity 0.8 or more lead to. A task holds the shingle sets of one ``near``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if nodes:
+                own = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[exact_groups(sets)])], ["node", "label"])
+
+        for batch in batches:
+            near, node = batch.column("near").to_pylist(), batch.column("node").to_pylist()
+            for i in range(batch.num_rows):
+                if near[i] != key:
+                    yield from close()
+                    key, nodes, sets = near[i], [], []
+                if not nodes or nodes[-1] != node[i]:  # equal rows follow each other
+                    nodes.append(node[i])
+                    sets.append(shingle_set((batch.column("text")[i].as_py() or "").encode()))
+        yield from close()
+
+    return texts.repartition("near").sortWithinPartitions("near", "node").mapInArrow(of, "node long, label long")
+
+
 def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id, once if it is repeated.
-    A group without any doc_id keeps one of its rows."""
-    found, known = classes(docs)
-    known = materialize(known, "simhash-classes")
-    kept = known.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    if found.filter("doc_id is null").isEmpty():
-        return named
-    rows = materialize(docs.filter("doc_id is null").withColumn("_own_row", F.monotonically_increasing_id()), "simhash-nameless")
-    own = fingerprints(rows.select(F.col("_own_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_own_row")
-    first = own.join(known.filter("component_id is null"), "fp").groupBy("label").agg(F.min("_own_row").alias("_own_row"))
-    return named.unionByName(rows.join(first, "_own_row", "left_semi").select(docs.columns))
+    """The rows of ``docs`` with one of each group: the one with the smallest doc_id, once if it is repeated.
+
+    Texts are linked if their sets of five-word shingles have similarity (Jaccard) 0.8 or more. Sets that are equal are
+    folded. Candidates share one of BANDS hashes of ROWS minima (a pair at 0.8 shares none with a chance of 1.2e-7) and
+    have fingerprints within WIDE bits; they only gather texts, whose sets are then compared exactly. Texts without
+    words are equal. A group without any doc_id keeps one of its rows; a row is chosen by doc_id and content, so rows
+    of one doc_id with different texts stay if their groups differ.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    k1, k2 = F.xxhash64(*names), F.xxhash64(F.lit(1), *names)
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id"), F.col("text"))
+    found = materialize(sketches(texts), "copies-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
+    folded = found.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    folded = materialize(folded, "copies-folded")
+    near = components(wide_links(band_rows(folded))).withColumnRenamed("label", "near")
+    wanted = folded.join(near.hint("merge"), "node").select("near", "node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    label = materialize(verified(texts.join(wanted.hint("merge"), ["k1", "k2"]).select("near", "node", "text")), "copies-verified")
+    groups = folded.select("node", "first").join(label.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
+    kept = groups.select(F.col("first.k1").alias("_own_k1"), F.col("first.k2").alias("_own_k2"))
+    keyed = docs.withColumns({"_own_k1": k1, "_own_k2": k2}).join(kept.hint("merge"), ["_own_k1", "_own_k2"], "left_semi")
+    return keyed.dropDuplicates(["_own_k1", "_own_k2"]).select(names)
