@@ -93,3 +93,13 @@ def test_text_is_not_shuffled_again(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.split("\n") if "Exchange hash" in line]
     assert not any("body" in line for line in moved)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_strings_that_share_a_key_stay_apart(spark, monkeypatch, small):
+    """Keys of so few bits that different strings often have the same one."""
+    monkeypatch.setattr(suffixes, "SUFFIX_SPARE", -2)
+    if small:
+        monkeypatch.setattr(suffixes, "CHUNK_BYTES", 300)
+    rows = pieces(5)
+    assert run(docs(spark, rows).repartition(3)) == brute(rows)

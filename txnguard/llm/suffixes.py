@@ -41,11 +41,12 @@ CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 8192
 #: Keys of a bucket. A task holds one bucket at a time.
 BUCKET_KEYS = 2_000_000
-#: Bits of a key beyond those that number the keys: a sample's rank may be wrong once in 4096 (which only makes more
-#: suffixes); of the suffixes' keys, two different ones are equal by chance once in 2**(numbering bits + 6).
+#: Bits of a key beyond those that number the keys: a sample's answer may be wrong once in 4096 (which only makes more
+#: suffixes). A suffix's key goes with a check, the upper CHECK_BITS of a second hash; strings are equal if both are.
 SAMPLE_SPARE, SUFFIX_SPARE = 12, 34
+CHECK_BITS = 32
 CHUNKS = "chunk long, ids array<long>, sizes array<long>, digests array<binary>, body binary"
-KEYS = "bucket long, chunk long, keys binary, docs binary"
+KEYS = "bucket long, chunk long, keys binary, checks binary, docs binary"
 ANSWER = "chunk long, bucket long, bits binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -124,28 +125,30 @@ class Chunk:
         at = np.flatnonzero(self.fits(SAMPLE, IN_COVER))
         return (run_hashes(self.bytes, SAMPLE)[at] >> np.uint64(64 - bits) if len(at) else np.zeros(0, np.uint64)), at
 
-    def suffixes(self, plan: Plan, ranks: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the strings that may be in another document, and their positions."""
+    def suffixes(self, plan: Plan, ranks: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and checks of the strings that may be in another document, and their positions."""
         keys, at = self.samples(plan.sample_bits)
         ranked = answers(keys, ranks, plan.sample_bits, plan.sample_buckets) | in_two(keys, self.doc[at])
         near = np.zeros(len(self.bytes) + PERIOD + 1, np.int32)
         near[at[ranked] + 1] = 1
         near = np.cumsum(near, dtype=np.int32)
         at = np.flatnonzero((near[PERIOD:-1] > near[: -PERIOD - 1]) & self.fits(LENGTH))
-        return (run_hashes(self.bytes, LENGTH)[at] >> np.uint64(64 - plan.suffix_bits) if len(at) else np.zeros(0, np.uint64)), at
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32), at
+        keys = run_hashes(self.bytes, LENGTH)[at] >> np.uint64(64 - plan.suffix_bits)
+        checks = run_hashes(self.bytes.astype(np.uint16) + np.uint16(256), LENGTH)[at] >> np.uint64(64 - CHECK_BITS)
+        return keys, checks.astype(np.uint32), at
 
     def removed(self, plan: Plan, ranks: dict[int, bytes], smaller: dict[int, bytes]) -> np.ndarray:
         """Which bytes go: those of strings that start in a smaller document, in this chunk or another."""
-        keys, at = self.suffixes(plan, ranks)
+        keys, checks, at = self.suffixes(plan, ranks)
         out = np.zeros(len(self.bytes) + 1, np.int32)
         if len(keys):
             own = self.known_ids[self.doc[at]]
-            order = np.argsort(keys, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+            order, first, length = grouped(keys, checks)
             least = np.minimum.reduceat(own[order], first)
-            here = np.empty(len(keys), np.int64)
-            here[order] = np.repeat(least, np.diff(np.append(first, len(keys))))
-            gone = at[(own > here) | answers(keys, smaller, plan.suffix_bits, plan.suffix_buckets)]
+            elsewhere = flags_of(keys[order[first]], smaller, plan.suffix_bits, plan.suffix_buckets)
+            gone = at[order[(own[order] > np.repeat(least, length)) | np.repeat(elsewhere, length)]]
             out[gone] += 1  # each position once, its end also
             np.add.at(out, gone + LENGTH, -1)
         removed = np.cumsum(out[:-1]) > 0
@@ -169,6 +172,22 @@ def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(np.append(first, len(keys)))
 
 
+def grouped(keys: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by key and check, where in it each different pair begins, and how many each stands for. Different
+    strings of one key are very rare; only then is the check sorted too."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate((np.ones(min(len(keys), 1), bool), ordered[1:] != ordered[:-1]))
+    if checks is not None:
+        apart = checks[order][1:] != checks[order][:-1]
+        if (apart & ~new[1:]).any():
+            order = np.lexsort((checks, keys))
+            apart = checks[order][1:] != checks[order][:-1]
+            new[1:] |= apart
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(keys)))
+
+
 def among(keys: np.ndarray, few: np.ndarray) -> np.ndarray:
     """Which keys are among a few ones in order."""
     if not len(few):
@@ -198,11 +217,16 @@ def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
 def answers(keys: np.ndarray, given: dict[int, bytes], bits: int, buckets: int) -> np.ndarray:
     """The buckets' answers to each key; they are given for the different keys in their order."""
     known, _ = different(keys)
+    return among(keys, known[flags_of(known, given, bits, buckets)])
+
+
+def flags_of(known: np.ndarray, given: dict[int, bytes], bits: int, buckets: int) -> np.ndarray:
+    """The buckets' answers, one for each different key (and check) in order."""
     flags = np.zeros(len(known), bool)
     for b, s, e in slices(bucket_of(known, bits, buckets)):
         if b in given:
             flags[s:e] = np.unpackbits(np.frombuffer(given[b], np.uint8), count=e - s).astype(bool)
-    return among(keys, known[flags])
+    return flags
 
 
 def slices(sorted_numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -237,22 +261,24 @@ def each_chunk(chunks: DataFrame, fn: Callable[[dict], Iterator[dict]], schema:
     return chunks.mapInArrow(of, schema)
 
 
-KEY_KINDS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+KEY_KINDS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
 RESULT_KINDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def deal(chunk: int, keys: np.ndarray, docs: np.ndarray | None, bits: int, buckets: int) -> Iterator[dict]:
-    """A chunk's different keys (and their smallest documents) by bucket, in their order."""
+def deal(chunk: int, keys: np.ndarray, checks: np.ndarray | None, docs: np.ndarray | None, bits: int, buckets: int) -> Iterator[dict]:
+    """A chunk's different keys (with their checks and smallest documents) by bucket, in their order."""
+    own = least = None
     if docs is None:
-        (known, _), least = different(keys), None
+        known, _ = different(keys)
     else:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(keys)]
-        known, least = ordered[first], np.minimum.reduceat(docs[order], first) if len(keys) else docs
+        order, first, _ = grouped(keys, checks)
+        known, own, least = keys[order[first]], checks[order[first]], np.minimum.reduceat(docs[order], first) if len(keys) else docs
     for b, s, e in slices(bucket_of(known, bits, buckets)):
-        own = squeeze(np.diff(known[s:e], prepend=np.uint64(0)))
-        yield {"bucket": b, "chunk": chunk, "keys": own, "docs": None if least is None else squeeze(least[s:e].view(np.uint64))}
+        packed = squeeze(np.diff(known[s:e], prepend=np.uint64(0)))
+        yield {
+            "bucket": b, "chunk": chunk, "keys": packed, "checks": None if own is None else own[s:e].tobytes(),
+            "docs": None if least is None else squeeze(least[s:e].view(np.uint64)),
+        }
 
 
 def sorted_buckets(dealt: DataFrame) -> DataFrame:
@@ -267,10 +293,8 @@ def sorted_buckets(dealt: DataFrame) -> DataFrame:
             ends = np.cumsum([len(x) for x in lists])
             keys = np.concatenate(lists)
             lists.clear()
-            order = np.argsort(keys, kind="stable")
-            ordered = keys[order]
-            first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            length = np.diff(np.append(first, len(keys)))
+            checks = None if held[0]["docs"] is None else np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in held])
+            order, first, length = grouped(keys, checks)
             flags = np.empty(len(keys), bool)
             if held[0]["docs"] is None:
                 flags[order] = np.repeat(length > 1, length)
@@ -336,12 +360,12 @@ def _removed(chunks: DataFrame) -> DataFrame:
 
     def samples(row: dict) -> Iterator[dict]:
         own = Chunk(row)
-        yield from deal(own.number, own.samples(plan.sample_bits)[0], None, plan.sample_bits, plan.sample_buckets)
+        yield from deal(own.number, own.samples(plan.sample_bits)[0], None, None, plan.sample_bits, plan.sample_buckets)
 
     def suffixes(row: dict) -> Iterator[dict]:
         own = Chunk(row)
-        keys, at = own.suffixes(plan, pairs(row["ranks"]))
-        yield from deal(own.number, keys, own.known_ids[own.doc[at]], plan.suffix_bits, plan.suffix_buckets)
+        keys, checks, at = own.suffixes(plan, pairs(row["ranks"]))
+        yield from deal(own.number, keys, checks, own.known_ids[own.doc[at]], plan.suffix_bits, plan.suffix_buckets)
 
     def removal(row: dict) -> Iterator[dict]:
         own = Chunk(row)
