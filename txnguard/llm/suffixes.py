@@ -1,13 +1,13 @@
-"""Removal of repeated passages by sorting suffixes bucket by bucket, with ranks of a difference cover.
+"""Removal of repeated passages by hashed equality of 50-byte strings, with a difference cover as a prefilter.
 
 The texts are cut into chunks of whole documents. A chunk is packed once, in a bucketed table, and read by each pass:
 
-1. *Cover ranks.* A difference cover modulo 21 has five residues; of any two positions some common shift of at most 20
+1. *Cover samples.* A difference cover modulo 21 has five residues; of any two positions some common shift of at most 20
    leads to the cover from both. So if two 50-byte strings are equal, the same shift of both leads to equal 30-byte
-   strings that are sampled in both documents. The samples' keys are sorted bucket by bucket; a sample gets a rank if
-   its string is in two documents.
-2. *Suffixes.* Only positions with a ranked sample within 20 bytes can start a string that another document has. Their
-   50-byte keys are sorted bucket by bucket, and the smallest document of each key is found.
+   strings that are sampled in both documents. The samples' keys are sorted bucket by bucket; a sample is marked
+   (in the code: ranked, without any order) if its string is in two documents.
+2. *Suffixes.* Only positions with a marked sample within 20 bytes can start a string that another document has. Their
+   50 bytes' keys and checks are sorted bucket by bucket, and the smallest document of each key is found.
 3. *Removal.* Positions whose string has a smaller document are marked and their bytes taken out.
 
 Each bucket has a bounded share of the keys, is sorted by itself, and answers each chunk with one bit for each of its
