@@ -100,3 +100,10 @@ def test_few_rows(spark, tmp_path, rows):
 def test_kept_positions(spark):
     got = winnowing.fingerprints(clashing(docs(spark, [(1, "some words " * 60), (2, None)]))).collect()
     assert [list(zip(r.hashes, r.positions, strict=True)) for r in got] == [brute_winnow("some words " * 60), []]
+
+
+def test_short_texts_are_met_by_their_halves(spark, tmp_path):
+    """Texts of 80 characters and more keep half of them in the edited text, which is long enough to be met."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(80 + 4 * i))) for i in range(50)]
+    assert all(r[5] > 0 for r in run(spark, docs(spark, rows), tmp_path))

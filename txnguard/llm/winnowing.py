@@ -7,17 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.llm.columns import code_points, only, run_hashes, with_columns_of
+from txnguard.llm.columns import code_points, only, run_hashes, utf8, with_columns_of
 from txnguard.workdir import materialize
 
 #: Characters of a k-gram, and k-grams of a window. A passage of GRAM + WINDOW - 1 characters that two texts share has a
 #: whole window in both, so both keep the same k-gram of it.
-GRAM = 24
-WINDOW = 127
+GRAM = 12
+WINDOW = 27
 LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -80,11 +81,35 @@ class Known:
         kept = np.unique(winnow(edited)[0])
         return {
             "doc_id": self.doc_id, "n_chars": len(self.text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(),
-            "kept": self.kept.astype(">u4").tobytes(), "edited_kept": kept.astype(">u4").tobytes(),
+            "kept": self.kept.astype(">u4").tobytes(), "edited_kept": relative(kept, self.kept),
             "near_edited": likeness(self.kept, kept), "near_next": likeness(self.kept, after.kept),
         }
 
 
+def relative(kept: np.ndarray, to: np.ndarray) -> bytes:
+    """A sorted set of hashes beside another one: a bit for each of the other's hashes, then the further ones."""
+    return np.packbits(np.isin(to, kept)).tobytes() + np.setdiff1d(kept, to).astype(">u4").tobytes()
+
+
+def absolute(data: bytes, to: bytes) -> bytes:
+    """The hashes that ``relative`` has packed, sorted, four bytes each."""
+    other = np.frombuffer(to, ">u4")
+    bits = -(-len(other) // 8)
+    common = np.unpackbits(np.frombuffer(data[:bits], np.uint8), count=len(other)).astype(bool)
+    return np.sort(np.concatenate((other[common], np.frombuffer(data[bits:], ">u4")))).astype(">u4").tobytes()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``hash`` (of the text, to order by) and ``text`` compressed for the way; null counts as empty."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=9)
+        texts = pa.array([small.compress(t) for t in utf8(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), texts], ["doc_id", "hash", "text"])
+
+    return with_columns_of("doc_id long, hash long, text binary", of, only(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")))
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, kept binary, edited_kept binary, near_edited double, near_next double"
 NORMAL, FIRST, LAST = 0, 1, 2
 
@@ -101,17 +126,18 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     the ranges, two rows a task, are joined to each other afterwards. A single document is its own next. Repeated rows
     are rows like others, other columns are not read, and an empty table gives no rows.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    rows = only(docs, "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
+    rows = packed(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     fields = [f.split(" ")[0] for f in RESULT.split(", ")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, out, schema = TaskContext.get().partitionId(), None, [], arrow_schema()
         end = {f: None for f in fields}
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
             ids = batch.column("doc_id")
             for i in range(batch.num_rows):
-                now = Known(ids[i].as_py(), batch.column("text")[i].as_py())
+                now = Known(ids[i].as_py(), large.decompress(batch.column("text")[i].as_py()).decode())
                 if held is None:
                     out.append(end | {"kind": FIRST, "part": part, "doc_id": now.doc_id, "text": now.text})
                 else:
@@ -138,7 +164,13 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pylist(out, arrow_schema(fields))
 
     closed = with_columns_of(RESULT, close, joined)
-    return found.filter(F.col("kind") == NORMAL).select(fields).unionByName(closed)
+
+    def unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pairs = zip(batch.column("edited_kept").to_pylist(), batch.column("kept").to_pylist(), strict=True)
+        edited = pa.array([absolute(e, k) for e, k in pairs], pa.binary())
+        yield pa.RecordBatch.from_arrays([edited if f == "edited_kept" else batch.column(f) for f in fields], fields)
+
+    return with_columns_of(RESULT, unpacked, found.filter(F.col("kind") == NORMAL).select(fields).unionByName(closed))
 
 
 def arrow_schema(fields: list[str] | None = None) -> pa.Schema:
