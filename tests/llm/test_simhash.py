@@ -129,3 +129,9 @@ def test_survivors(spark):
     rows = [(4, "a b c d"), (2, "A b c d"), (2, "A b c d"), (9, "quite another text of words"), (None, "a b c d"), (None, "no id at all"), (None, "no id at all")]
     kept = simhash.survivors(clashing(docs(spark, rows))).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept), key=str) == [(2, "A b c d"), (9, "quite another text of words"), (None, "no id at all")]
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    rows = [(1, "one text of its own words"), (1, "quite another text with other words"), (2, "one text of its own words")]
+    kept = simhash.survivors(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted(rows[:2])
