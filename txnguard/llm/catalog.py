@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from txnguard.llm import q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_warc, q_winnowing
+from txnguard.llm import q_bpe, q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_warc, q_winnowing
 
-MODULES = (q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_warc, q_winnowing)
+MODULES = (
+    q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_warc, q_winnowing, q_bpe,
+)
 
 
 def catalog() -> dict:
