@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from txnguard.llm import q_bpe, q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_trie, q_warc, q_winnowing
+from txnguard.llm import q_bpe, q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_trie, q_warc, q_whitening, q_winnowing
 
 MODULES = (
-    q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_warc, q_winnowing, q_bpe, q_trie,
+    q_langid, q_licenses, q_mixing, q_packing, q_pii, q_rabitq, q_simhash, q_suffixes, q_warc, q_winnowing, q_trie, q_whitening, q_bpe,
 )
 
 
