@@ -1,10 +1,12 @@
 """The package reaches the workers from whatever folder the driver was started in."""
 
+import importlib.util
 import io
 import os
 import subprocess
 import sys
 import zipfile
+from pathlib import Path
 
 from txnguard import ship
 
@@ -27,9 +29,20 @@ def test_archive_holds_the_sources():
     assert all(n.startswith("txnguard/") and n.endswith(".py") for n in names)
 
 
+def spark_home(folder):
+    """Spark's home with links to its parts: a local cluster's workers keep their files in ``work`` there and end the JVM
+    if they can't write to it, as in an installation that belongs to somebody else."""
+    folder.mkdir()
+    for part in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if part.name != "work":
+            (folder / part.name).symlink_to(part)
+    return str(folder)
+
+
 def test_workers_find_the_package(tmp_path, sf_dir):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     env |= {"PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    env |= {"SPARK_HOME": spark_home(tmp_path / "home"), "SPARK_LOCAL_DIRS": str(tmp_path / "local")}
     code = PROGRAM.format(repo=REPO, tmp=tmp_path, sf=sf_dir)
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
-    assert "ROWS 500 280" in done.stdout, done.stdout[-500:] + done.stderr[-3000:]
+    assert "ROWS 500 280" in done.stdout, "\n".join((done.stdout[-500:], done.stderr[:3000], "...", done.stderr[-2000:]))
