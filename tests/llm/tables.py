@@ -13,7 +13,8 @@ def docs(spark, rows):
 
 def clashing(df):
     """The table with further columns whose names operators use inside."""
-    names = ("fp", "label", "node", "a", "b", "part", "sig", "size", "id", "n", "_own", "key", "spans", "window", "start", "length")
+    names = ("fp", "label", "node", "a", "b", "part", "sig", "size", "id", "n", "_own", "key", "spans", "window", "start", "length", "own_k1", "_own_k1",
+             "near", "blocks", "open", "_mix_row", "_mix_copies", "_mix_copy", "mix_row", "mix_copies", "mix_copy", "_once", "row", "k", "ids")
     return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names) if c not in df.columns])
 
 

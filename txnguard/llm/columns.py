@@ -22,6 +22,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the next longer one that no column of ``df`` has; upper and lower case count as equal, as in Spark."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns_of(schema: str, fn: Callable, df: DataFrame) -> DataFrame:
     """``mapInArrow`` in chunks of few rows: texts can be long, so a whole batch is never expanded at once."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.llm.columns import only
+from txnguard.llm.columns import fresh, only
 from txnguard.workdir import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -189,8 +189,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; what has no word is not taken.
 
     What is drawn grows with the documents, so the two are merged by row number whatever their size."""
-    rows = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
-    sizes = rows.select(F.col("_mix_row").alias("key"), "source", words(F.col("text")).alias("size"))
-    drawn = mix(sizes).filter("copies > 0").select(F.col("key").alias("_mix_row"), F.col("copies").alias("_mix_copies")).hint("merge")
-    repeats = F.explode(F.array_repeat(F.lit(True), F.col("_mix_copies").cast("int")))
-    return rows.join(drawn, "_mix_row").withColumn("_mix_copy", repeats).select(docs.columns)
+    row, copies, copy = (fresh(docs, c) for c in ("mix_row", "mix_copies", "mix_copy"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    sizes = rows.select(F.col(row).alias("key"), "source", words(F.col("text")).alias("size"))
+    drawn = mix(sizes).filter("copies > 0").select(F.col("key").alias(row), F.col("copies").alias(copies)).hint("merge")
+    repeats = F.explode(F.array_repeat(F.lit(True), F.col(copies).cast("int")))
+    return rows.join(drawn, row).withColumn(copy, repeats).select([F.col(f"`{c}`") for c in docs.columns])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnguard.llm.columns import only, spread, utf8, with_columns_of
+from txnguard.llm.columns import fresh, only, spread, utf8, with_columns_of
 from txnguard.llm.graph import components
 from txnguard.workdir import materialize
 
@@ -27,10 +27,12 @@ ROW_COST = 100
 PARTS = (2, 3, 4)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ONE = np.uint64(1)
-#: The pipeline's near copies: words of a shingle, bits within which candidates' fingerprints are, bands and their minima.
+#: The pipeline's near copies: words of a shingle, bits within which candidates' fingerprints are, bands and their minima,
+#: and the shingles of sets that are compared in one task.
 COPY_SHINGLE = 5
 WIDE = 20
 BANDS, ROWS = 40, 5
+BLOCK = 1 << 21
 FACTORS, TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
 
 
@@ -367,7 +369,8 @@ def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
     """For each set, the first one that links of similarity 0.8 or more lead to. The sets not yet reached are indexed by
-    element, and indexed again when half of them are reached."""
+    element, and indexed again when half of them are reached. A set that is similar to one of n elements has at least
+    0.8 n of them, so it has one of any n - 0.8 n + 1: only the holders of the rarest ones are compared."""
     sizes, root = np.array([len(s) for s in sets], np.int64), np.full(len(sets), -1)
     left, indexed = len(sets), None
     for start in range(len(sets)):
@@ -380,15 +383,21 @@ def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
                 elements = np.concatenate([sets[i] for i in indexed])
                 order = np.argsort(elements, kind="stable")
                 elements, holder = elements[order], np.repeat(np.arange(len(indexed)), sizes[indexed])[order]
-            x = wave.pop()
-            lo, hi = np.searchsorted(elements, sets[x], "left"), np.searchsorted(elements, sets[x], "right")
-            count = hi - lo
+            own = sets[wave.pop()]
+            lo, hi = np.searchsorted(elements, own, "left"), np.searchsorted(elements, own, "right")
+            rare = np.argsort(hi - lo, kind="stable")[: len(own) - (4 * len(own) + 4) // 5 + 1]
+            lo, count = lo[rare], (hi - lo)[rare]
             at = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
-            common = np.bincount(holder[at], minlength=len(indexed))
-            new = indexed[similar(common, sizes[x], sizes[indexed]) & (root[indexed] < 0)]
-            root[new] = start
-            wave.extend(new.tolist())
-            left -= len(new)
+            near = indexed[np.unique(holder[at])]
+            near = near[root[near] < 0]
+            if len(near):
+                theirs = np.concatenate([sets[i] for i in near])
+                place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                common = np.bincount(np.repeat(np.arange(len(near)), sizes[near]), own[place] == theirs, len(near)).astype(np.int64)
+                new = near[similar(common, len(own), sizes[near])]
+                root[new] = start
+                wave.extend(new.tolist())
+                left -= len(new)
     return root
 
 
@@ -433,75 +442,161 @@ def wide_links_of_run(node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Ite
                 left = left[~near]
 
 
-def wide_links(rows: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between shingle sets that share a band; the rows of one band are held at a time."""
+def star(node: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of all to the first, without comparing."""
+    return [(np.full(len(node), first), node)] if len(node) else []
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def links(run: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
-            if sum(len(r[0]) for r in run) < 2:
-                return []
-            _, node, fp, size = (np.concatenate(c) for c in zip(*run, strict=True))
-            return list(wide_links_of_run(node, fp.view(np.uint64), size))
 
-        def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
+def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """``(a, b)`` between the rows of each band's hash, from rows ``(sig, node, fp, size, open)`` sorted by sig and node.
 
-        for batch in batches:
-            if not batch.num_rows:
+    At most ``largest`` rows are held: those of a larger run, or of one that has an ``open`` row, are all linked to its
+    first, uncompared. With ``edges``, a task's first and last runs, which may go on in other tasks, come back as rows:
+    whole, or, where they have been linked already, as their first row, ``open``.
+    """
+    fields = ["sig", "node", "fp", "size", "open"]
+    held: list[tuple[np.ndarray, ...]] = []
+    size, first, count = 0, None, 0
+
+    def table(found: list[tuple[np.ndarray, np.ndarray]], rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 4, pa.nulls(len(a), pa.bool_())], ["a", "b", *fields])
+        if rows:
+            own = [np.concatenate(c) for c in zip(*rows, strict=True)]
+            none = pa.nulls(len(own[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *map(pa.array, own)], ["a", "b", *fields])
+
+    def close(edge: bool) -> tuple[list, list]:
+        """Links and rows of the run that ends; ``first`` is there if all its rows are linked to it already."""
+        if first is not None:
+            sig, row = first
+            return [], ([tuple(np.array([v]) for v in (sig, row[1], row[2], row[3], True))] if edge else [])
+        if edge:
+            return [], held
+        if size < 2:
+            return [], []
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        if columns[4].any():
+            return star(columns[1], columns[1].min()), []
+        return list(wide_links_of_run(columns[1], columns[2].view(np.uint64), columns[3])), []
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in fields]
+        columns[4] = columns[4].astype(bool)
+        sig, found, rows = columns[0], [], []
+        cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0][0][0] != sig[s]:
+                count += 1
+                links, left = close(edges and count == 1)
+                found, rows = found + links, rows + left
+                held, size, first = [], 0, None
+            elif s and e < len(sig) and e - s == 1:
+                count += 1
                 continue
-            columns = [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("sig", "node", "fp", "size")]
-            sig, found = columns[0], []
-            cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0][0][0] != sig[s]:
-                    found += links(held)
-                    held = []
-                if s and e < len(sig) and e - s == 1:
-                    continue
-                held.append(tuple(c[s:e].copy() for c in columns))
-            yield from batch_of(found)
-        yield from batch_of(links(held))
+            part = tuple(c[s:e].copy() for c in columns)
+            if first is None:
+                held.append(part)
+                size += e - s
+                if size > largest:
+                    whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    first = (sig[s], [c[0] for c in whole])
+                    found += star(whole[1], first[1][1])
+                    held = [tuple(c[:1] for c in whole)]
+            else:
+                found += star(part[1], first[1][1])
+        yield from table(found, rows)
+    if held:
+        yield from table(*close(edges))
+
+
+LINK_ROWS = "a long, b long, sig long, node long, fp long, size long, open boolean"
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(of, "a long, b long")
 
+def wide_links(rows: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
+    """Links ``(a, b)`` that connect at least all that share a band, have fingerprints within WIDE bits and sizes that
+    allow 0.8. Ranges of (sig, node) split a band that very many share; what lies at the ranges' ends is met again."""
+    marked = rows.withColumn("open", F.lit(False))
+    ranges = marked.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
+    found = materialize(ranges.mapInArrow(lambda b: links_of_bands(b, largest, True), LINK_ROWS), "copies-links")
+    ends = found.filter("sig is not null").select("sig", "node", "fp", "size", "open")
+    more = ends.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lambda b: links_of_bands(b, largest, False), LINK_ROWS)
+    return found.filter("sig is null").union(more).select("a", "b")
 
-def verified(texts: DataFrame) -> DataFrame:
-    """``(node, label)`` from rows ``(near, node, text)``: within each ``near``, the smallest node that links of
-    similarity 0.8 or more lead to. A task holds the shingle sets of one ``near``."""
+
+def verified(sets: DataFrame, *keys: str) -> DataFrame:
+    """``(node, label)`` from rows ``(*keys, node, shingles)``: within each key, the smallest node that links of similarity
+    0.8 or more lead to. A task holds the shingle sets of one key."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, own = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             if nodes:
-                own = np.array(nodes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[exact_groups(sets)])], ["node", "label"])
+                found = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(found[exact_groups(own)])], ["node", "label"])
 
         for batch in batches:
-            near, node = batch.column("near").to_pylist(), batch.column("node").to_pylist()
-            for i in range(batch.num_rows):
-                if near[i] != key:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "node")]
+            for i, (*this, node) in enumerate(zip(*columns, strict=True)):
+                if this != key:
                     yield from close()
-                    key, nodes, sets = near[i], [], []
-                if not nodes or nodes[-1] != node[i]:  # equal rows follow each other
-                    nodes.append(node[i])
-                    sets.append(shingle_set((batch.column("text")[i].as_py() or "").encode()))
+                    key, nodes, own = this, [], []
+                if not nodes or nodes[-1] != node:  # equal rows follow each other
+                    nodes.append(node)
+                    own.append(np.frombuffer(batch.column("shingles")[i].as_py(), "<u8"))
         yield from close()
 
-    return texts.repartition("near").sortWithinPartitions("near", "node").mapInArrow(of, "node long, label long")
+    return sets.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(of, "node long, label long")
+
+
+def labelled(wanted: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(node, label)`` of ``wanted(near, node, size, k1, k2)``: the smallest node that links of similarity 0.8 or more
+    lead to, by exact comparison within each ``near``.
+
+    Candidates of up to ``block`` shingles together are compared in one task. More are dealt into blocks, and every two
+    blocks meet in a task of their own, which gives links that connect what it has found; their components are the
+    labels. So a task holds two blocks, and the work grows with the square of such a set, over as many tasks.
+    """
+
+    def shingled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        made = pa.array([shingle_set(t).tobytes() for t in utf8(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*map(batch.column, ("near", "blocks", "node")), made], ["near", "blocks", "node", "shingles"])
+
+    weight = wanted.groupBy("near").agg(F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks"))
+    weight = materialize(weight, "copies-weight")
+
+    def sets(which: str) -> DataFrame:
+        own = wanted.join(weight.filter(which).hint("merge"), "near")
+        found = texts.join(own.hint("merge"), ["k1", "k2"]).select("near", "blocks", "node", "text")
+        return with_columns_of("near long, blocks int, node long, shingles binary", shingled, found)
+
+    small = materialize(verified(sets("blocks < 2"), "near"), "copies-verified")
+    if weight.filter("blocks > 1").isEmpty():
+        return small
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    large = materialize(sets("blocks > 1").withColumn("own", own), "copies-blocks")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = large.select("near", "own", "node", "shingles", other).filter("own <> other")
+    met = met.select("near", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    links = verified(met, "near", "i", "j")
+    return small.union(components(links.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
-def survivors(docs: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, largest: int = LARGEST_RUN, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with one of each group: the one with the smallest doc_id, once if it is repeated.
 
     Texts are linked if their sets of five-word shingles have similarity (Jaccard) 0.8 or more. Sets that are equal are
     folded. Candidates share one of BANDS hashes of ROWS minima (a pair at 0.8 shares none with a chance of 1.2e-7) and
-    have fingerprints within WIDE bits; they only gather texts, whose sets are then compared exactly. Texts without
-    words are equal. A group without any doc_id keeps one of its rows; a row is chosen by doc_id and content, so rows
-    of one doc_id with different texts stay if their groups differ.
+    have fingerprints within WIDE bits; they only gather texts, whose sets are then compared exactly. Bands that more
+    than ``largest`` sets share gather all of them, and candidates of more than ``block`` shingles are compared block by
+    block, so no band, group or set of candidates is held whole and no link is lost. Texts without words are equal. A
+    group without any doc_id keeps one of its rows; a row is chosen by doc_id and content, so rows of one doc_id with
+    different texts stay if their groups differ.
     """
     names = [F.col(f"`{c}`") for c in docs.columns]
     k1, k2 = F.xxhash64(*names), F.xxhash64(F.lit(1), *names)
@@ -510,10 +605,11 @@ def survivors(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
     folded = found.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     folded = materialize(folded, "copies-folded")
-    near = components(wide_links(band_rows(folded))).withColumnRenamed("label", "near")
-    wanted = folded.join(near.hint("merge"), "node").select("near", "node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    label = materialize(verified(texts.join(wanted.hint("merge"), ["k1", "k2"]).select("near", "node", "text")), "copies-verified")
+    near = components(wide_links(band_rows(folded), largest)).withColumnRenamed("label", "near")
+    wanted = folded.join(near.hint("merge"), "node").select("near", "node", "size", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    label = labelled(materialize(wanted, "copies-wanted"), texts, block)
     groups = folded.select("node", "first").join(label.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
-    kept = groups.select(F.col("first.k1").alias("_own_k1"), F.col("first.k2").alias("_own_k2"))
-    keyed = docs.withColumns({"_own_k1": k1, "_own_k2": k2}).join(kept.hint("merge"), ["_own_k1", "_own_k2"], "left_semi")
-    return keyed.dropDuplicates(["_own_k1", "_own_k2"]).select(names)
+    own = [fresh(docs, "own_k1"), fresh(docs, "own_k2")]
+    kept = groups.select(F.col("first.k1").alias(own[0]), F.col("first.k2").alias(own[1]))
+    keyed = docs.withColumns(dict(zip(own, (k1, k2), strict=True))).join(kept.hint("merge"), own, "left_semi")
+    return keyed.dropDuplicates(own).select(names)
