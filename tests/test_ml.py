@@ -122,10 +122,11 @@ def cards(spark, n=400):
     return spark.createDataFrame(rows, "id string, Class int, features map<string,double>")
 
 
-def test_train_save_activate_score(spark, tmp_path):
+@pytest.mark.parametrize("settings", [{"rounds": 3, "depth": 3}, {"rounds": 60, "depth": 3, "rate": 0.2, "trainer": "histograms"}])
+def test_train_save_activate_score(spark, tmp_path, settings):
     df = cards(spark)
     root = str(tmp_path / "models")
-    t = train.train(df, ratio=0.5, rounds=3, depth=3)
+    t = train.train(df, ratio=0.5, **settings)
     assert t.auroc > 0.95
     version = train.save(spark, t, root, version="20240101_000000")
     model, scale = train.load(spark, root, version)

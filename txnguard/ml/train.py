@@ -56,7 +56,7 @@ def train(
     ratio: float = 0.1,
     test_share: float = 0.2,
     scale_on_all: bool = True,
-    trainer: str = "histograms",
+    trainer: str = "nodes",
     **settings,
 ) -> Trained:
     """``features`` is the map column. The scaling is fitted on all rows by default, before the split. ``trainer`` is
