@@ -56,6 +56,15 @@ def new_country_dynamic(txns: DataFrame, changelog: DataFrame, order=("arrival",
     return new_country_rule_alerts(matches.filter(F.col("amount").cast("double") > F.col("threshold_amount")))
 
 
+def with_version(rule: PatternRule, version: dict) -> PatternRule:
+    """``rule`` with what a version of it sets; absent numbers, zero included, and absent texts change nothing."""
+    low, high = version.get("threshold_amount"), version.get("threshold_amount_high")
+    often = {"window_s": version.get("window_seconds"), "times": version.get("min_occurrences")}
+    wanted = {"P001": {"high": low, **often}, "P002": {"low": low}, "P003": often, "P004": {"low": low, "high": high, **often}}[rule.rule_id]
+    rule = rule.with_(name=version.get("rule_name") or rule.name, severity=version.get("severity") or rule.severity)
+    return rule.with_(**{k: v for k, v in wanted.items() if v is not None and v > 0})
+
+
 def pattern_rules(changelog: DataFrame, base: dict[str, PatternRule] = BUILTIN) -> dict[str, PatternRule]:
     """The current settings of the known patterns, for the mode in which all patterns follow the rule table.
 
@@ -72,17 +81,5 @@ def pattern_rules(changelog: DataFrame, base: dict[str, PatternRule] = BUILTIN)
         if not row.enabled:
             out.pop(row.rule_id)
             continue
-        rule = base[row.rule_id]
-        rule = rule.with_(name=row.rule_name or rule.name, severity=row.severity or rule.severity)
-        wanted = {
-            "P001": {"high": row.threshold_amount, "window_s": row.window_seconds, "times": row.min_occurrences},
-            "P002": {"low": row.threshold_amount},
-            "P003": {"window_s": row.window_seconds, "times": row.min_occurrences},
-            "P004": {
-                "low": row.threshold_amount, "high": row.threshold_amount_high, "window_s": row.window_seconds,
-                "times": row.min_occurrences,
-            },
-        }[row.rule_id]
-        rule = rule.with_(**{k: v for k, v in wanted.items() if v is not None and v > 0})
-        out[row.rule_id] = rule
+        out[row.rule_id] = with_version(base[row.rule_id], row.asDict())
     return out

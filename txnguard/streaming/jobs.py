@@ -58,6 +58,8 @@ def card_stages(rules: dict[str, P.PatternRule]) -> list[tuple[P.PatternRule, li
 
 
 def user_stages(rules: dict[str, P.PatternRule]) -> list[tuple[P.PatternRule, list[tuple[Column, int]]]]:
+    if "P003" not in rules:
+        return []
     rule = rules["P003"]
     return [(rule, [(P.is_failed(), rule.times), (P.is_success(), 1)])]
 

@@ -30,7 +30,7 @@ class Sequence:
     within_ms: int
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
+def pack(rows: pd.DataFrame) -> bytes:
     table = pa.Table.from_pandas(rows, preserve_index=False)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
@@ -38,7 +38,7 @@ def _pack(rows: pd.DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(blob: bytes) -> pd.DataFrame:
+def unpack(blob: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(blob).read_pandas()
 
 
@@ -91,7 +91,7 @@ class SequenceProcessor(StatefulProcessor):
             late = pdf["event_ms"] <= watermark
             fresh = pdf.loc[~late, ROW_COLUMNS]
             if len(fresh):
-                self.inbox.appendValue((_pack(fresh),))
+                self.inbox.appendValue((pack(fresh),))
                 self.handle.registerTimer(int(fresh["event_ms"].min()))
             if self.report_late and late.any():
                 gone = pdf[late & (pdf["event_ms"] // self.chunk_ms == key[1])]
@@ -99,9 +99,9 @@ class SequenceProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark, chunk = timerValues.getCurrentWatermarkInMs(), key[1]
-        parts = [_unpack(blob).assign(done=False) for (blob,) in self.inbox.get()]
+        parts = [unpack(blob).assign(done=False) for (blob,) in self.inbox.get()]
         if self.kept.exists():
-            parts.append(_unpack(self.kept.get()[0]))
+            parts.append(unpack(self.kept.get()[0]))
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
@@ -142,7 +142,7 @@ class SequenceProcessor(StatefulProcessor):
     def _store(self, rows: pd.DataFrame) -> None:
         self.inbox.clear()
         if len(rows):
-            self.kept.update((_pack(rows),))
+            self.kept.update((pack(rows),))
         else:
             self.kept.clear()
 
