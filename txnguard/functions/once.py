@@ -13,5 +13,8 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     mention. It is not pushed below the one-row generator put on top here. For parsed or validated columns only:
     filters on plain columns should be pushed down.
     """
-    computed = df.withColumn("_once", value)
-    return computed.withColumn(name, F.explode_outer(F.array("_once"))).drop("_once")
+    held, taken = "_once", {c.lower() for c in df.columns}
+    while held in taken:
+        held += "_"
+    computed = df.withColumn(held, value)
+    return computed.withColumn(name, F.explode_outer(F.array(held))).drop(held)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnguard.operators.ordered import chunk_of, exact_quantiles, previous_value
+from txnguard.operators.ordered import chunk_of, exact_quantiles, previous_value, running_totals
+from txnguard.workdir import materialize
 
 # Band limits of the health display.
 FRAUD_RATE_BANDS = (5.0, 20.0)
@@ -47,6 +48,62 @@ def fraud_rate(log: DataFrame, every: str = "5 minutes", slide: str | None = Non
     return windowed(log, every, {"fraud_rate": rate}, slide=slide)
 
 
+#: Panes whose running totals one task adds up.
+PANES_PER_CHUNK = 4096
+
+
+def sliding_sums(log: DataFrame, sums: dict[str, Column], window_ms: int, slide_ms: int, ms: str = "event_ms") -> DataFrame:
+    """``sums`` over every window of ``window_ms`` that begins on the grid of ``slide_ms`` and meets the rows' time; batch only.
+
+    Rows are added up once, by pane of one slide, with one row per pane and task going to the shuffle. A window is the
+    difference of two running totals over the panes, empty ones included, so a row costs the same however long the
+    window is. Windows without rows have sums of 0. ``window_ms`` must be a multiple of ``slide_ms``.
+    """
+    if window_ms % slide_ms:
+        raise ValueError("the window must be whole slides long")
+    span = window_ms // slide_ms
+    panes = log.filter(F.col(ms).isNotNull()).groupBy(F.floor(F.col(ms) / slide_ms).alias("pane")).agg(*[c.alias(n) for n, c in sums.items()])
+    panes = materialize(panes, "panes")
+    ends = panes.agg(F.min("pane").alias("first"), F.max("pane").alias("last")).filter("first is not null")
+    axis = ends.select(F.explode(F.sequence(F.col("first") - span, F.col("last") + span - 1)).alias("pane"))
+    whole = axis.join(panes, "pane", "left").fillna(0, list(sums))
+    whole = running_totals(whole, chunk_of(F.col("pane"), PANES_PER_CHUNK), ["pane"], {f"_cum_{n}": F.col(n) for n in sums})
+    whole = materialize(whole.select("pane", *[f"_cum_{n}" for n in sums]), "pane-totals")
+    before = whole.select((F.col("pane") + span).alias("pane"), *[F.col(f"_cum_{n}").alias(f"_from_{n}") for n in sums])
+    both = whole.join(before, "pane")
+    start = ((F.col("pane") - span + 1) * slide_ms).alias("window_ms")
+    return both.select(start, *[(F.col(f"_cum_{n}") - F.col(f"_from_{n}")).alias(n) for n in sums])
+
+
+def fraud_rate_sliding(log: DataFrame, window_ms: int = 300_000, slide_ms: int = 15_000) -> DataFrame:
+    """``fraud``, ``total`` and ``fraud_rate`` (null without rows) per sliding window, empty ones in between included."""
+    sums = sliding_sums(log, {"fraud": F.count_if("is_fraud"), "total": F.count("*")}, window_ms, slide_ms)
+    return sums.withColumn("fraud_rate", ratio_percent(F.col("fraud"), F.col("total")))
+
+
+#: Size of the quantile sketches, and the error of a rank, as a share, that they keep nearly always.
+SKETCH_K = 400
+RANK_ERROR = 0.01
+
+
+def latency_sketches(log: DataFrame, every_ms: int = 300_000, value: str = "latency_ms", ms: str = "event_ms") -> DataFrame:
+    """One mergeable quantile sketch per window: a few kilobytes, whatever the number of rows."""
+    start = (F.floor(F.col(ms) / every_ms) * every_ms).alias("window_ms")
+    return log.groupBy(start).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch"), F.count(value).alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, every_ms: int) -> DataFrame:
+    """Sketches of longer windows from stored ones; no row is read again."""
+    start = (F.floor(F.col("window_ms") / every_ms) * every_ms).alias("window_ms")
+    return sketches.groupBy(start).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """``q`` and ``value`` per sketch."""
+    found = [F.struct(F.lit(float(p)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("value")) for p in probs]
+    return sketches.withColumn("_q", F.explode(F.array(*found))).select(*[c for c in sketches.columns if c != "sketch"], "_q.*")
+
+
 def prediction_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("is_fraud").agg(F.count("*").alias("n"))
 

@@ -9,7 +9,8 @@ from txnguard.functions.alerts import new_country_rule_alerts
 from txnguard.operators.patterns import BUILTIN, PatternRule, first_in_country
 
 CHUNK_MS = 3_600_000
-SLOTS = 16
+#: Transactions of a chunk that one slot is meant to hold.
+SLOT_ROWS = 1 << 18
 
 
 def rule_latest(changelog: DataFrame) -> DataFrame:
@@ -24,13 +25,21 @@ def rule_current(changelog: DataFrame) -> DataFrame:
     return rule_latest(changelog).filter("enabled")
 
 
-def rule_as_of(txns: DataFrame, changelog: DataFrame, rule_id: str, chunk_ms: int = CHUNK_MS, slots: int = SLOTS) -> DataFrame:
+def busiest_slots(txns: DataFrame, chunk_ms: int, slot_rows: int = SLOT_ROWS) -> int:
+    """Slots that spread the chunk with the most transactions."""
+    busiest = txns.groupBy(F.floor(F.col("event_ms") / chunk_ms)).count().agg(F.max("count")).first()[0]
+    return max(1, -(-(busiest or 0) // slot_rows))
+
+
+def rule_as_of(txns: DataFrame, changelog: DataFrame, rule_id: str, chunk_ms: int = CHUNK_MS, slots: int | None = None) -> DataFrame:
     """Inner join of each transaction to the version of ``rule_id`` in force at its event time, if that is enabled.
 
     Versions and transactions are put in one order, and each transaction takes the last version before it. That is done
-    per time chunk and slot: a chunk's transactions are spread over ``slots`` and each slot gets the chunk's versions.
+    per time chunk and slot: a chunk's transactions are spread over ``slots`` (default: as many as the busiest chunk
+    needs) and each slot gets the chunk's versions.
     What was in force when a chunk began comes from one row per chunk. One plan for every size of either side.
     """
+    slots = slots or busiest_slots(txns, chunk_ms)
     body = F.struct("rule_id", "rule_name", "severity", "threshold_amount", "enabled")
     log = changelog.filter(F.col("rule_id") == rule_id).select(F.unix_millis("rule_ts").alias("_ms"), "rule_seq", body.alias("_v"))
     log = log.groupBy("_ms").agg(F.max_by("_v", "rule_seq").alias("_v")).withColumn("_chunk", F.floor(F.col("_ms") / chunk_ms))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnguard.operators import patterns as P
 from txnguard.plans import inputs
 from txnguard.plans.inputs import TX_SQL, WIDE
-from txnguard.plans.pattern_queries import ALERT, NEW_TEXT, P002_SQL, alert_sql
+from txnguard.plans.pattern_queries import ALERT, NEW_TEXT, P002_DYNAMIC_SQL, P002_SQL, alert_sql, changelog
 from txnguard.streaming import jobs, live_rules
-from txnguard.workdir import run_dir
+from txnguard.workdir import materialize, run_dir
 
 # Versions (rule, enabled, amount, upper amount, window, times, day): each pattern changes once and is off for a while.
 VERSIONS = [
@@ -47,6 +48,49 @@ def stream_rules_live(spark, d):
     return spark.read.parquet(f"{base}/card_number").unionByName(spark.read.parquet(f"{base}/user_id"))
 
 
+def halves(spark, d):
+    """The table by arrival, in two parts."""
+    t = inputs.tx(spark, d)
+    middle = t.select(F.percentile_approx("arrival", 0.5, 1_000_000)).first()[0] or 0
+    return t, t.filter(F.col("arrival") <= middle), t.filter(F.col("arrival") > middle)
+
+
+def stream_p002_bootstrap(spark, d):
+    """New-country alerts of the first half in a batch, whose pairs then fill the state of the stream over the second half."""
+    base, own = run_dir(spark, "bootstrap"), jobs.stream_session(spark)
+    t, first, second = halves(spark, d)
+    P.first_in_country(first).write.parquet(f"{base}/known")
+    known = spark.read.schema(t.schema).parquet(f"{base}/known")
+    second.write.parquet(f"{base}/in")
+    changelog(spark).write.parquet(f"{base}/rules")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        jobs.write_batch(jobs.new_country_alerts(batch, batch.sparkSession.read.parquet(f"{base}/rules")).select(*ALERT), f"{base}/out", batch_id)
+
+    history = own.read.schema(known.schema).parquet(f"{base}/known")
+    rows = own.readStream.schema(t.schema).parquet(f"{base}/in")
+    jobs.each_batch(jobs.first_seen_stream(rows, history=history), handle, f"{base}/checkpoint").awaitTermination()
+    earlier = jobs.new_country_alerts(known.withColumn("amount", F.col("amount").cast("double")), changelog(spark)).select(*ALERT)
+    return earlier.unionByName(spark.read.schema(earlier.schema).parquet(f"{base}/out").select(*ALERT))
+
+
+def stream_state_audit(spark, d):
+    """The pairs that the stopped new-country stream holds, read from its state after each half of the input, and the rows
+    that it gave so far."""
+    base, own = run_dir(spark, "audit"), jobs.stream_session(spark)
+    t, *parts = halves(spark, d)
+    out = []
+    for k, part in enumerate(parts):
+        part.write.mode("append").parquet(f"{base}/in")
+        rows = own.readStream.schema(t.schema).parquet(f"{base}/in")
+        jobs.to_files(jobs.first_seen_stream(rows), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+        given = spark.read.parquet(f"{base}/out").select("user_id", "country", F.lit(True).alias("given"))
+        held = jobs.seen_pairs(own, f"{base}/checkpoint").select("user_id", "country", "since")
+        found = held.join(given, ["user_id", "country"], "full").select(F.lit(k + 1).alias("part"), "user_id", "country", "since", "given")
+        out.append(materialize(found, "audit"))
+    return out[0].unionByName(out[1])
+
+
 CLOSED = "(SELECT max(event_ms) - 5001 FROM tx)"
 
 
@@ -90,4 +134,12 @@ def live_sql(rule, begin: int, until: int) -> str:
 
 
 LIVE_SQL = f"WITH {TX_SQL}, {P002_SQL} " + " UNION ALL ".join(live_sql(*s) for r in WIDE for s in spans(r))
-QUERIES = {"stream_rules_live": (stream_rules_live, LIVE_SQL)}
+AUDIT_SQL = f"""WITH {TX_SQL}, middle AS (SELECT quantile_disc(arrival, 0.5) AS m FROM tx),
+  parts AS (SELECT 1 AS part, tx.* FROM tx, middle WHERE arrival <= m UNION ALL SELECT 2, tx.* FROM tx)
+  SELECT part, user_id, country, arg_min(event_ms, arrival) AS since, true AS given FROM parts
+  WHERE user_id IS NOT NULL AND country IS NOT NULL GROUP BY ALL"""
+QUERIES = {
+    "stream_rules_live": (stream_rules_live, LIVE_SQL),
+    "stream_p002_bootstrap": (stream_p002_bootstrap, P002_DYNAMIC_SQL),
+    "stream_state_audit": (stream_state_audit, AUDIT_SQL),
+}

@@ -10,6 +10,7 @@ from txnguard.operators import monitor as M
 from txnguard.plans.decode_queries import DEC, raw_records
 from txnguard.plans.inputs import TX_SQL, tx
 from txnguard.plans.pattern_queries import ALL_SQL, alerts
+from txnguard.workdir import materialize
 
 
 def score_log(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +43,31 @@ def fraud_rate_5m(spark, d):
     return out.select("window_ms", F.round("fraud_rate", 6).alias("fraud_rate"))
 
 
+def fraud_rate_sliding(spark, d):
+    """Rate over five minutes, renewed every 15 seconds, for every such window of the month."""
+    out = M.fraud_rate_sliding(score_log(spark, d))
+    return out.select("window_ms", "fraud", "total", F.round("fraud_rate", 6).alias("fraud_rate"))
+
+
+def latency_sketch_rollup(spark, d):
+    """Stored five-minute sketches merged to hours and days, beside the rows: counts, and whether the true rank of each
+    quantile is within the sketches' error."""
+    log = score_log(spark, d).select("event_ms", "latency_ms")
+    stored = materialize(M.latency_sketches(log), "latency-sketches")
+    hours = materialize(M.merge_sketches(stored, 3_600_000), "hour-sketches")
+    parts = [("hour", 3_600_000, hours), ("day", 86_400_000, M.merge_sketches(hours, 86_400_000))]
+    out = []
+    for name, length, sketches in parts:
+        found = M.sketch_quantiles(sketches)
+        rows = log.withColumn("window_ms", F.floor(F.col("event_ms") / length) * length)
+        met = rows.join(found, "window_ms").groupBy("window_ms", "q", "n").agg(
+            F.count_if(F.col("latency_ms") < F.col("value")).alias("under"), F.count_if(F.col("latency_ms") <= F.col("value")).alias("upto"), F.count("*").alias("counted"),
+        )
+        near = (F.col("under") <= (F.col("q") + M.RANK_ERROR) * F.col("n") + 1) & (F.col("upto") >= (F.col("q") - M.RANK_ERROR) * F.col("n") - 1)
+        out.append(met.select(F.lit(name).alias("span"), "window_ms", "q", F.col("n").alias("n"), (F.col("n") == F.col("counted")).alias("complete"), near.alias("in_bound")))
+    return out[0].unionByName(out[1])
+
+
 def prediction_counts(spark, d):
     return M.prediction_counts(score_log(spark, d))
 
@@ -120,7 +146,25 @@ HIST_SQL = f"""hist AS (SELECT day_ms, CAST(lo AS DOUBLE) AS lo, CAST(le AS DOUB
 W5 = "event_ms // 300000 * 300000 AS window_ms"
 W1 = "event_ms // 60000 * 60000 AS window_ms"
 L = f"WITH {TX_SQL}, {LOG_SQL}"
+SLIDING_SQL = f"""WITH {TX_SQL}, {LOG_SQL}, panes AS (SELECT event_ms // 15000 AS pane, count(*) FILTER (WHERE is_fraud) AS fraud, count(*) AS total
+    FROM score_log GROUP BY 1),
+  axis AS (SELECT unnest(range((SELECT min(pane) FROM panes) - 19, (SELECT max(pane) FROM panes) + 1)) AS start),
+  sums AS (SELECT start, coalesce(sum(fraud), 0) AS fraud, coalesce(sum(total), 0) AS total FROM axis
+    LEFT JOIN (SELECT pane - unnest(range(20)) AS start, fraud, total FROM panes) USING (start) GROUP BY start)
+  SELECT start * 15000 AS window_ms, CAST(fraud AS BIGINT) AS fraud, CAST(total AS BIGINT) AS total,
+    round(CASE WHEN total > 0 THEN fraud * 100.0 / total END, 6) AS fraud_rate FROM sums"""
+
+
+def rollup_sql(name: str, length: int) -> str:
+    return f"""SELECT '{name}' AS span, event_ms // {length} * {length} AS window_ms, q, count(*) AS n, true AS complete, true AS in_bound
+  FROM score_log, (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS q) GROUP BY ALL"""
+
+
 QUERIES = {
+    "fraud_rate_sliding": (fraud_rate_sliding, SLIDING_SQL),
+    "latency_sketch_rollup": (
+        latency_sketch_rollup, f"WITH {TX_SQL}, {LOG_SQL} {rollup_sql('hour', 3_600_000)} UNION ALL {rollup_sql('day', 86_400_000)}",
+    ),
     "fraud_count_5m": (fraud_count_5m, f"{L} SELECT {W5}, count(*) FILTER (WHERE is_fraud) AS fraud FROM score_log GROUP BY 1"),
     "fraud_count_sliding": (
         fraud_count_sliding,

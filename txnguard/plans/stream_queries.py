@@ -18,6 +18,7 @@ from txnguard.plans.pattern_queries import (
     A001, A003, A004, ALERT, P001_SQL, P002_DYNAMIC_SQL, P003_SQL, P004_SQL, alert_sql, changelog,
 )
 from txnguard.sources.records import read_transactions
+from txnguard.sources.tables import utc_date
 from txnguard.streaming import jobs
 from txnguard.workdir import run_dir
 
@@ -105,16 +106,38 @@ def stream_fraud_count(spark, d):
 
 
 def stream_late_rows(spark, d):
-    """Successful rows arrive first, failed rows in a second file: those behind the watermark by then are late."""
+    """Successful rows arrive first, failed rows when the stream is started again: those behind the watermark by then are late.
+
+    Spark itself drops what was behind the watermark one batch earlier and only counts it, so the two runs are two batches
+    with none without data between them."""
     base = run_dir(spark, "late")
     t = inputs.tx(spark, d)
-    t.filter(P.is_success()).coalesce(1).write.parquet(f"{base}/in")
-    t.filter(P.is_failed()).coalesce(1).write.mode("append").parquet(f"{base}/in")
     own = jobs.stream_session(spark)
-    rows = own.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = jobs.sequence_stream(rows, "user_id", jobs.user_stages(WIDE), report_late=True)
-    late = finish(spark, out, "late-out").filter(F.col("kind") == "late")
-    return late.select("id", "user_id", "event_ms")
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for part in (P.is_success(), P.is_failed()):
+        t.filter(part).write.mode("append").parquet(f"{base}/in")
+        rows = own.readStream.schema(t.schema).parquet(f"{base}/in")
+        found = jobs.sequence_stream(rows, "user_id", jobs.user_stages(WIDE), report_late=True)
+        jobs.to_files(found.filter(F.col("kind") == "late"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id", "user_id", "event_ms")
+
+
+def stream_dedupe(spark, d):
+    """Every row is sent twice, in two batches, the second time later and changed: the first one is stored."""
+    base = run_dir(spark, "dedupe")
+    t = inputs.tx(spark, d).select("id", "arrival", "user_id", "status", F.col("amount").cast("double").alias("amount"), "event_time")
+    again = t.withColumns({"arrival": F.col("arrival") + 1_000_000_000, "amount": -F.col("amount")})
+    own = jobs.stream_session(spark)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumn("event_date", utc_date(F.col("event_time")))
+        jobs.write_batch(jobs.first_stored(dated, f"{base}/out", batch_id, "event_date"), f"{base}/out", batch_id, ("event_date",))
+
+    for part in (t.unionByName(again.filter(P.is_failed())), again):
+        part.write.mode("append").parquet(f"{base}/in")
+        rows = own.readStream.schema(t.schema).parquet(f"{base}/in")
+        jobs.each_batch(rows, handle, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id", "user_id", "status", "amount")
 
 
 CLOSED = "(SELECT max(event_ms) - 5001 FROM tx)"
@@ -140,6 +163,7 @@ QUERIES = {
         f"""WITH {TX_SQL}, {LOG_SQL}, w AS (SELECT event_ms // 300000 * 300000 AS window_ms, count(*) FILTER (WHERE is_fraud) AS fraud
         FROM score_log GROUP BY 1) SELECT window_ms, fraud FROM w WHERE window_ms + 300000 <= {CLOSED}""",
     ),
+    "stream_dedupe": (stream_dedupe, f"WITH {TX_SQL} SELECT id, user_id, status, CAST(amount AS DOUBLE) AS amount FROM tx"),
     "stream_late_rows": (
         stream_late_rows,
         f"""WITH {TX_SQL} SELECT id, user_id, event_ms FROM tx WHERE status = 'FRAUD'

@@ -10,12 +10,8 @@ from txnguard import schemas
 PARTITIONS = ["detected_date", "source"]
 
 
-#: Files of a day: its users are spread over so many, and a user is in one of them.
-FILES_PER_DAY = 4
-
-
-def by_user() -> Column:
-    return F.pmod(F.xxhash64("user_id"), F.lit(FILES_PER_DAY))
+#: Rows of a file at most.
+ROWS_PER_FILE = 5_000_000
 
 
 def utc_date(ts: Column) -> Column:
@@ -26,18 +22,24 @@ def with_date(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("detected_date", utc_date(F.col("detected_at")))
 
 
+def write_ranges(rows: DataFrame, days: list[str], path: str, mode: str) -> None:
+    """Files by ranges of day, user and id: as many as the rows fill, a busy user's rows split over several, and a user's rows
+    of a day next to each other, so that a lookup skips files and row groups."""
+    order = [*days, "user_id", "id"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*days).parquet(path)
+
+
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by day and source; files sorted by user so that a user lookup skips row groups."""
+    """Partitioned by day and source, each in ranges of users."""
     typed = [F.col(name).cast(kind) for name, (kind, *_) in schemas.ALERTS_TABLE.items()]
-    rows = with_date(alerts.select(*typed)).repartition(*PARTITIONS, by_user())
-    rows.sortWithinPartitions(*PARTITIONS, "user_id").write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    write_ranges(with_date(alerts.select(*typed)), PARTITIONS, path, mode)
 
 
 def write_transactions(txns: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by day; files sorted by user so that a user lookup skips row groups."""
+    """Partitioned by day, each in ranges of users."""
     rows = txns.select(*schemas.TRANSACTIONS_TABLE).withColumn("event_date", utc_date(F.col("event_time")))
-    rows = rows.repartition("event_date", by_user())
-    rows.sortWithinPartitions("event_date", "user_id").write.mode(mode).partitionBy("event_date").parquet(path)
+    write_ranges(rows, ["event_date"], path, mode)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:

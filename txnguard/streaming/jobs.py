@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence as Seq
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from txnguard.functions import alerts as A
 from txnguard.functions.once import with_once
 from txnguard.operators import patterns as P
+from txnguard.operators.merge import absent_from, dedupe_first
 from txnguard.operators.ordered import CHUNK_WINDOWS, spread_chunks
 from txnguard.operators.rules import rule_as_of
 from txnguard.sources.files import read_or_empty
@@ -115,21 +117,34 @@ def sequence_alerts(matches: DataFrame, rules: dict[str, P.PatternRule]) -> Data
 # --- new country ---------------------------------------------------------------------------------------------------
 
 
-def first_seen_stream(txns: DataFrame, ttl_ms: int | None = None, slots: int | None = None) -> DataFrame:
+def first_seen_stream(txns: DataFrame, ttl_ms: int | None = None, slots: int | None = None, history: DataFrame | None = None) -> DataFrame:
     """The first row of each user in each country, in arrival order. No watermark: late rows count too.
 
-    Each input task passes on one row per pair and Arrow batch, so a busy user does not flood one task.
+    Each input task passes on one row per pair and Arrow batch, so a busy user does not flood one task. ``history``
+    (user_id, country, event_ms, one row per pair) fills the state of a new checkpoint; a checkpoint that exists keeps its own.
     """
     rows = txns.filter(F.col("user_id").isNotNull() & F.col("country").isNotNull())
     rows = rows.select(*[F.col(c).cast("double").alias(c) if c == "amount" else F.col(c) for c in SEEN_COLUMNS])
     reduced = rows.mapInPandas(first_per_batch, SEEN_SCHEMA)
     reduced = reduced.withColumn("slot", slot_of(["user_id", "country"], txns.sparkSession, slots))
     mode = "ProcessingTime" if ttl_ms else "None"
+    known = None
+    if history is not None:
+        pairs = history.filter(F.col("user_id").isNotNull() & F.col("country").isNotNull()).select("user_id", "country", "event_ms")
+        known = pairs.withColumn("slot", slot_of(["user_id", "country"], txns.sparkSession, slots)).groupBy("slot")
     return reduced.groupBy("slot").transformWithStateInPandas(
-        FirstSeenProcessor(ttl_ms), SEEN_SCHEMA, "Append", mode
+        FirstSeenProcessor(ttl_ms), SEEN_SCHEMA, "Append", mode, initialState=known
     )
 
 
+def seen_pairs(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:
+    """What a stopped new-country stream remembers: (user_id, country, since), from its state files, as of its last batch or
+    of ``batch_id``."""
+    reader = spark.read.format("statestore").option("stateVarName", "seen")
+    state = (reader if batch_id is None else reader.option("batchId", batch_id)).load(checkpoint)
+    return state.select("user_map_key.user_id", "user_map_key.country", F.col("user_map_value.since").alias("since"))
+
+
 def rule_log(spark: SparkSession, rule_table: str) -> DataFrame:
     """All rule versions that have arrived, read anew at every call."""
     return read_or_empty(spark, rule_table, RULE_TABLE)
@@ -166,7 +181,20 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partitions: Seq[str] =
     df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
 
 
-def stored_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Ids that other batches have stored; only that column is read. A batch that is run again does not meet its own."""
-    known = read_or_empty(spark, path, "id string, batch_id long")
-    return known.filter(F.col("batch_id") != batch_id).select("id")
+def stored_ids(spark: SparkSession, path: str, batch_id: int, day: str, days: Seq) -> DataFrame:
+    """Ids that other batches have stored in some days' partitions; no other files and no other column are read. A batch that
+    is run again does not meet its own."""
+    known = read_or_empty(spark, path, f"id string, batch_id long, {day} date")
+    return known.filter(F.col(day).isin(list(days)) & (F.col("batch_id") != batch_id)).select("id")
+
+
+def first_stored(batch: DataFrame, path: str, batch_id: int, day: str, order: Seq[str] = ("arrival",), near: int = 0) -> DataFrame:
+    """What insert-or-ignore adds to the batches under ``path``: the first row per id that no other batch has stored.
+
+    A record that is sent again has the same day, so only the days of the batch are looked up, and ``near`` days before
+    each. What is read follows the batch, not the table.
+    """
+    rows = dedupe_first(batch, "id", order)
+    found = [r[0] for r in batch.select(day).distinct().collect() if r[0] is not None]  # the batch's days
+    days = sorted({d - timedelta(days=k) for d in found for k in range(near + 1)})
+    return absent_from(rows, stored_ids(batch.sparkSession, path, batch_id, day, days))

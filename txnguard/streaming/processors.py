@@ -173,7 +173,8 @@ def first_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class FirstSeenProcessor(StatefulProcessor):
-    """Emits the first row of each (user, country) pair of a slot and remembers the pair for good, or for ``ttl_ms``."""
+    """Emits the first row of each (user, country) pair of a slot and remembers the pair for good, or for ``ttl_ms``. Pairs
+    given as initial state count as seen."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -181,6 +182,10 @@ class FirstSeenProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "user_id string, country string", "since long", self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for user, country, ms in zip(initialState["user_id"], initialState["country"], initialState["event_ms"]):
+            self.seen.updateValue((user, country), (int(ms),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         best = pd.DataFrame()
         for pdf in rows:

@@ -16,12 +16,12 @@ from txnguard.functions.conform import conform
 from txnguard.ml import registry, train
 from txnguard.operators import patterns as P
 from txnguard.operators import scoring
-from txnguard.operators.merge import absent_from, dedupe_first
+from txnguard.operators.merge import dedupe_first
 from txnguard.sources.sinks import (
     ALERT_BATCH, TRANSACTION_BATCH, jdbc_insert_or_ignore, jdbc_options, send_alert_records,
 )
 from txnguard.sources.tables import PARTITIONS, utc_date, with_date
-from txnguard.streaming import jobs
+from txnguard.streaming import jobs, live_rules
 
 
 class QualityListener(StreamingQueryListener):
@@ -69,7 +69,8 @@ class ActiveModel:
 
 @dataclass
 class Service:
-    """Settings of one deployment. ``out`` holds the tables, ``checkpoint`` the progress and state of each query."""
+    """Settings of one deployment. ``out`` holds the tables, ``checkpoint`` the progress and state of each query. With
+    ``live_rules`` all patterns follow the rule records while they run, otherwise P002 alone does."""
 
     spark: SparkSession
     out: str
@@ -83,6 +84,7 @@ class Service:
     interval_ms: int = 30_000
     send_to_topic: bool = False
     to_database: bool = False
+    live_rules: bool = False
     quality: QualityListener = field(default_factory=QualityListener)
 
     @property
@@ -108,8 +110,10 @@ class Service:
         try:
             rows, rejected = conform(found, schemas.ALERTS_TABLE, {"detected_at": F.current_timestamp()})
             path = f"{self.out}/alerts/query={name}"
-            rows = absent_from(dedupe_first(rows, "id", ("transaction_id",)), jobs.stored_ids(rows.sparkSession, path, batch_id)).persist()
-            jobs.write_batch(with_date(rows), path, batch_id, PARTITIONS)
+            dated = with_date(rows).persist()
+            rows = jobs.first_stored(dated, path, batch_id, "detected_date", ("transaction_id",), near=1).persist()
+            jobs.write_batch(rows, path, batch_id, PARTITIONS)
+            rows = rows.drop("detected_date")
             jobs.write_batch(rejected, f"{self.out}/rejected_alerts/query={name}", batch_id)
             if self.send_to_topic:
                 send_alert_records(rows, self.cfg)
@@ -117,6 +121,7 @@ class Service:
                 send_alert_records(rows, path=f"{self.out}/alert_records/query={name}/batch_id={batch_id}")
             if self.to_database:
                 jdbc_insert_or_ignore(rows, "fraud_alerts", name, batch_id, jdbc_options(self.cfg), ALERT_BATCH)
+            dated.unpersist()
             rows.unpersist()
         finally:
             found.unpersist()
@@ -143,6 +148,14 @@ class Service:
 
         return self._each(jobs.first_seen_stream(txns, ttl_ms), "country", handle)
 
+    def start_live_patterns(self, txns: DataFrame, rule_records: DataFrame, key: str, name: str) -> StreamingQuery:
+        """The patterns of one key under rules that change meanwhile; ``rules`` hold until a pattern's first version."""
+        seq = F.col("offset") if "offset" in rule_records.columns else F.unix_micros("timestamp")
+        raw = rule_records.select("key", "value", F.col("timestamp").alias("rule_ts"), seq.alias("rule_seq"))
+        base = {k: r for k, r in self.rules.items() if k != "P002"}
+        found = live_rules.live_matches(txns, D.decode_rules(raw), key, base, {**P.BUILTIN, **self.rules}, delay=self.delay)
+        return self._each(live_rules.live_alerts(found), name, lambda b, i: self.write_alerts(b, name, i))
+
     def start_model(self, txns: DataFrame) -> StreamingQuery:
         """Scores with the version active when the micro-batch starts; without one, nothing is scored."""
         active = ActiveModel(self.model_root)
@@ -169,12 +182,11 @@ class Service:
                 valid = valid.withColumn("event_time", F.coalesce("event_time", "timestamp"))
                 rows, rejected = conform(valid, schemas.TRANSACTIONS_TABLE, {"ingested_at": F.current_timestamp()}, ("arrival",))
                 path = f"{self.out}/transactions"
-                rows = dedupe_first(rows.withColumn("event_date", utc_date(F.col("event_time"))), "id", ("arrival",))
-                known = jobs.stored_ids(batch.sparkSession, path, batch_id)
-                new = absent_from(rows, known).drop("arrival")
+                rows = rows.withColumn("event_date", utc_date(F.col("event_time")))
+                new = jobs.first_stored(rows, path, batch_id, "event_date").drop("arrival")
                 jobs.write_batch(new, path, batch_id, ("event_date",))
                 if self.to_database:
-                    staged = rows.drop("event_date")
+                    staged = dedupe_first(rows, "id", ("arrival",)).drop("event_date")
                     jdbc_insert_or_ignore(staged, "transactions", "transactions", batch_id, jdbc_options(self.cfg), TRANSACTION_BATCH)
                 jobs.write_batch(rejected.select("id", "reject_reason"), f"{self.out}/rejected_transactions", batch_id)
                 malformed = batch.filter(F.col("reason").isNotNull()).select("value", "timestamp", "reason")
@@ -195,9 +207,15 @@ class Service:
             if self.available_now:
                 queries["rules"].awaitTermination()
         txns = self.transactions(records)
-        queries["card"] = self.start_card_patterns(txns)
-        queries["user"] = self.start_user_patterns(txns)
-        queries["country"] = self.start_new_country(txns)
+        if self.live_rules and rule_records is not None:
+            queries["card"] = self.start_live_patterns(txns, rule_records, "card_number", "card")
+            queries["user"] = self.start_live_patterns(txns, rule_records, "user_id", "user")
+        else:
+            if jobs.card_stages(self.rules):
+                queries["card"] = self.start_card_patterns(txns)
+            if jobs.user_stages(self.rules):
+                queries["user"] = self.start_user_patterns(txns)
+            queries["country"] = self.start_new_country(txns)
         if self.model_root:
             queries["model"] = self.start_model(txns)
         queries["transactions"] = self.start_transactions(records)
