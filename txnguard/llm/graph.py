@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from txnguard.workdir import materialize
 
+#: Parts of a node's links, which go to different tasks.
+SALTS = 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for each node of the links ``(a, b)``: the label is the smallest node that it can reach.
 
     Rounds of two steps, each a grouping that combines before its shuffle and an equi-join: every node hands its
     smallest neighbour first to its larger neighbours, then to its smaller ones, until every link points to a label.
-    A node with very many links is one key of a join whose large side Spark may split, since the smallest neighbours are
-    written before they are joined; no list of neighbours is ever collected. Each round's links are written to the shared folder, so lineage stays short. Links of a node with
+    A node with very many links is SALTS keys of the joins, each with its smallest neighbour; no list of neighbours is ever
+    collected. Each round's links are written to the shared folder, so lineage stays short. Links of a node with
     itself and repeated links do no harm; nodes without a link to another are not in the result. Null ends are left
     out.
     """
@@ -31,16 +34,23 @@ def components(edges: DataFrame) -> DataFrame:
     return label.union(links.select("b", "b").distinct())
 
 
+def _salted(links: DataFrame, other: str, least: DataFrame) -> DataFrame:
+    """``links`` joined to ``least`` by ``a``, the links of a node spread by their other end."""
+    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", salt).join(copies, ["a", "salt"])
+
+
 def _to_larger(links: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node that it sees, itself included."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     larger = links.select(F.col("b").alias("a"), F.col("a").alias("v"))
-    return larger.join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _salted(larger, "v", least).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _to_smaller(links: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the smallest of them."""
-    least = materialize(links.groupBy("a").agg(F.min("b").alias("m")), "least")
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = _salted(links, "b", least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
