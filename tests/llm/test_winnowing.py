@@ -35,7 +35,8 @@ def brute(rows):
         a, b, c = ({h for h, _ in brute_winnow(x)} for x in (t, edited, after))
         hexed = ["".join(f"{h:08x}" for h in sorted(s)) for s in (a, b)]
         near = [len(a & x) / len(a | x) if a | x else 1.0 for x in (b, c)]
-        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *hexed, *near))
+        grams = brute_winnow(t)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), *hexed, *near, [h for h, _ in grams], [p for _, p in grams]))
     return out
 
 
@@ -49,7 +50,23 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = sorted(brute(sorted(rows, key=lambda r: -r[0])))
     assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert np.allclose([r[5:] for r in got], [r[5:] for r in want])
+    assert np.allclose([r[5:7] for r in got], [r[5:7] for r in want])
+    assert [r[7:] for r in got] == [r[7:] for r in want]
+
+
+def test_equal_places_are_met_from_the_query(spark, tmp_path):
+    """The positions that the query returns point at a k-gram that both texts have there."""
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(winnowing.GRAM + winnowing.WINDOW - 1))
+    rows = [(k, "".join(rng.choice("ijklm ") for _ in range(60 + 31 * k)) + shared + "zq" * (3 + k)) for k in range(6)]
+    texts = dict(rows)
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: dict(zip(r.hashes, r.positions, strict=True)) for r in catalog()["op10_fingerprints"][0](spark, str(tmp_path)).collect()}
+    for a in range(6):
+        for b in range(a):
+            met = [(got[a][h], got[b][h]) for h in got[a].keys() & got[b].keys()]
+            assert met and all(texts[a][p : p + winnowing.GRAM] == texts[b][q : q + winnowing.GRAM] for p, q in met)
+            assert any(p - texts[a].index(shared) == q - texts[b].index(shared) for p, q in met)
 
 
 @pytest.mark.parametrize("n", [1, 5, 23, 24, 25, 149, 150, 151, 152, 400])

@@ -68,11 +68,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Known:
-    """A document with the sorted set of its hashes."""
+    """A document with its kept k-grams and the sorted set of their hashes. Kept positions are at most a window apart, so a
+    byte holds the way from one to the next."""
 
     def __init__(self, doc_id: int | None, text: str | None) -> None:
         self.doc_id, self.text = doc_id, text or ""
-        self.kept = np.unique(winnow(self.text)[0])
+        self.hashes, positions = winnow(self.text)
+        self.gaps = np.diff(positions, prepend=0).astype(np.uint8)
+        self.kept = np.unique(self.hashes)
 
     def beside(self, after: Known) -> dict:
         """What is returned for this document, whose next one is ``after``."""
@@ -81,7 +84,7 @@ class Known:
         kept = np.unique(winnow(edited)[0])
         return {
             "doc_id": self.doc_id, "n_chars": len(self.text), "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(),
-            "kept": self.kept.astype(">u4").tobytes(), "edited_kept": relative(kept, self.kept),
+            "kept": self.hashes.astype(">u4").tobytes(), "gaps": self.gaps.tobytes(), "edited_kept": relative(kept, self.kept),
             "near_edited": likeness(self.kept, kept), "near_next": likeness(self.kept, after.kept),
         }
 
@@ -110,7 +113,9 @@ def packed(docs: DataFrame) -> DataFrame:
     return with_columns_of("doc_id long, hash long, text binary", of, only(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text")))
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, kept binary, edited_kept binary, near_edited double, near_next double"
+#: What is stored between the steps, and what is returned.
+STORED = "doc_id long, n_chars long, edited_sha256 string, kept binary, gaps binary, edited_kept binary, near_edited double, near_next double"
+RESULT = STORED.replace("gaps binary", "hashes array<long>, positions array<int>")
 NORMAL, FIRST, LAST = 0, 1, 2
 
 
@@ -120,7 +125,8 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     The next document has the next smaller doc_id, and after the last comes the first. Null doc_ids stand last; rows of
     one doc_id follow each other by their texts' hashes, null texts counting as empty. The edited text has the last
     ``n_chars // 2`` characters replaced by as many of the next document's first ones. ``kept`` and ``edited_kept`` are
-    the sorted sets of kept hashes, four bytes each; likeness is the share of common hashes, 1 for two empty ones.
+    the sorted sets of kept hashes, four bytes each; ``hashes`` and ``positions`` (code points) are the document's kept
+    k-grams in the order of the text; likeness is the share of common hashes, 1 for two empty ones.
 
     Rows are dealt by ranges of doc_id, so each text moves once, and a task holds two documents at a time. The ends of
     the ranges, two rows a task, are joined to each other afterwards. A single document is its own next. Repeated rows
@@ -128,7 +134,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash")]
     rows = packed(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    fields = [f.split(" ")[0] for f in RESULT.split(", ")]
+    fields = [f.split(" ")[0] for f in STORED.split(", ")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, out, schema = TaskContext.get().partitionId(), None, [], arrow_schema()
@@ -151,7 +157,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    found = materialize(rows.mapInArrow(of, f"kind int, part int, text string, {RESULT}"), "winnow")
+    found = materialize(rows.mapInArrow(of, f"kind int, part int, text string, {STORED}"), "winnow")
     ends = found.filter(F.col("kind") != NORMAL)
     parts = [r.part for r in ends.filter(F.col("kind") == FIRST).select("part").orderBy("part").collect()]  # one per task
     follows = list(zip(parts, parts[1:] + parts[:1], strict=True))
@@ -163,12 +169,18 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         out = [Known(r["doc_id"], r["text"]).beside(Known(r["next_id"], r["next_text"])) for r in batch.to_pylist()]
         yield pa.RecordBatch.from_pylist(out, arrow_schema(fields))
 
-    closed = with_columns_of(RESULT, close, joined)
+    closed = with_columns_of(STORED, close, joined)
 
     def unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pairs = zip(batch.column("edited_kept").to_pylist(), batch.column("kept").to_pylist(), strict=True)
-        edited = pa.array([absolute(e, k) for e, k in pairs], pa.binary())
-        yield pa.RecordBatch.from_arrays([edited if f == "edited_kept" else batch.column(f) for f in fields], fields)
+        hashes = [np.frombuffer(k, ">u4") for k in batch.column("kept").to_pylist()]
+        kept = [np.unique(h).astype(">u4").tobytes() for h in hashes]
+        made = {
+            "kept": pa.array(kept, pa.binary()), "hashes": pa.array([h.astype(np.int64) for h in hashes], pa.list_(pa.int64())),
+            "positions": pa.array([np.cumsum(np.frombuffer(g, np.uint8), dtype=np.int32) for g in batch.column("gaps").to_pylist()], pa.list_(pa.int32())),
+            "edited_kept": pa.array([absolute(e, k) for e, k in zip(batch.column("edited_kept").to_pylist(), kept, strict=True)], pa.binary()),
+        }
+        names = [f.split(" ")[0] for f in RESULT.split(", ")]
+        yield pa.RecordBatch.from_arrays([made[f] if f in made else batch.column(f) for f in names], names)
 
     return with_columns_of(RESULT, unpacked, found.filter(F.col("kind") == NORMAL).select(fields).unionByName(closed))
 
@@ -176,6 +188,6 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
 def arrow_schema(fields: list[str] | None = None) -> pa.Schema:
     kinds = {
         "kind": pa.int32(), "part": pa.int32(), "text": pa.string(), "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(),
-        "kept": pa.binary(), "edited_kept": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(),
+        "kept": pa.binary(), "gaps": pa.binary(), "edited_kept": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64(),
     }
     return pa.schema([(f, kinds[f]) for f in fields or kinds])
