@@ -140,3 +140,30 @@ def test_mask(spark):
     assert got.columns == df.columns
     assert [(r.doc_id, r.text, r.n_chars) for r in got.collect()] == [(1, "write [EMAIL] now", 17), (2, None, None), (3, "clean", 5)]
     assert pii.masked("+1 234 567 8901 2", [("phone", 0, 15), ("card", 3, 17)]) == "[PHONE]"
+
+
+@pytest.mark.parametrize(
+    "address",
+    ["jane [AT] mail [DOT] org", "jane (At) mail (Dot) org", "jane at mail dot org", "JANE AT MAIL DOT ORG", "jane dot doe at mail dot org",
+     "x" * 10 + "(at)firm(dot)com", "x" * 70 + "(at)firm(dot)com", "x" * 5000 + "(AT)firm(DOT)com"],
+)
+def test_spelled_out_addresses_are_found_and_masked(spark, address):
+    """In any case, spelled out, and however long a word is."""
+    text = f"please write to {address} soon"
+    _, ((span,),) = pii.spans_of([text])
+    assert span == ("email", 16, 16 + len(address))
+    got = pii.mask(docs(spark, [(1, text)])).first()
+    assert got.text == "please write to [EMAIL] soon"
+
+
+@pytest.mark.parametrize("text", ["look at the dot on the wall", "we met at noon dot or not", "at last the dot was gone", "he stood at the door and the dot moved at once"])
+def test_ordinary_at_and_dot(text):
+    assert pii.spans_of([text]) == ([[]], [[]])
+
+
+def test_the_field_is_trained_once_and_broadcast(spark, monkeypatch):
+    """Workers get the weights with the task: whatever the driver has trained is what they use."""
+    empty = pii_crf.Crf({}, np.zeros((0, len(pii_crf.LABELS))), pii_crf.forbidden())
+    monkeypatch.setattr(pii_crf, "trained", lambda: empty)
+    df = docs(spark, [(1, "call 555-123-4567 now"), (2, "a@b.co")])
+    assert {r.doc_id: r.spans for r in pii.find(df).collect()}[2] == "email:0:6"

@@ -16,9 +16,9 @@ from txnguard.llm.pii_patterns import KINDS, Span, base_spans, listed
 ENDS = ".,;:!?\"'#$%&*|<>=~`^"
 
 
-def learned_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+def learned_spans(texts: list[str], base: list[list[Span]], crf: pii_crf.Crf | None = None) -> list[list[Span]]:
     """Spans of the field's labels, without signs at their ends; what overlaps a pattern's span is left to the pattern."""
-    crf, where, words, found = pii_crf.trained(), [], [], []
+    crf, where, words, found = crf or pii_crf.trained(), [], [], []
     for i, text in enumerate(texts):
         for spans, features in pii_crf.chains(text):
             where.append(i)
@@ -40,10 +40,10 @@ def learned_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     return out
 
 
-def spans_of(texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
+def spans_of(texts: list[str], crf: pii_crf.Crf | None = None) -> tuple[list[list[Span]], list[list[Span]]]:
     """The patterns' spans and all spans of each text, by start and then kind."""
     base = [base_spans(t) for t in texts]
-    more = learned_spans(texts, base)
+    more = learned_spans(texts, base, crf)
     every = [sorted(b + m, key=lambda s: (s[1], KINDS.index(s[0]))) if m else b for b, m in zip(base, more, strict=True)]
     return base, every
 
@@ -53,11 +53,13 @@ def find(docs: DataFrame) -> DataFrame:
     ``spans``: the list of all spans as ``kind:start:end`` in code points, end exclusive.
 
     Null and empty texts have no spans. Repeated rows get equal results; a null doc_id stays null. Other columns are not
-    read, so their names can't clash. Long texts are searched whole; long words cost time in proportion to their length.
+    read, so their names can't clash. Long texts and long words are read whole and cost time in proportion to their length.
+    The field is trained once, on the driver, from its small table, and broadcast.
     """
+    crf = docs.sparkSession.sparkContext.broadcast(pii_crf.trained())  # weights of a fixed table
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        base, every = spans_of([t or "" for t in batch.column("text").to_pylist()])
+        base, every = spans_of([t or "" for t in batch.column("text").to_pylist()], crf.value)
         counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
         digest = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string())
         names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
@@ -73,10 +75,11 @@ def mask(docs: DataFrame) -> DataFrame:
     null texts stay."""
     schema, at = docs.schema, docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    crf = docs.sparkSession.sparkContext.broadcast(pii_crf.trained())  # weights of a fixed table
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(at).to_pylist()
-        _, every = spans_of([t or "" for t in texts])
+        _, every = spans_of([t or "" for t in texts], crf.value)
         new = [t if not s else masked(t, s) for t, s in zip(texts, every, strict=True)]
         columns = list(batch.columns)
         columns[at] = pa.array(new, pa.string())

@@ -18,9 +18,12 @@ STEPS = 400
 RATE = 0.1
 DECAY = 2e-3
 WORD = re.compile(r"\S+")
-#: A word can only be labelled if it has a digit, an @ or a bracketed at or dot, or stands beside such a bracket.
-MARK = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.ASCII)
-BRACKET = re.compile(r"^[(\[{](?:at|dot)[)\]}]$")
+#: A word can only be labelled if it has a digit, an @ or a bracketed at or dot, or stands beside such a bracket, or beside an
+#: at or dot that is spelled out in a row with another one; in upper or lower case.
+MARK = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.ASCII | re.IGNORECASE)
+BRACKET = re.compile(r"^[(\[{](?:at|dot)[)\]}]$", re.IGNORECASE)
+SPELLED = re.compile(r"(?<!\S)(?:at|dot)\s+\S+\s+dot(?!\S)|(?<!\S)dot\s+\S+\s+at(?!\S)", re.IGNORECASE)
+SIGNS = ("at", "dot")
 MARKED = re.compile(r"\{(\w+)\|((?:[^{}]|\{(?:at|dot)\})*)\}")
 
 Word = tuple[int, int]
@@ -37,14 +40,22 @@ class Crf:
 
 def shape(word: str) -> str:
     """Letters by case, digits by the length of their run, other characters as they are."""
-    out = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 5)}" if len(m[0]) < 12 else "dd", re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", word[:64]))
+    out = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 5)}" if len(m[0]) < 12 else "dd", re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", word))
     return out
 
 
+def spelled(words: list[str]) -> list[bool]:
+    """Which words are an at or dot with another one two words away, of which one is a dot."""
+    low = [w.lower() if len(w) < 4 else "" for w in words]
+    pair = [a in SIGNS and b in SIGNS and "dot" in (a, b) for a, b in zip(low, low[2:], strict=False)]
+    return [w in SIGNS and ((k < len(pair) and pair[k]) or (k > 1 and pair[k - 2])) for k, w in enumerate(low)]
+
+
 def is_open(words: list[str]) -> list[bool]:
     """Which words can carry a label; all others are no personal data."""
     own = [bool(MARK.search(w)) for w in words]
-    mark = [bool(BRACKET.match(w)) for w in words]
+    mark = [b or bool(BRACKET.match(w)) for w, b in zip(words, spelled(words), strict=True)]
+    own = [o or m for o, m in zip(own, mark, strict=True)]
     return [o or (k > 0 and mark[k - 1]) or (k + 1 < len(mark) and mark[k + 1]) for k, o in enumerate(own)]
 
 
@@ -52,17 +63,20 @@ def features_of(words: list[str], k: int) -> list[str]:
     word = words[k]
     digits = sum(c in "0123456789" for c in word)
     out = ["bias", f"s={shape(word)}", f"n={min(digits, 20)}", f"p={shape(word)[:2]}", f"z={shape(word)[-2:]}"]
-    signs = sorted({c for c in word[:64] if not c.isalnum()})
+    signs = sorted({c for c in word if not c.isalnum()})
     out += [f"c={c}" for c in signs] + [f"no={''.join(signs)}"]
     if BRACKET.match(word):
         out.append("bracket")
+    for off in (-2, 0, 2):
+        if 0 <= k + off < len(words) and words[k + off].lower() in SIGNS:
+            out.append(f"{off}w={words[k + off].lower()}")
     if digits and not re.search(r"[^0-9a-fA-F:]", word) and word.count(":") > 2:
         out.append("colons")
     for name, at in (("b", k - 1), ("a", k + 1)):
         near = words[at] if 0 <= at < len(words) else ""
         out.append(f"{name}s={shape(near) if near else '-'}")
         if near and not MARK.search(near):
-            out.append(f"{name}w={near.lower().strip('.,:;!?')[:24]}")
+            out.append(f"{name}w={near.lower().strip('.,:;!?')}")
         elif BRACKET.match(near):
             out.append(f"{name}bracket")
     return out
@@ -173,7 +187,7 @@ def viterbi(emit: np.ndarray, pair: np.ndarray) -> np.ndarray:
 def chains(text: str) -> Iterator[tuple[list[Word], list[list[str]]]]:
     """Runs of words that can be labelled, with their features. A word between two runs is O whatever stands beside it,
     so each run is decoded by itself without any loss."""
-    if not MARK.search(text):
+    if not MARK.search(text) and not SPELLED.search(text):
         return
     spans = [m.span() for m in WORD.finditer(text)]
     words = [text[s:e] for s, e in spans]

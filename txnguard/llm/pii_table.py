@@ -88,4 +88,17 @@ look @ this and @ that
 @name said hello to @other
 meet me at noon dot or not
 the (at) sign is odd
+write {email|jane [AT] mail [DOT] org} soon
+{email|jane (At) mail (Dot) org} is hers
+send {email|ANNA [AT] POST [DOT] DE} the file
+mail {email|jane at mail dot org} for more
+ask {email|bob dot smith at post dot de} today
+contact {email|INFO AT SHOP DOT NET} now
+reach {email|tom at firm dot co dot uk} by noon
+her address {email|eva at uni dot edu} is new
+write {email|sales(AT)firm(DOT)com} instead
+we wait at noon dot dot dot and go
+look at every dot on the wall
+start at one dot then stop
+meet at nine dot we said
 """
