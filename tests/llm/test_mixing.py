@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -103,3 +104,21 @@ def test_mixed_documents(spark, sf_dir):
     assert got.columns == df.columns
     times = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert max(times.values()) == 2 and 0.9 < sum(times.values()) / df.count() / 1.5 < 1.1
+
+
+def test_landing_in_levels(spark, monkeypatch):
+    """Blocks of a few rows leave more undecided rows than a block holds: these fly again, block by block."""
+    rng, flights = random.Random(4), []
+    rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 40))), "en", ("web", "book", None)[i % 3]) for i in range(900)]
+    plain = mixing.materialize
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: flights.append(name) or plain(df, name))
+    got = mixing.mixture(docs(spark, rows)).collect()
+    assert flights.count("mix-flown") > 2
+    words = {None: 0, "web": 0, "book": 0}
+    source = {i: s for i, _, _, s in rows}
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size)
+        words[source[r.doc_id]] += r.taken
+    target = {source[r.doc_id]: r.target for r in got}
+    assert len(got) == 900 and all(abs(words[s] - t) <= 40 for s, t in target.items())

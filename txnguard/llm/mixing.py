@@ -150,7 +150,8 @@ def mix(rows: DataFrame) -> DataFrame:
 
     A source whose target is r times its size takes each of its rows floor(r) times, and once more with the fraction as
     the inclusion probability. The cube method balances these draws: the words and the number of rows drawn stay at
-    their expected sums in every block of rows and then, in the landing, in every source but for about one row.
+    their expected sums in every block of rows, in blocks of what those leave undecided, and so on, and at last, in the
+    landing of at most a block's rows, in every source but for about one row.
     Results depend on the rows alone, not on how they are stored: blocks and order follow key and size; equal rows are
     interchangeable. Rows without a word are never drawn.
     """
@@ -166,9 +167,18 @@ def mix(rows: DataFrame) -> DataFrame:
     known = known.withColumns({"base": whole, "p": part, "block": block})
     order = ["block", "source", "key", "size"]
     flown = materialize(fly(known.repartition("block").sortWithinPartitions(*order), land=False), "mix-flown")
-    undecided = flown.filter("p > 0 and p < 1").withColumn("block", F.lit(-1).cast("long"))
+    decided, undecided = flown.filter("p <= 0 or p >= 1"), flown.filter("p > 0 and p < 1")
+    while True:  # a source's undecided rows become about two thousand times fewer with each level
+        counts = undecided.groupBy("source").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).alias("_parts")).withColumnRenamed("source", "_source")
+        if (counts.agg(F.max("_parts")).first()[0] or 0) <= 1:
+            break
+        again = undecided.join(counts, F.col("source").eqNullSafe(F.col("_source"))).withColumn("block", F.pmod(F.xxhash64("size", "key"), F.col("_parts")))
+        again = again.select(*flown.columns).repartition("source", "block").sortWithinPartitions(*order)
+        flown = materialize(fly(again, land=False), "mix-flown")
+        decided, undecided = decided.union(flown.filter("p <= 0 or p >= 1")), flown.filter("p > 0 and p < 1")
+    undecided = undecided.withColumn("block", F.lit(-1).cast("long"))
     landed = fly(undecided.repartition("source").sortWithinPartitions(*order), land=True)
-    every = flown.filter("p <= 0 or p >= 1").unionByName(landed)
+    every = decided.unionByName(landed)
     return every.select("key", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies"))
 
 
