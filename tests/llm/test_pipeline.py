@@ -41,9 +41,25 @@ def test_all_but_the_last_return_documents(kept):
 
 
 def test_language(kept):
+    """The model decides on every row: it rejects texts without a letter, and where it is certain its language counts."""
     before, after = rows(kept[0]), rows(kept[1])
     assert set(after) == {i for i, r in before.items() if any(c.isalpha() for c in r.text or "")}
-    assert all(after[i] == before[i] for i in after)
+    model = langid.train(kept[0])
+    order = sorted(after)
+    best, score = langid.scores(model, [before[i].text for i in order])
+    for i, b, p in zip(order, best, score, strict=True):
+        lang = model.languages[b] if p >= langid.CERTAIN or before[i].lang is None else before[i].lang
+        assert after[i] == before[i].__class__(*[lang if c == "lang" else before[i][c] for c in COLUMNS]) or after[i].asDict() == before[i].asDict() | {"lang": lang}
+
+
+def test_a_wrong_language_is_corrected(spark, sf_dir):
+    """Rows whose language was changed on purpose get their own one back; rows without one get one."""
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = known.filter("n_chars > 400 and lang is not null").orderBy("doc_id").limit(12).collect()
+    wrong = {r.doc_id: (None if k % 2 else "de" if r.lang != "de" else "fr") for k, r in enumerate(long)}
+    table = spark.createDataFrame([r.asDict() | {"lang": wrong.get(r.doc_id, r.lang)} for r in known.collect()], known.schema)
+    got = {r.doc_id: r.lang for r in langid.with_language(table).collect() if r.doc_id in wrong}
+    assert got == {r.doc_id: r.lang for r in long}
 
 
 def test_personal_data_is_gone(kept):

@@ -171,9 +171,17 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return rows.mapInArrow(of, f"{kinds}, lang_pred string, score double")
 
 
+#: Probability from which the model's language counts more than the one that a row came with.
+CERTAIN = 0.999
+
+
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a language; the others are rejected. A null ``lang`` becomes the predicted
-    one. The model learns from all rows that have a language; if none has, every text with a letter stays."""
+    """The rows of ``docs`` whose text has a language by the model's decision on it; those that it calls ``und`` are rejected.
+
+    The model learns from all rows that have a language, and decides on every row from its text alone. Its language takes
+    the place of a null ``lang``, and of another one where it is CERTAIN; else the row's own stays. If no row has a
+    language, the model knows none and every text with a letter stays as it is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
@@ -182,12 +190,12 @@ def with_language(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                part = part.filter(pa.array([has_letter(t or "") for t in part.column(text).to_pylist()]))
-                given = part.column(lang).to_pylist()
-                if own.languages and None in given:
-                    best, _ = scores(own, part.column(text).to_pylist())
-                    filled = [own.languages[b] if g is None else g for g, b in zip(given, best, strict=True)]
-                    part = part.set_column(lang, part.schema.field(lang), pa.array(filled, pa.string()))
+                part = part.filter(pa.array([has_letter(t or "") for t in part.column(text).to_pylist()], pa.bool_()))
+                if own.languages and part.num_rows:
+                    best, score = scores(own, part.column(text).to_pylist())
+                    given = part.column(lang).to_pylist()
+                    now = [own.languages[b] if g is None or p >= CERTAIN else g for g, b, p in zip(given, best, score, strict=True)]
+                    part = part.set_column(lang, part.schema.field(lang), pa.array(now, pa.string()))
                 yield part
 
     return docs.mapInArrow(of, docs.schema)
