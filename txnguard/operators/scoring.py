@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnguard.functions.features import feature_array, feature_vector, skip_reason
+from txnguard.functions.once import with_once
 from txnguard.ml.train import positive_probability
 
 
@@ -67,23 +68,26 @@ def score_python(
     version: str = "unknown",
     features: str = "features",
 ) -> DataFrame:
-    """Score with any Python model in Arrow batches. ``load`` runs once per task; a failing batch becomes ``error``
-    rows and the job goes on."""
+    """Score with any Python model in Arrow batches. ``load`` runs once per task; a failing batch becomes ``error`` rows with
+    the failure in ``score_error``, and the job goes on."""
 
-    @F.pandas_udf("double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("p double, error string")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = None
         for batch in batches:
-            out = np.full(len(batch), np.nan)
+            out, error = np.full(len(batch), np.nan), np.full(len(batch), None, object)
             ready = batch.notna().to_numpy()
             if ready.any():
                 try:
                     model = model or load()
                     out[ready] = model(np.array(batch[ready].tolist(), dtype=float))
-                except Exception:  # an unavailable scorer must not stop the stream
-                    pass
-            yield pd.Series(out).where(~np.isnan(out), None).astype("Float64")
+                except Exception as e:  # an unavailable scorer must not stop the stream
+                    error[ready] = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"p": pd.Series(out).where(~np.isnan(out), None).astype("Float64"), "error": error})
 
     rows = df.withColumn("skip_reason", skip_reason(F.col(features)))
     vector = F.when(F.col("skip_reason").isNull(), feature_array(F.col(features), scale))
-    return label_scores(rows.withColumn("fraud_probability", F.nanvl(predict(vector), F.lit(None).cast("double"))), threshold, version)
+    rows = with_once(rows, "_scored", predict(vector))
+    p = F.nanvl(F.col("_scored.p"), F.lit(None).cast("double"))
+    rows = rows.withColumns({"fraud_probability": p, "score_error": F.col("_scored.error")}).drop("_scored")
+    return label_scores(rows, threshold, version)

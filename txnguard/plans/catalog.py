@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pattern_queries", "decode_queries", "monitor_queries", "ml_queries", "boost_queries", "stream_queries", "live_queries"]
+MODULES = ["pattern_queries", "decode_queries", "monitor_queries", "ml_queries", "boost_queries", "stream_queries", "live_queries", "source_queries"]
 
 
 def catalog() -> dict:
