@@ -111,7 +111,7 @@ def test_landing_in_levels(spark, monkeypatch):
     rng, flights = random.Random(4), []
     rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 40))), "en", ("web", "book", None)[i % 3]) for i in range(900)]
     plain = mixing.materialize
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
     monkeypatch.setattr(mixing, "materialize", lambda df, name: flights.append(name) or plain(df, name))
     got = mixing.mixture(docs(spark, rows)).collect()
     assert flights.count("mix-flown") > 2
