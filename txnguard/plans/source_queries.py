@@ -16,7 +16,7 @@ from txnguard.plans.decode_queries import stream_like_rules
 from txnguard.plans.inputs import TX_SQL, table
 from txnguard.plans.ml_queries import cards, cards_of, learnable
 from txnguard.plans.stream_queries import finish, table_stream
-from txnguard.sources import files
+from txnguard.sources import files, record_log
 from txnguard.sources.records import read_rule_records
 from txnguard.streaming import jobs
 from txnguard.streaming.service import ActiveModel
@@ -110,8 +110,37 @@ def minority_knn_lsh(spark, d):
     return met.agg(F.countDistinct("id").alias("n"), F.count("*").alias("pairs"), (F.count("met") >= 0.9 * F.count("*")).alias("recall_reached"))
 
 
+def stream_log_source(spark, d):
+    """The events through a record log of six partitions, in two commits: read from the beginning and from the end, each stream
+    stopped in between, and alerts' way out by a stream that writes to a second log."""
+    base = run_dir(spark, "log")
+    t = inputs.tx(spark, d).select("user_id", "id", "arrival", "event_time")
+    middle = t.select(F.percentile_approx("arrival", 0.5, 1_000_000)).first()[0] or 0
+    for part in (F.col("arrival") <= middle, F.col("arrival") > middle):
+        for k, starting in enumerate(("earliest", "latest")):
+            if k:  # the second stream starts when the first part is there
+                rows = record_log.read_stream(spark, f"{base}/in", starting)
+                jobs.to_files(rows.select(F.lit(starting).alias("starting"), "key", "value", "partition"), f"{base}/{starting}", f"{base}/checkpoint-{starting}").awaitTermination()
+            else:
+                record_log.append(t.filter(part).select(F.col("user_id").alias("key"), F.col("id").alias("value"), F.col("event_time").alias("timestamp")), f"{base}/in")
+                rows = record_log.read_stream(spark, f"{base}/in", starting)
+                record_log.write_stream(rows, f"{base}/copy", f"{base}/checkpoint-{starting}", "copy").awaitTermination()
+    copied = spark.read.format(record_log.NAME).option("path", f"{base}/copy").load().select(F.lit("earliest").alias("starting"), "key", "value", "partition")
+    every = copied.unionByName(spark.read.schema(copied.schema).parquet(f"{base}/latest"))
+    return every.select("starting", F.col("key").cast("string").alias("user_id"), F.col("value").cast("string").alias("id"), F.col("partition").cast("long").alias("partition"))
+
+
 EMB = "round(CAST(embedding[{}] AS DOUBLE), 6)"
+# The partition of a user: CRC-32, its table computed, folded over the name's bytes.
+LOG_SQL = f"""WITH RECURSIVE {TX_SQL}, crc(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8), middle AS (SELECT quantile_disc(arrival, 0.5) AS m FROM tx),
+users AS (SELECT user_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(user_id, ''), lambda d: CAST(ascii(d) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295::BIGINT) % 6 AS partition FROM (SELECT DISTINCT user_id FROM tx), tab),
+every AS (SELECT 'earliest' AS starting, tx.* FROM tx UNION ALL SELECT 'latest', tx.* FROM tx, middle WHERE arrival > m)
+SELECT starting, user_id, id, partition FROM every JOIN users USING (user_id)"""
 QUERIES = {
+    "stream_log_source": (stream_log_source, LOG_SQL),
     "cards_csv_scan": (
         cards_csv_scan,
         f"""SELECT CAST(vec_id AS DOUBLE) AS "Time", {EMB.format(1)} AS "V1", {EMB.format(28)} AS "V28",
