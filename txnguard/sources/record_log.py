@@ -95,9 +95,10 @@ def segments_between(log: Log, after: int, upto: int) -> list[Segments]:
     return [Segments(p, files) for p, files in sorted(own.items())]
 
 
-def records(path: str, part: Segments) -> Iterator[pa.RecordBatch]:
+def records(path: str, part: Segments | None) -> Iterator[pa.RecordBatch]:
+    """The records of a topic partition's segments; Spark reads a log without any by one task that has none."""
     log = Log(path)
-    for name, base in part.files:
+    for name, base in part.files if part else ():
         at = base
         with log.files.open_input_file(f"{log.base}/segments/{name}") as f:
             for batch in pq.ParquetFile(f).iter_batches(10_000):
