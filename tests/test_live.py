@@ -154,3 +154,30 @@ def test_slots_follow_the_busiest_chunk(spark):
     versions = log(spark, [("P002", True, 1.0, 0, 0.0, 1), ("P002", False, 1.0, 0, 9.5, 2)])
     counts = {rule_as_of(rows, versions, "P002", 1000, slots).count() for slots in (None, 1, 7)}
     assert counts == {rows.filter("event_ms < 9500").count()}
+
+
+def test_interleaved_bits(spark):
+    pairs = [(a, b) for a in (0, 1, 5, 4095) for b in (0, 2, 7, 4095)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    for r in df.withColumn("z", tables.interleaved(F.col("a"), F.col("b"))).collect():
+        want = int("".join(x + y for x, y in zip(f"{r.a:012b}", f"{r.b:012b}", strict=True)), 2)
+        assert r.z == want
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    rows = spark.range(6000).select(
+        F.md5(F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 2 == 0, F.col("id") % 97).cast("string").alias("user_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("detected_at"),
+    )
+    path = str(tmp_path / "lookups")
+    tables.write_for_lookups(rows, path, rows_per_file=200)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 6000 and len(stored.inputFiles()) >= 25
+    key = stored.agg(F.max("id")).first()[0]
+    found = tables.lookup_id(stored, key)
+    assert [r.id for r in found.collect()] == [key] and tables.rows_scanned(found) <= 600
+    mine = tables.lookup_user(stored, "42", "2024-01-02T00:00:00Z", "2024-01-04T00:00:00Z")
+    want = rows.filter("user_id = '42' and detected_at >= '2024-01-02T00:00:00Z' and detected_at < '2024-01-04T00:00:00Z'").count()
+    assert mine.count() == want > 0 and tables.rows_scanned(mine) <= 1800
+    tables.write_for_lookups(rows.limit(0), path)
+    assert spark.read.parquet(path).count() == 0

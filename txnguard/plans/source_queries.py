@@ -15,8 +15,9 @@ from txnguard.plans.boost_queries import BINNED, STUMPS, ZERO, stump_sql
 from txnguard.plans.decode_queries import stream_like_rules
 from txnguard.plans.inputs import TX_SQL, table
 from txnguard.plans.ml_queries import cards, cards_of, learnable
+from txnguard.plans.pattern_queries import ALL_SQL, alerts
 from txnguard.plans.stream_queries import finish, table_stream
-from txnguard.sources import files, record_log
+from txnguard.sources import files, record_log, tables
 from txnguard.sources.records import read_rule_records
 from txnguard.streaming import jobs
 from txnguard.streaming.service import ActiveModel
@@ -130,6 +131,31 @@ def stream_log_source(spark, d):
     return every.select("starting", F.col("key").cast("string").alias("user_id"), F.col("value").cast("string").alias("id"), F.col("partition").cast("long").alias("partition"))
 
 
+def _lookup_table(spark, d):
+    """The alerts, with the event's time as theirs, laid out for lookups in small files."""
+    path = run_dir(spark, "lookups")
+    rows = alerts(spark, d).withColumn("detected_at", F.timestamp_millis("event_ms")).drop("event_ms")
+    tables.write_for_lookups(rows, path, rows_per_file=250)
+    return spark.read.parquet(path)
+
+
+def alerts_by_id_pruned(spark, d):
+    """One alert by its id, and whether the scan passed over four fifths of the table."""
+    stored = _lookup_table(spark, d)
+    key = stored.agg(F.min("id")).first()[0]
+    found = tables.lookup_id(stored, key)
+    share = tables.rows_scanned(found) / max(1, stored.count())
+    return found.select("id", "transaction_id", "user_id", "pattern_id", F.lit(share <= 0.2).alias("mostly_skipped"))
+
+
+def alerts_by_user_pruned(spark, d):
+    """A user's alerts of ten days, and whether the scan passed over half of the table."""
+    stored = _lookup_table(spark, d)
+    found = tables.lookup_user(stored, "7", "2024-01-05T00:00:00Z", "2024-01-15T00:00:00Z")
+    share = tables.rows_scanned(found) / max(1, stored.count())
+    return found.select("id", "transaction_id", "pattern_id", F.lit(share <= 0.5).alias("mostly_skipped"))
+
+
 EMB = "round(CAST(embedding[{}] AS DOUBLE), 6)"
 # The partition of a user: CRC-32, its table computed, folded over the name's bytes.
 LOG_SQL = f"""WITH RECURSIVE {TX_SQL}, crc(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i)
@@ -140,6 +166,15 @@ users AS (SELECT user_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_
 every AS (SELECT 'earliest' AS starting, tx.* FROM tx UNION ALL SELECT 'latest', tx.* FROM tx, middle WHERE arrival > m)
 SELECT starting, user_id, id, partition FROM every JOIN users USING (user_id)"""
 QUERIES = {
+    "alerts_by_id_pruned": (
+        alerts_by_id_pruned,
+        f"{ALL_SQL} SELECT id, transaction_id, user_id, pattern_id, true AS mostly_skipped FROM alerts WHERE id = (SELECT min(id) FROM alerts)",
+    ),
+    "alerts_by_user_pruned": (
+        alerts_by_user_pruned,
+        f"""{ALL_SQL} SELECT a.id, transaction_id, pattern_id, true AS mostly_skipped FROM alerts a JOIN tx ON tx.id = a.transaction_id
+        WHERE a.user_id = '7' AND event_ms >= 1704412800000 AND event_ms < 1705276800000""",
+    ),
     "stream_log_source": (stream_log_source, LOG_SQL),
     "cards_csv_scan": (
         cards_csv_scan,
