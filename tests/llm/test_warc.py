@@ -1,8 +1,12 @@
 import base64
+import gzip
 import hashlib
 import time
+import zlib
 from html.parser import HTMLParser
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from txnguard.llm import warc
@@ -94,3 +98,56 @@ def test_response_without_head():
     source = warc.response_of(1, "http://x/", "") | {"block": b"no head at all", "payload_digest": None}
     meta, text = warc.derivatives_of(source)
     assert text["block"] == b"no head at all" and b"source-status" not in meta["block"]
+
+
+PAGE = "<html><head><title>Größe</title></head><body><p>Ein Café kostet 5 €.</p></body></html>"
+
+
+def chunked(body, size=7):
+    parts = [body[i : i + size] for i in range(0, len(body), size)]
+    return b"".join(f"{len(p):x};name=1\r\n".encode() + p + b"\r\n" for p in parts) + b"0\r\n\r\n"
+
+
+def two_members(data):
+    return gzip.compress(data[:20]) + gzip.compress(data[20:])
+
+
+@pytest.mark.parametrize(
+    ("headers", "body"),
+    [
+        ("Content-Type: text/html; charset=windows-1252", PAGE.encode("cp1252")),
+        ("Content-Type: text/html; charset=ISO-8859-1", PAGE.encode("cp1252")),
+        ('content-type: text/html; Charset="utf-16-le"', PAGE.encode("utf-16-le")),
+        ("Content-Type: text/html", b"\xff\xfe" + PAGE.encode("utf-16-le")),
+        ("Content-Type: text/html", PAGE.replace("<head>", "<head><meta charset='cp1252'>").encode("cp1252")),
+        ("Content-Type: text/html; charset=no-such-one", PAGE.encode()),
+        ("Content-Encoding: gzip", gzip.compress(PAGE.encode())),
+        ("Content-Encoding: x-gzip", two_members(PAGE.encode())),
+        ("Content-Encoding: deflate", zlib.compress(PAGE.encode())),
+        ("Content-Encoding: deflate", zlib.compress(PAGE.encode())[2:-4]),
+        ("Content-Encoding: zstd", zstandard.compress(PAGE.encode())),
+        ("Content-Encoding: deflate, gzip", gzip.compress(zlib.compress(PAGE.encode()))),
+        ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked(gzip.compress(PAGE.encode()))),
+        ("Transfer-Encoding: chunked", chunked(PAGE.encode())),
+        ("Content-Encoding: identity", PAGE.encode()),
+    ],
+)
+def test_bodies_by_their_encoding_and_charset(headers, body):
+    block = f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n".encode() + body
+    source = dict.fromkeys(warc.FIELDS) | {"record_type": "response", "record_id": "<urn:uuid:x>", "block": block}
+    metadata, text = warc.derivatives_of(source)
+    assert text["block"].decode() == "Größe\nEin Café kostet 5 €."
+    assert "title: Größe\r\n" in metadata["block"].decode() and f"source-content-length: {len(body)}" in metadata["block"].decode()
+
+
+def test_unknown_and_broken_encodings():
+    def run(headers, body):
+        block = f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n".encode() + body
+        metadata, text = warc.derivatives_of(dict.fromkeys(warc.FIELDS) | {"record_id": "r", "block": block})
+        return metadata["block"].decode(), text["block"].decode()
+
+    metadata, text = run("Content-Encoding: br", b"\x0b\x02")
+    assert text == "" and "source-undecoded: br\r\n" in metadata
+    assert run("Content-Encoding: gzip", b"no gzip at all") [1] == ""
+    assert run("Content-Encoding: gzip", gzip.compress(b"<p>" + b"word " * 500)[:60])[1].startswith("word")
+    assert run("Transfer-Encoding: chunked", b"<p>plain")[1] == "plain"

@@ -7,10 +7,12 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 LANGUAGE = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 LINK = re.compile(r"<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
+#: Content encodings that are undone; the names of Latin-1; byte order marks; and how far into a page it may name its charset.
+ENCODINGS = ("gzip", "x-gzip", "deflate", "zstd")
+LATIN = ("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii")
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+DECLARED_WITHIN = 1024
+CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
+SIZE = re.compile(rb"[0-9A-Fa-f]+(?=\s*(?:;|$))")
+
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -77,6 +87,72 @@ def split_response(block: bytes) -> tuple[list[str], bytes]:
     return (head.decode("utf-8", "replace").split("\r\n"), payload) if mark else ([], block)
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without its transfer chunks; from the first thing that is no chunk on, as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = SIZE.match(body[at:end]) if end >= 0 else None
+        if not size:
+            return b"".join(out) + body[at:]
+        n, at = int(size[0], 16), end + 2
+        if not n:
+            return b"".join(out)
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def inflated(body: bytes, kind: str) -> bytes:
+    """A compressed body's bytes, as many as can be read; an empty one of a kind that is not known."""
+    out = []
+    try:
+        if kind == "zstd":
+            with zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True) as whole:
+                return whole.read()
+        for width in (47, -15) if kind == "deflate" else (47,):  # with a header, or, as some servers send it, without
+            rest = body
+            while rest:
+                one = zlib.decompressobj(width)
+                try:
+                    out.append(one.decompress(rest) + one.flush())
+                except zlib.error:
+                    break
+                rest = one.unused_data
+            if out:
+                break
+    except zstandard.ZstdError:
+        pass
+    return b"".join(out)
+
+
+def page_of(lines: list[str], payload: bytes) -> tuple[str, list[str]]:
+    """The page of a response, by its transfer and content encodings and its charset, and the encodings that are not known.
+
+    The charset is that of a byte order mark, else of the Content-Type header, else of the page's own declaration, else
+    UTF-8; one that is not known counts as UTF-8, and Latin-1 as its superset cp1252, as browsers do. Bytes that the
+    charset does not have become replacement characters."""
+    header = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+    body, unknown = payload, []
+    if "chunked" in header.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for kind in reversed([k.strip().lower() for k in header.get("content-encoding", "").split(",") if k.strip()]):
+        if kind in ENCODINGS:
+            body = inflated(body, kind)
+        elif kind != "identity":
+            unknown.append(kind)
+    if unknown:
+        return "", unknown
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace"), []
+    found = CHARSET.search(header.get("content-type", "")) or CHARSET.search(body[:DECLARED_WITHIN].decode("latin-1"))
+    name = found[1].lower() if found else "utf-8"
+    try:
+        return body.decode("cp1252" if name in LATIN else name, "replace"), []
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace"), []
+
+
 def record(source: dict, kind: str, content_type: str, block: bytes) -> dict:
     return {
         "page_id": source["page_id"], "record_type": kind, "record_id": record_id(kind, source["record_id"]), "refers_to": source["record_id"],
@@ -100,10 +176,10 @@ def derivatives_of(source: dict) -> list[dict]:
     """The metadata record and the conversion record of a response. The metadata keep the source's HTTP status and headers,
     its digests and length, and list the page's title, language and links."""
     lines, payload = split_response(source["block"] or b"")
-    page = payload.decode("utf-8", "replace")
+    page, unknown = page_of(lines, payload)
     fields = [("source-payload-digest", source["payload_digest"] or digest(payload)), ("source-block-digest", source["block_digest"]), ("source-content-length", len(payload))]
     fields += [("source-status", lines[0])] if lines else []
-    fields += [("source-header", one_line(line)) for line in lines[1:]]
+    fields += [("source-header", one_line(line)) for line in lines[1:]] + [("source-undecoded", kind) for kind in unknown]
     fields += [("title", one_line(html.unescape(m[1]))) for m in [TITLE.search(page)] if m] + [("lang", m[1]) for m in [LANGUAGE.search(page)] if m]
     fields += [("outlink", link) for link in outlinks(page, source["target_uri"])]
     metadata = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None).encode("utf-8", "replace")
@@ -130,8 +206,9 @@ def derive(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response among ``records``; records of other types give none.
 
     Each refers to its response by ``refers_to`` and has its target and date; its own id follows from the response's, so
-    repeated rows and repeated runs give equal records. A null or empty block gives records with empty text. Pages are
-    read whole, whatever their length. Other columns are not read. An empty table gives no records.
+    repeated rows and repeated runs give equal records. Bodies are read by the response's own encodings and charset; of an
+    encoding that is not known the text is empty and the metadata say so. A null or empty block gives records with empty
+    text. Pages are read whole, whatever their length. Other columns are not read. An empty table gives no records.
     """
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
