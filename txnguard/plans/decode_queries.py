@@ -14,7 +14,7 @@ from txnguard.operators import replay
 from txnguard.plans.inputs import TX_SQL, table, tx
 from txnguard.plans.pattern_queries import ALL_SQL, alerts
 from txnguard.sources import files, tables
-from txnguard.workdir import run_dir
+from txnguard.workdir import materialize, run_dir
 
 # Fault per remainder of event_id % 97; every other record is sound.
 FAULTS = {
@@ -242,7 +242,7 @@ def _stored_alerts(spark, d):
     """The alert table written by day and source and read back; detection time stands at the trigger's event time."""
     rows = alerts(spark, d).withColumn("detected_at", F.timestamp_millis("event_ms"))
     path = run_dir(spark, "alerts")
-    tables.write_alerts(rows.drop("event_ms"), path)
+    tables.write_alerts(materialize(rows.drop("event_ms"), "found-alerts"), path)  # ranges read their rows twice
     return tables.read_alerts(spark, path)
 
 
