@@ -21,7 +21,7 @@ from txnguard.sources import files, record_log, tables
 from txnguard.sources.records import read_rule_records
 from txnguard.streaming import jobs
 from txnguard.streaming.service import ActiveModel
-from txnguard.workdir import run_dir
+from txnguard.workdir import materialize, run_dir
 
 
 def cards_csv_scan(spark, d):
@@ -132,10 +132,10 @@ def stream_log_source(spark, d):
 
 
 def _lookup_table(spark, d):
-    """The alerts, with the event's time as theirs, laid out for lookups in small files."""
+    """The alerts, with the event's time as theirs, laid out for lookups in about 32 files."""
     path = run_dir(spark, "lookups")
-    rows = alerts(spark, d).withColumn("detected_at", F.timestamp_millis("event_ms")).drop("event_ms")
-    tables.write_for_lookups(rows, path, rows_per_file=250)
+    rows = materialize(alerts(spark, d).withColumn("detected_at", F.timestamp_millis("event_ms")).drop("event_ms"), "found-alerts")
+    tables.write_for_lookups(rows, path, rows_per_file=max(1, rows.count() // 32))
     return spark.read.parquet(path)
 
 
