@@ -157,7 +157,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    found = materialize(rows.mapInArrow(of, f"kind int, part int, text string, {STORED}"), "winnow")
+    found = materialize(rows.mapInArrow(of, f"kind int, part int, text string, {STORED}"), "winnow", "zstd")
     ends = found.filter(F.col("kind") != NORMAL)
     parts = [r.part for r in ends.filter(F.col("kind") == FIRST).select("part").orderBy("part").collect()]  # one per task
     follows = list(zip(parts, parts[1:] + parts[:1], strict=True))
