@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from helpers import txns
 from pyspark.sql import functions as F
-from test_streams import feed, run, source
+from test_streams import body, feed, records, run, source
 
 from txnguard import schemas
 from txnguard.operators import monitor as M
@@ -13,6 +13,7 @@ from txnguard.operators import patterns as P
 from txnguard.operators.rules import busiest_slots, rule_as_of, with_version
 from txnguard.sources import tables
 from txnguard.streaming import jobs, live_rules
+from txnguard.streaming.service import Service
 
 FAR = 10_000_000
 LOG = "rule_id string, rule_name string, enabled boolean, threshold_amount double, threshold_amount_high double, window_seconds int, min_occurrences int, severity string, rule_ts timestamp, rule_seq long"
@@ -70,6 +71,25 @@ def test_lowered_limits_see_earlier_rows(spark, own, tmp_path):
     assert got == [[("P001", "t3", "HIGH"), ("P001", "t4", "HIGH")]]
 
 
+def test_service_with_live_rules(spark, own, tmp_path):
+    """A switched-off pattern gives no alerts, the others keep their built-in settings, and a first version starts P002."""
+    out, cp, inbox, rules = (str(tmp_path / n) for n in ("out", "cp", "in", "rules"))
+    rows = [body(0, "b", 60, 4, "FRAUD"), body(1, "b", 70, 5, "FRAUD"), body(2, "b", 80, 6), body(3, "a", 10, 7), body(4, "a", 20, 8), body(5, "a", 30, 9),
+            body(6, "c", 900, 10, country="US"), body(99, "z", 10, 1800)]
+    feed(records(spark, rows), inbox)
+    feed(records(spark, [{"ruleId": "P003", "enabled": False}, {"ruleId": "P002", "ruleName": "Far", "enabled": True, "thresholdAmount": 500, "severity": "LOW"}]), rules)
+    job = Service(own, out, cp, live_rules=True)
+    try:
+        queries = job.start_all(own.readStream.schema(schemas.RAW_RECORD).parquet(inbox), own.readStream.schema(schemas.RAW_RECORD).parquet(rules))
+        assert set(queries) == {"rules", "card", "user", "transactions"}
+        for q in queries.values():
+            q.awaitTermination()
+    finally:
+        own.streams.removeListener(job.quality)
+    got = sorted((r.pattern_id, r.transaction_id, r.severity) for r in spark.read.parquet(f"{out}/alerts").collect())
+    assert got == [("P001", "x5", "HIGH"), ("P002", "x6", "LOW")]
+
+
 def test_versions_leave_absent_settings_alone():
     rule = with_version(P.BUILTIN["P004"], {"threshold_amount": 0.0, "threshold_amount_high": None, "window_seconds": 9, "rule_name": "", "severity": None})
     assert rule == P.BUILTIN["P004"].with_(window_s=9)
