@@ -63,6 +63,19 @@ def test_sampled_distance_is_scaled_to_all_rows(spark):
     assert 0.5 < part / whole < 2
 
 
+def test_crowded_cells_are_halved(spark):
+    """Rows spread evenly in many dimensions, which projections alone leave in a few cells."""
+    x = np.random.default_rng(8).standard_normal((3000, 12))
+    df, want = frame(spark, x), brute(x, 5)
+    points = df.cache()
+    cells = lsh.cells_of(points, 4 * lsh.typical_distance(points, 5), lsh.TABLES, lsh.PROJECTIONS, 150)
+    sizes = lsh.bucketed(points, cells, False).groupBy("tab", "bucket", "part").count()
+    assert cells.tables > lsh.TABLES and sizes.agg(F.max("count")).first()[0] <= 450
+    assert sizes.agg(F.sum("count")).first()[0] == 3000 * cells.tables
+    found = {(r.id, r.neighbour) for r in lsh.near_neighbours(df, "id", "x", 5, cell_rows=150).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("rows", [[], [("a", [1.0])], [("a", None), ("b", [0.0]), ("c", [0.0])]])
 def test_odd_tables(spark, rows):
     got = sorted((r.id, r.neighbour, r["rank"], r.distance) for r in lsh.near_neighbours(spark.createDataFrame(rows, SCHEMA), "id", "x", 5).collect())

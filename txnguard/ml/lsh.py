@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnguard.ml.neighbours import nearest_columns
 from txnguard.workdir import materialize
 
 TABLES, PROJECTIONS = 16, 4
+#: Rows that a cell is meant to have at most; larger ones are halved by further projections. With more than four halvings
+#: there are so many more tables for each.
+CELL_ROWS, FREE_HALVINGS, MORE_TABLES = 8192, 4, 1.4
+#: Sampled rows for each cell that halving makes, by which the halves are found.
+SAMPLE_A_CELL = 32
 #: Width of a projection's cells, in distances to the k-th neighbour.
 WIDTH = 4.0
-#: Rows on which the distance to the k-th neighbour is estimated; the only sample.
+#: Rows on which the distance to the k-th neighbour is estimated.
 SAMPLE = 1024
 BLOCK_ROWS = 4096
 SEED = 42
@@ -44,41 +49,85 @@ def typical_distance(points: DataFrame, k: int, sample: int = SAMPLE) -> float:
     return found or float(median[last]) or 1.0
 
 
-def bucketed(points: DataFrame, width: float, dimensions: int, tables: int, projections: int) -> DataFrame:
-    """``(tab, bucket, id, x)``: every row under its cell of each table's random projections."""
-    rng = np.random.default_rng(SEED)
-    lines, shifts = rng.standard_normal((dimensions, tables * projections)), rng.uniform(0, width, tables * projections)
-    mix = rng.integers(1, 2**62, projections) | 1
+class Cells:
+    """The cells of every table: of random projections, and for each crowded one the further lines and places that halve it."""
+
+    def __init__(self, width: float, dimensions: int, tables: int, projections: int, halvings: int) -> None:
+        rng = np.random.default_rng(SEED)
+        self.width, self.tables, self.projections = width, tables, projections
+        self.lines, self.shifts = rng.standard_normal((dimensions, tables * projections)), rng.uniform(0, width, tables * projections)
+        self.mix = rng.integers(1, 2**62, projections) | 1
+        self.further = rng.standard_normal((tables, dimensions, halvings))
+        self.places: dict[tuple[int, int], np.ndarray] = {}
+
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row in each table."""
+        cells = np.floor((x @ self.lines + self.shifts) / self.width).astype(np.int64).reshape(len(x), self.tables, self.projections)
+        return (cells * self.mix).sum(axis=2)
+
+    def halve(self, sizes: dict[tuple[int, int], int], sample: np.ndarray, cell_rows: int) -> None:
+        """Finds the places at which cells of more than ``cell_rows`` rows are halved, from sampled rows."""
+        buckets = self.buckets(sample)
+        for (tab, bucket), n in sizes.items():
+            x = sample[buckets[:, tab] == bucket] @ self.further[tab]
+            depth = min(halvings(n, cell_rows), x.shape[1])
+            places, node = np.zeros(2**depth - 1), np.zeros(len(x), np.int64)
+            for d in range(depth):
+                for at in range(2**d - 1, 2 ** (d + 1) - 1):
+                    if (own := x[node == at, d]).size:
+                        places[at] = np.median(own)
+                node = 2 * node + 1 + (x[:, d] > places[node])
+            self.places[tab, bucket] = places
+
+    def parts(self, x: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """The part of its cell in which each row is in each table; 0 in cells that are not halved."""
+        out = np.zeros(buckets.shape, np.int32)
+        for (tab, bucket), places in self.places.items():
+            rows = np.flatnonzero(buckets[:, tab] == bucket)
+            if len(rows):
+                along, node = x[rows] @ self.further[tab], np.zeros(len(rows), np.int64)
+                for d in range(int(len(places) + 1).bit_length() - 1):
+                    node = 2 * node + 1 + (along[:, d] > places[node])
+                out[rows, tab] = node - len(places)
+        return out
+
+
+def halvings(n: int, cell_rows: int) -> int:
+    """How often a cell of ``n`` rows is halved."""
+    return int(np.ceil(np.log2(max(1.0, n / cell_rows))))
+
+
+def bucketed(points: DataFrame, cells: Cells, rows: bool = True) -> DataFrame:
+    """``(tab, bucket, part)`` of every row in each table and, with ``rows``, its ``id`` and ``x``."""
+    shared = points.sparkSession.sparkContext.broadcast(cells)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                cells = np.floor((x @ lines + shifts) / width).astype(np.int64).reshape(part.num_rows, tables, projections)
-                bucket, again = (cells * mix).sum(axis=2).ravel(), pa.array(np.repeat(np.arange(part.num_rows), tables))
-                tab = np.tile(np.arange(tables, dtype=np.int32), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(tab), pa.array(bucket), part.column("id").take(again), part.column("x").take(again)], ["tab", "bucket", "id", "x"])
+                bucket = own.buckets(x)
+                made = [np.tile(np.arange(own.tables, dtype=np.int32), len(x)), bucket.ravel(), own.parts(x, bucket).ravel()]
+                columns = dict(zip(("tab", "bucket", "part"), map(pa.array, made), strict=True))
+                if rows:
+                    again = pa.array(np.repeat(np.arange(len(x)), own.tables))
+                    columns |= {"id": part.column("id").take(again), "x": part.column("x").take(again)}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return points.mapInArrow(of, "tab int, bucket long, id string, x array<double>")
+    return points.mapInArrow(of, "tab int, bucket long, part int" + ", id string, x array<double>" * rows)
 
 
 def block_neighbours(k: int):
     """The k nearest of each row within a block, or between two blocks; rows come sorted by block pair, one pair is held."""
 
     def nearest(ids: np.ndarray, x: np.ndarray, side: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
-        square = (x**2).sum(axis=1)
-        for at in range(0, len(x), 512):
-            rows = np.arange(at, min(at + 512, len(x)))
-            d = square[rows, None] + square[None, :] - 2 * x[rows] @ x.T
-            d[np.arange(len(rows)), rows] = np.inf
-            if not same:
-                d[side[rows, None] == side[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            left, right = np.repeat(rows, best.shape[1]), best.ravel()
-            far = np.sqrt(((x[left] - x[right]) ** 2).sum(axis=1))
-            kept = np.isfinite(d[left - at, right])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[left[kept]], pa.string()), pa.array(ids[right[kept]], pa.string()), pa.array(far[kept])], ["id", "neighbour", "distance"])
+        every = np.arange(len(x))
+        for s in (side[:1] if same else np.unique(side)):
+            left, right = (every, every) if same else (every[side == s], every[side != s])
+            itself = (every, every) if same else (every[:0], every[:0])
+            for i, j, far in nearest_columns(x[left], x[right], itself, k):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[left[i]], pa.string()), pa.array(ids[right[j]], pa.string()), pa.array(far)], ["id", "neighbour", "distance"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -87,10 +136,10 @@ def block_neighbours(k: int):
             if held:
                 ids, x, side = (np.concatenate(c) for c in zip(*held, strict=True))
                 if len(ids) > 1:
-                    yield from nearest(ids, x, side, key[2] == key[3])
+                    yield from nearest(ids, x, side, key[-2] == key[-1])
 
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in ("tab", "bucket", "i", "j")], strict=True))
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("tab", "bucket", "part", "i", "j")], strict=True))
             ids = np.array(batch.column("id").to_pylist(), object)
             own = batch.column("own").to_numpy(zero_copy_only=False)
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
@@ -105,14 +154,33 @@ def block_neighbours(k: int):
     return of
 
 
+def cells_of(points: DataFrame, width: float, tables: int, projections: int, cell_rows: int) -> Cells:
+    """The tables' cells for these rows: sampled rows say where the crowded ones are halved."""
+    n, dimensions = points.count(), len(points.first().x)
+    most = halvings(n, cell_rows)
+    tables = int(np.ceil(tables * MORE_TABLES ** max(0, most - FREE_HALVINGS)))
+    cells = Cells(width, dimensions, tables, projections, most)
+    if most:
+        sizes = bucketed(points, cells, False).groupBy("tab", "bucket").count().filter(F.col("count") > cell_rows)
+        crowded = {(r.tab, r.bucket): r["count"] for r in sizes.collect()}  # at most n / cell_rows a table
+        share = min(1.0, SAMPLE_A_CELL * 2**most / n)
+        sample = points.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < share * (1 << 30)).select("x").collect()  # rows in proportion to the cells
+        if sample:
+            cells.halve(crowded, np.array([r.x for r in sample], float), cell_rows)
+    return cells
+
+
 def near_neighbours(
-    df: DataFrame, id_col: str, vector: str, k: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block_rows: int = BLOCK_ROWS
+    df: DataFrame, id_col: str, vector: str, k: int = 5, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block_rows: int = BLOCK_ROWS,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``(id, neighbour, rank, distance)``: up to ``k`` near other rows of each row, nearly always the nearest ones.
 
-    Rows that share a cell of one of the tables' random projections are compared exactly. A cell of more than
-    ``block_rows`` rows is dealt into blocks, and every two of them meet in a group of their own, so no task holds more
-    than two blocks; each gives at most k candidates a row. Two rows as near as a typical k-th neighbour share no cell
+    Rows that share a cell of one of the tables' random projections are compared exactly. A cell of more than ``cell_rows``
+    rows is halved by further projections at medians of sampled rows, so that the work of a table follows the rows; a neighbour
+    is cut off more often then, and from four halvings on there are MORE_TABLES times as many tables for each. What is
+    still a cell (copies can't be halved) stays whole: one of more than ``block_rows`` rows is dealt into blocks, and every two of them meet in a group of their own, so no task holds more
+    than two blocks; each gives at most k candidates a row. Without halving, two rows as near as a typical k-th neighbour share no cell
     with a chance of about 2e-4 (four projections of cells four times as wide, sixteen tables). Ids must be unique; of
     equal distances the smaller id counts. Rows without vector have no neighbours.
     """
@@ -121,12 +189,14 @@ def near_neighbours(
     first = points.limit(1).collect()
     if not first:
         return points.select("id", F.col("id").alias("neighbour"), F.lit(1).alias("rank"), F.lit(0.0).alias("distance"))
-    rows = materialize(bucketed(points, width * typical_distance(points, k), len(first[0].x), tables, projections), "lsh-buckets")
-    sizes = rows.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    known = rows.join(sizes, ["tab", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = cells_of(points, width * typical_distance(points, k), tables, projections, cell_rows)
+    spot = ["tab", "bucket", "part"]
+    sizes = bucketed(points, cells, False).groupBy(*spot).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    sizes = materialize(sizes.filter("n > 1").drop("n"), "lsh-sizes")
+    known = bucketed(points, cells).join(sizes, spot).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = other.select("tab", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "x")
-    group = ["tab", "bucket", "i", "j"]
+    met = other.select(*spot, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "x")
+    group = [*spot, "i", "j"]
     found = met.repartition(*group).sortWithinPartitions(*group, "id").mapInArrow(block_neighbours(k), "id string, neighbour string, distance double")
     once = found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
     best = Window.partitionBy("id").orderBy("distance", "neighbour")

@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+#: Rows of a block, and the most of one where there are very many rows: each row goes to about as many blocks as there are cells.
+BLOCK_ROWS, MOST_BLOCK_ROWS = 4096, 1 << 15
+LEAST_CELLS = 16
 MAX_CELLS = 512
 SLACK = 1e-9
 
@@ -33,6 +35,68 @@ def _slices(rows: int, other: int, width: int) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, rows, step))
 
 
+def equal_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places ``(in a, in b)`` of all equal ids, by place in ``a``; ids may be null or come repeatedly."""
+    codes = pd.factorize(np.concatenate([b, a]), use_na_sentinel=False)[0]
+    order = np.argsort(codes[: len(b)], kind="stable")
+    known, wanted = codes[order], codes[len(b) :]
+    begin, end = np.searchsorted(known, wanted, "left"), np.searchsorted(known, wanted, "right")
+    count = end - begin
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+    return np.repeat(np.arange(len(a)), count), order[at]
+
+
+def nearest_columns(
+    a: np.ndarray, b: np.ndarray, own: tuple[np.ndarray, np.ndarray], k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row of a, row of b, distance)``: of each row of ``a`` the k nearest rows of ``b`` by distance, then by place in ``b``.
+    ``own``: places (in a, in b) of rows that are no neighbours, by place in ``a``. Rows that are not finite have none.
+
+    Products of matrices give all squared distances but for rounding, whose bound is known. What may be among the k
+    nearest within that bound is computed again by differences, so the result is that of comparing all.
+    """
+    finite_a, finite_b = np.flatnonzero(np.isfinite(a).all(axis=1)), np.flatnonzero(np.isfinite(b).all(axis=1))
+    if not len(finite_a) or not len(finite_b):
+        return
+    own_a, own_b = own
+    if len(finite_a) < len(a) or len(finite_b) < len(b):
+        kept = np.isin(own_a, finite_a) & np.isin(own_b, finite_b)
+        own_a, own_b = np.searchsorted(finite_a, own_a[kept]), np.searchsorted(finite_b, own_b[kept])
+    a, b = a[finite_a], b[finite_b]
+    centre = b[0]
+    with np.errstate(over="ignore", invalid="ignore"):
+        ca, cb = a - centre, b - centre
+        sa, sb = (ca**2).sum(axis=1), (cb**2).sum(axis=1)
+        scale = float(sa.max() + sb.max())
+        wide_a = np.hstack([-2 * ca, np.ones((len(a), 1)), sa[:, None]])
+        wide_b = np.ascontiguousarray(np.hstack([cb, sb[:, None], np.ones((len(b), 1))]).T)
+        slack = 16 * (a.shape[1] + 8) * np.finfo(float).eps * scale
+    group = len(b) // (8 * k + 1)
+    for at in range(0, len(a), step := max(1, 500_000 // len(b))):
+        rows = np.arange(at, min(at + step, len(a)))
+        mine = slice(*np.searchsorted(own_a, (at, at + len(rows))))
+        if np.isfinite(scale):
+            d = wide_a[rows] @ wide_b
+        else:  # too large to be squared
+            d = np.zeros((len(rows), len(b)))
+        d[own_a[mine] - at, own_b[mine]] = np.inf
+        if group > 1:  # the k-th least of the groups' least is no less than the k-th least of all
+            least = d[:, : len(b) // group * group].reshape(len(rows), -1, group).min(axis=2)
+        else:
+            least = d
+        most = np.partition(least, k - 1, axis=1)[:, k - 1] if least.shape[1] > k else np.full(len(rows), np.inf)
+        left, right = np.divmod(np.flatnonzero(d <= np.minimum(most + slack, np.finfo(float).max)[:, None]), len(b))
+        far = np.empty(len(left))
+        with np.errstate(over="ignore"):
+            for part in _slices(len(left), 1, a.shape[1]):
+                far[part] = np.sqrt(((a[rows[left[part]]] - b[right[part]]) ** 2).sum(axis=1))
+        order = np.lexsort((right, far, left))
+        left, right, far = left[order], right[order], far[order]
+        rank = np.arange(len(left)) - np.searchsorted(left, left, "left")
+        kept = (rank < k) & np.isfinite(far)
+        yield finite_a[rows[left[kept]]], finite_b[right[kept]], far[kept]
+
+
 def assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot and the distance to it."""
 
@@ -83,23 +147,17 @@ def block_candidates(k: int):
         right = right.sort_values("pid").reset_index(drop=True)
         a, b = _matrix(left["x"]), _matrix(right["x"])
         lid, rid = left["pid"].to_numpy(), right["pid"].to_numpy()
-        out = []
-        for part in _slices(len(a), len(b), a.shape[1]):
-            d = _distances(a[part], b)
-            d[lid[part][:, None] == rid[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(best)), best.shape[1])
-            cols = best.ravel()
-            out.append(pd.DataFrame({"pid": lid[part][rows], "nid": rid[cols], "distance": d[rows, cols]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
+        near = nearest_columns(a, b, equal_pairs(lid, rid), k)
+        found = [pd.DataFrame({"pid": lid[i], "nid": rid[j], "distance": d}) for i, j, d in near]
+        return pd.concat(found) if found else empty
 
     return run
 
 
-def _distinct_neighbours(points: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _distinct_neighbours(points: DataFrame, k: int, block_rows: int | None) -> DataFrame:
     """``(pid, nid, distance)`` for distinct points: the k nearest others, ties by id."""
     n = points.count()
+    block_rows = block_rows or min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, n // LEAST_CELLS))
     cells = max(1, min(MAX_CELLS, math.ceil(n / block_rows)))
     picked = points.orderBy(F.md5("pid"), "pid").limit(cells).collect()
     if not picked:
@@ -148,7 +206,7 @@ def _distinct_neighbours(points: DataFrame, k: int, block_rows: int) -> DataFram
     return found.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, k: int = 5, block_rows: int | None = None) -> DataFrame:
     """``(id, neighbour, rank, distance)``: the ``k`` nearest other rows of each row, ties by id as text."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     rows = rows.withColumn("point", F.md5(F.to_json("x")))
