@@ -45,6 +45,28 @@ def live(spark, own, tmp_path, key, steps):
     return out
 
 
+def test_a_country_batch_goes_through_its_state_once(spark, own, tmp_path):
+    """However many steps use the rows that the state gives, each input row reaches the state one time."""
+    rows = txns(spark, [(k * 1000, f"u{k % 7}", 300, "SUCCESS", "US" if k % 3 else "DE") for k in range(60)])
+    feed(rows, str(tmp_path / "in"))
+    given = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            given.add(len(pdf))
+            yield pdf
+
+    stream = jobs.first_seen_stream(own.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream, versions, found = stream.mapInPandas(counted, stream.schema), log(spark, [("P002", True, 100.0, 0, 0.0, 1)]), []
+
+    def handle(batch, batch_id):
+        with jobs.computed_once(batch):
+            found.extend(jobs.new_country_alerts(batch, versions).collect())
+
+    jobs.each_batch(stream, handle, str(tmp_path / "cp")).awaitTermination()
+    assert len(found) == given.value == 14
+
+
 def test_rule_changes_between_batches(spark, own, tmp_path):
     """P003 goes off and on, P002 begins with its first version, and rows before a change keep the older settings."""
     rows = txns(spark, [

@@ -65,7 +65,8 @@ def stream_p002_bootstrap(spark, d):
     changelog(spark).write.parquet(f"{base}/rules")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        jobs.write_batch(jobs.new_country_alerts(batch, batch.sparkSession.read.parquet(f"{base}/rules")).select(*ALERT), f"{base}/out", batch_id)
+        with jobs.computed_once(batch):
+            jobs.write_batch(jobs.new_country_alerts(batch, batch.sparkSession.read.parquet(f"{base}/rules")).select(*ALERT), f"{base}/out", batch_id)
 
     history = own.read.schema(known.schema).parquet(f"{base}/known")
     rows = own.readStream.schema(t.schema).parquet(f"{base}/in")

@@ -190,9 +190,9 @@ class FirstSeenProcessor(StatefulProcessor):
         best = pd.DataFrame()
         for pdf in rows:
             best = first_of_each(pd.concat([best, pdf[SEEN_COLUMNS]]) if len(best) else pdf[SEEN_COLUMNS])
-        fresh = []
+        fresh, any_known = [], len(best) > 0 and self.seen.exists()
         for user, country, ms in zip(best["user_id"], best["country"], best["event_ms"]):
-            known = self.seen.containsKey((user, country))
+            known = any_known and self.seen.containsKey((user, country))
             if not known:
                 self.seen.updateValue((user, country), (int(ms),))
             fresh.append(not known)

@@ -144,7 +144,8 @@ class Service:
     def start_new_country(self, txns: DataFrame, ttl_ms: int | None = None) -> StreamingQuery:
         def handle(batch: DataFrame, batch_id: int) -> None:
             log = jobs.rule_log(batch.sparkSession, self.rule_table)
-            self.write_alerts(jobs.new_country_alerts(batch, log), "country", batch_id)
+            with jobs.computed_once(batch):
+                self.write_alerts(jobs.new_country_alerts(batch, log), "country", batch_id)
 
         return self._each(jobs.first_seen_stream(txns, ttl_ms), "country", handle)
 
