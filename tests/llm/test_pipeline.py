@@ -133,6 +133,27 @@ def test_no_two_near_copies_stay(kept):
     assert all(after[i] == before[i] for i in after)
 
 
+def test_candidates_come_from_simhash():
+    """Each bit of the long fingerprint is the majority of its hashes; similar sets agree in some table's sampled bits."""
+    rng = np.random.default_rng(4)
+    own = rng.integers(0, 2**64, 101, np.uint64)
+    code = simhash.long_fingerprint(own)
+    for part in (0, 5):
+        hashed = simhash.spread(own * simhash.FACTORS[part] + simhash.TERMS[part])
+        assert all(int(code[part]) >> b & 1 == (2 * int((hashed >> np.uint64(b) & np.uint64(1)).sum()) > 101) for b in range(64))
+    met = 0
+    for n in (20, 100, 400) * 40:
+        base = rng.integers(0, 2**64, n, np.uint64)
+        copy = np.concatenate((base[n // 10 :], rng.integers(0, 2**64, n // 10, np.uint64)))  # similar at 0.82
+        codes = np.array([simhash.long_fingerprint(base), simhash.long_fingerprint(copy)])
+        a, b = simhash.sampled_bits(codes)
+        met += bool((a == b).any()) and int(np.bitwise_count(codes[0, : simhash.COMPARED] ^ codes[1, : simhash.COMPARED]).sum()) <= simhash.WIDE
+        assert len(set(a.tolist())) == simhash.TABLES
+    assert met >= 119
+    a, b = simhash.sampled_bits(np.array([simhash.long_fingerprint(rng.integers(0, 2**64, 100, np.uint64)) for _ in range(2)]))
+    assert (a == b).sum() <= 2
+
+
 @pytest.mark.parametrize("limits", [{}, {"largest": 3, "block": 500}, {"largest": 1, "block": 200}])
 def test_near_copies_at_the_limit(spark, limits):
     """Similarity just above and below 0.8, chains of copies, and a passage that all texts have; with bands and sets of

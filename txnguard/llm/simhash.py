@@ -27,13 +27,18 @@ ROW_COST = 100
 PARTS = (2, 3, 4)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ONE = np.uint64(1)
-#: The pipeline's near copies: words of a shingle, bits within which candidates' fingerprints are, bands and their minima,
-#: and the shingles of sets that are compared in one task.
+#: The pipeline's near copies: words of a shingle, 64-bit parts of a long fingerprint, tables and the bits that each samples,
+#: the parts that are compared and the bits in which candidates' may differ there, runs that are compared all at once, and
+#: the shingles of sets that are compared in one task.
 COPY_SHINGLE = 5
-WIDE = 20
-BANDS, ROWS = 40, 5
+LONG = 8
+TABLES, SAMPLED = 100, 16
+COMPARED, WIDE = 3, 56
+SMALL_RUN = 16
 BLOCK = 1 << 21
-FACTORS, TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64) | np.uint64(1)
+FACTORS, TERMS = np.random.default_rng(SEED).integers(0, 2**64, (2, LONG), np.uint64) | np.uint64(1)
+POSITIONS = np.array([np.random.default_rng([SEED, t]).choice(LONG * BITS, SAMPLED, replace=False) for t in range(TABLES)])
+PARTS_COMPARED = [f"c{k}" for k in range(COMPARED)]
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------------
@@ -349,17 +354,20 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, COPY_SHINGLE))
 
 
-def band_hashes(own: np.ndarray) -> np.ndarray:
-    """A hash of the smallest values that each band's ROWS functions take on a set; none for an empty set."""
-    if not len(own):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 512):
-        least = np.minimum(least, (own[k : k + 512, None] * FACTORS + TERMS).min(axis=0))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = spread(out * np.uint64(0x9FB21C651E98DF25) + column)
-    return out
+def long_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes in LONG parts: each bit is 1 if set in more than half of the part's hashes of them."""
+    ones = np.zeros(LONG * BITS, np.int64)
+    for k in range(0, len(own), 1024):
+        hashed = spread(own[k : k + 1024, None] * FACTORS + TERMS)
+        ones += np.unpackbits(hashed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(own), bitorder="little").view(np.uint64)
+
+
+def sampled_bits(codes: np.ndarray) -> np.ndarray:
+    """The bits that each table samples of each long fingerprint, under the table's number."""
+    bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
+    taken = np.packbits(bits[:, POSITIONS.ravel()].reshape(len(codes), TABLES, SAMPLED), axis=2).astype(np.int64)
+    return (np.arange(TABLES) << SAMPLED) | (taken[:, :, 0] << 8) | taken[:, :, 1]
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -402,59 +410,77 @@ def exact_groups(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """``(k1, k2, doc_id, node, fp, size, bands)``: of each row the hash and size of its shingle set, its fingerprint
-    and its bands."""
+    """``(k1, k2, doc_id, node, size, code)``: of each row the hash and size of its shingle set and its long fingerprint."""
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = utf8(batch.column("text"))
-        sets = [shingle_set(t) for t in texts]
+        sets = [shingle_set(t) for t in utf8(batch.column("text"))]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-        fp = np.fromiter(map(fingerprint_of, texts), np.uint64, len(texts))
-        made = [pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([len(s) for s in sets], pa.int64())]
-        bands = pa.array([band_hashes(s).tobytes() for s in sets], pa.binary())
+        code = pa.array([long_fingerprint(s).tobytes() for s in sets], pa.binary())
+        made = [pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), code]
         names = ["k1", "k2", "doc_id"]
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made, bands], [*names, "node", "fp", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], [*names, "node", "size", "code"])
 
-    return with_columns_of("k1 long, k2 long, doc_id long, node long, fp long, size long, bands binary", of, rows)
+    return with_columns_of("k1 long, k2 long, doc_id long, node long, size long, code binary", of, rows)
 
 
-def band_rows(folded: DataFrame) -> DataFrame:
+def table_rows(folded: DataFrame) -> DataFrame:
+    """``(sig, node, size, c0, ..)``: each set that is not empty under the sampled bits of every table."""
+
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sigs = [np.frombuffer(b, np.int64) for b in batch.column("bands").to_pylist()]
-        times = np.array([len(s) for s in sigs], np.int64)
-        own = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times)) for c in ("node", "fp", "size")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.zeros(0, np.int64)])), *own], ["sig", "node", "fp", "size"])
+        if not batch.num_rows:
+            return
+        codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint64).reshape(batch.num_rows, LONG)
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size")] + [codes[:, k].view(np.int64) for k in range(COMPARED)]
+        arrays = [sampled_bits(codes).ravel(), *[np.repeat(c, TABLES) for c in own]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays], ["sig", "node", "size", *PARTS_COMPARED])
 
-    return with_columns_of("sig long, node long, fp long, size long", of, folded.select("node", "fp", "size", "bands"))
+    schema = ", ".join(f"{c} long" for c in ("sig", "node", "size", *PARTS_COMPARED))
+    return with_columns_of(schema, of, folded.filter("size > 0").select("node", "size", "code"))
 
 
-def wide_links_of_run(node: np.ndarray, fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what the rows of one band connect: fingerprints within WIDE bits, sizes that allow 0.8."""
+def are_near(size: np.ndarray, code: np.ndarray, other_size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether two sets may be similar: compared parts within WIDE bits, sizes that allow 0.8."""
+    near = np.bitwise_count(code ^ other).sum(axis=-1, dtype=np.int32) <= WIDE
+    return near & similar(np.minimum(size, other_size), size, other_size)
+
+
+def wide_links_of_run(node: np.ndarray, size: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what the rows of one table's bits connect."""
     left = np.arange(len(node))
     while len(left) > 1:
         root, left, wave = left[0], left[1:], left[:1]
         while len(wave) and len(left):
             x, wave = wave[0], wave[1:]
-            near = (np.bitwise_count(fp[left] ^ fp[x]) <= WIDE) & similar(np.minimum(size[left], size[x]), size[left], size[x])
+            near = are_near(size[left], code[left], size[x], code[x])
             if near.any():
                 wave = np.concatenate((wave, left[near]))
                 yield np.full(near.sum(), node[root]), node[left[near]]
                 left = left[~near]
 
 
+def links_of_small_runs(run: np.ndarray, node: np.ndarray, size: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links within runs of at most SMALL_RUN rows, which follow each other; ``run`` numbers them."""
+    for step in range(1, SMALL_RUN):
+        at = np.flatnonzero(run[step:] == run[:-step]) if len(run) > step else np.zeros(0, int)
+        if not len(at):
+            return
+        at = at[are_near(size[at], code[at], size[at + step], code[at + step])]
+        yield node[at], node[at + step]
+
+
 def star(node: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all to the first, without comparing."""
     return [(np.full(len(node), first), node)] if len(node) else []
 
 
 def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """``(a, b)`` between the rows of each band's hash, from rows ``(sig, node, fp, size, open)`` sorted by sig and node.
+    """``(a, b)`` between the rows of each table's bits, from rows ``(sig, node, size, c0, .., open)`` sorted by sig and node.
 
     At most ``largest`` rows are held: those of a larger run, or of one that has an ``open`` row, are all linked to its
     first, uncompared. With ``edges``, a task's first and last runs, which may go on in other tasks, come back as rows:
     whole, or, where they have been linked already, as their first row, ``open``.
     """
-    fields = ["sig", "node", "fp", "size", "open"]
+    fields = ["sig", "node", "size", *PARTS_COMPARED, "open"]
     held: list[tuple[np.ndarray, ...]] = []
     size, first, count = 0, None, 0
 
@@ -462,7 +488,7 @@ def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool)
         if found:
             a, b = (np.concatenate(c) for c in zip(*found, strict=True))
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * 4, pa.nulls(len(a), pa.bool_())], ["a", "b", *fields])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * (len(fields) - 1), pa.nulls(len(a), pa.bool_())], ["a", "b", *fields])
         if rows:
             own = [np.concatenate(c) for c in zip(*rows, strict=True)]
             none = pa.nulls(len(own[0]), pa.int64())
@@ -472,30 +498,36 @@ def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool)
         """Links and rows of the run that ends; ``first`` is there if all its rows are linked to it already."""
         if first is not None:
             sig, row = first
-            return [], ([tuple(np.array([v]) for v in (sig, row[1], row[2], row[3], True))] if edge else [])
+            return [], ([tuple(np.array([v]) for v in (sig, *row[1:-1], True))] if edge else [])
         if edge:
             return [], held
         if size < 2:
             return [], []
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        if columns[4].any():
+        if columns[-1].any():
             return star(columns[1], columns[1].min()), []
-        return list(wide_links_of_run(columns[1], columns[2].view(np.uint64), columns[3])), []
+        return list(wide_links_of_run(columns[1], columns[2], np.stack(columns[3:-1], axis=1).view(np.uint64))), []
 
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [np.ascontiguousarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in fields]
-        columns[4] = columns[4].astype(bool)
-        sig, found, rows = columns[0], [], []
-        cuts = [0, *(np.flatnonzero(sig[1:] != sig[:-1]) + 1).tolist(), len(sig)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        columns[-1] = columns[-1].astype(bool)
+        sig, rows = columns[0], []
+        cuts = np.concatenate(([0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]))
+        small = (np.diff(cuts) <= SMALL_RUN) & ~np.logical_or.reduceat(columns[-1], cuts[:-1])
+        small[[0, -1]] = False  # the batch's first and last run may go on in others
+        run = np.repeat(np.arange(len(small)), np.diff(cuts))
+        whole = np.flatnonzero(small[run])
+        found = list(links_of_small_runs(run[whole], columns[1][whole], columns[2][whole], np.stack([c[whole] for c in columns[3:-1]], axis=1).view(np.uint64)))
+        cuts, small = cuts.tolist(), small.tolist()
+        for s, e, done in zip(cuts[:-1], cuts[1:], small, strict=True):
             if held and held[0][0][0] != sig[s]:
                 count += 1
                 links, left = close(edges and count == 1)
                 found, rows = found + links, rows + left
                 held, size, first = [], 0, None
-            elif s and e < len(sig) and e - s == 1:
+            if done:
                 count += 1
                 continue
             part = tuple(c[s:e].copy() for c in columns)
@@ -514,16 +546,16 @@ def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool)
         yield from table(*close(edges))
 
 
-LINK_ROWS = "a long, b long, sig long, node long, fp long, size long, open boolean"
+LINK_ROWS = "a long, b long, sig long, node long, size long, " + "".join(f"{c} long, " for c in PARTS_COMPARED) + "open boolean"
 
 
 def wide_links(rows: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
-    """Links ``(a, b)`` that connect at least all that share a band, have fingerprints within WIDE bits and sizes that
-    allow 0.8. Ranges of (sig, node) split a band that very many share; what lies at the ranges' ends is met again."""
+    """Links ``(a, b)`` that connect at least all that share a table's sampled bits, have fingerprints within WIDE bits and
+    sizes that allow 0.8. Ranges of (sig, node) split bits that very many share; what lies at the ranges' ends is met again."""
     marked = rows.withColumn("open", F.lit(False))
     ranges = marked.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
     found = materialize(ranges.mapInArrow(lambda b: links_of_bands(b, largest, True), LINK_ROWS), "copies-links")
-    ends = found.filter("sig is not null").select("sig", "node", "fp", "size", "open")
+    ends = found.filter("sig is not null").select("sig", "node", "size", *PARTS_COMPARED, "open")
     more = ends.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lambda b: links_of_bands(b, largest, False), LINK_ROWS)
     return found.filter("sig is null").union(more).select("a", "b")
 
@@ -591,10 +623,12 @@ def survivors(docs: DataFrame, largest: int = LARGEST_RUN, block: int = BLOCK) -
     """The rows of ``docs`` with one of each group: the one with the smallest doc_id, once if it is repeated.
 
     Texts are linked if their sets of five-word shingles have similarity (Jaccard) 0.8 or more. Sets that are equal are
-    folded. Candidates share one of BANDS hashes of ROWS minima (a pair at 0.8 shares none with a chance of 1.2e-7) and
-    have fingerprints within WIDE bits; they only gather texts, whose sets are then compared exactly. Bands that more
+    folded. Candidates come from SimHash: a set's long fingerprint has 512 bits, and a table samples 16 of them; candidates
+    agree in those of one of TABLES tables and differ in at most WIDE of 192 bits. Sets at 0.8 differ in a bit with a
+    chance of 0.152 and meet in no table with one of 6e-4, at 0.85 of 1e-5 (computed for independent bits). Candidates only
+    gather texts, whose sets are then compared exactly. Bits that more
     than ``largest`` sets share gather all of them, and candidates of more than ``block`` shingles are compared block by
-    block, so no band, group or set of candidates is held whole and no link is lost. Texts without words are equal. A
+    block, so no table's bits, group or set of candidates is held whole and no link is lost. Texts without words are equal. A
     group without any doc_id keeps one of its rows; a row is chosen by doc_id and content, so rows of one doc_id with
     different texts stay if their groups differ.
     """
@@ -603,9 +637,9 @@ def survivors(docs: DataFrame, largest: int = LARGEST_RUN, block: int = BLOCK) -
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id"), F.col("text"))
     found = materialize(sketches(texts), "copies-rows")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
-    folded = found.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    folded = found.groupBy("node").agg(F.min(first).alias("first"), F.min("size").alias("size"), F.min("code").alias("code"))
     folded = materialize(folded, "copies-folded")
-    near = components(wide_links(band_rows(folded), largest)).withColumnRenamed("label", "near")
+    near = components(wide_links(table_rows(folded), largest)).withColumnRenamed("label", "near")
     wanted = folded.join(near.hint("merge"), "node").select("near", "node", "size", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     label = labelled(materialize(wanted, "copies-wanted"), texts, block)
     groups = folded.select("node", "first").join(label.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
