@@ -200,6 +200,22 @@ def test_groups_of_a_crowded_band_keep_to_the_limits(spark):
     assert [label.get(i, i) for i in range(60)] == five_word_groups(texts)
 
 
+def test_links_of_a_large_group_do_not_add_up_over_tables(spark, monkeypatch):
+    """300 near copies meet in most of the tables; what the first tables have linked gives no links in the others."""
+    rng, given, components = random.Random(8), [], simhash.components
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(300)]
+
+    def counted(edges):
+        given.append(edges.distinct().count())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    got = simhash.survivors(docs(spark, list(enumerate(texts))).repartition(4))
+    assert {r.doc_id for r in got.select("doc_id").collect()} == set(five_word_groups(texts))
+    assert sum(given) < 20 * len(texts), given
+
+
 def test_columns_of_the_input_stay(spark):
     """Names that stages use inside are returned as they came."""
     rows = [(1, "one two three four five six seven", "en", "web"), (2, "one two three four five six seven", "en", "web"), (3, None, None, None)]

@@ -33,6 +33,8 @@ ONE = np.uint64(1)
 COPY_SHINGLE = 5
 LONG = 8
 TABLES, SAMPLED = 100, 16
+#: The tables at which passes over them end: what one pass links is one node to the next, so links do not add up over tables.
+PASSES = (10, TABLES)
 COMPARED, WIDE = 3, 56
 SMALL_RUN = 16
 BLOCK = 1 << 21
@@ -363,11 +365,12 @@ def long_fingerprint(own: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > len(own), bitorder="little").view(np.uint64)
 
 
-def sampled_bits(codes: np.ndarray) -> np.ndarray:
-    """The bits that each table samples of each long fingerprint, under the table's number."""
+def sampled_bits(codes: np.ndarray, tables: range = range(TABLES)) -> np.ndarray:
+    """The bits that each of ``tables`` samples of each long fingerprint, under the table's number."""
     bits = np.unpackbits(codes.view(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
-    taken = np.packbits(bits[:, POSITIONS.ravel()].reshape(len(codes), TABLES, SAMPLED), axis=2).astype(np.int64)
-    return (np.arange(TABLES) << SAMPLED) | (taken[:, :, 0] << 8) | taken[:, :, 1]
+    positions = POSITIONS[tables.start : tables.stop].ravel()
+    taken = np.packbits(bits[:, positions].reshape(len(codes), len(tables), SAMPLED), axis=2).astype(np.int64)
+    return (np.array(tables) << SAMPLED) | (taken[:, :, 0] << 8) | taken[:, :, 1]
 
 
 def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -423,19 +426,19 @@ def sketches(rows: DataFrame) -> DataFrame:
     return with_columns_of("k1 long, k2 long, doc_id long, node long, size long, code binary", of, rows)
 
 
-def table_rows(folded: DataFrame) -> DataFrame:
-    """``(sig, node, size, c0, ..)``: each set that is not empty under the sampled bits of every table."""
+def table_rows(folded: DataFrame, tables: range = range(TABLES)) -> DataFrame:
+    """``(sig, node, label, size, c0, ..)``: each set that is not empty under the sampled bits of every one of ``tables``."""
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             return
         codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint64).reshape(batch.num_rows, LONG)
-        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size")] + [codes[:, k].view(np.int64) for k in range(COMPARED)]
-        arrays = [sampled_bits(codes).ravel(), *[np.repeat(c, TABLES) for c in own]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays], ["sig", "node", "size", *PARTS_COMPARED])
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "size")] + [codes[:, k].view(np.int64) for k in range(COMPARED)]
+        arrays = [sampled_bits(codes, tables).ravel(), *[np.repeat(c, len(tables)) for c in own]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays], ["sig", "node", "label", "size", *PARTS_COMPARED])
 
-    schema = ", ".join(f"{c} long" for c in ("sig", "node", "size", *PARTS_COMPARED))
-    return with_columns_of(schema, of, folded.filter("size > 0").select("node", "size", "code"))
+    schema = ", ".join(f"{c} long" for c in ("sig", "node", "label", "size", *PARTS_COMPARED))
+    return with_columns_of(schema, of, folded.filter("size > 0").select("node", "label", "size", "code"))
 
 
 def are_near(size: np.ndarray, code: np.ndarray, other_size: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -444,9 +447,9 @@ def are_near(size: np.ndarray, code: np.ndarray, other_size: np.ndarray, other:
     return near & similar(np.minimum(size, other_size), size, other_size)
 
 
-def wide_links_of_run(node: np.ndarray, size: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def wide_links_of_run(label: np.ndarray, size: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that connect what the rows of one table's bits connect."""
-    left = np.arange(len(node))
+    left = np.arange(len(label))
     while len(left) > 1:
         root, left, wave = left[0], left[1:], left[:1]
         while len(wave) and len(left):
@@ -454,39 +457,42 @@ def wide_links_of_run(node: np.ndarray, size: np.ndarray, code: np.ndarray) -> I
             near = are_near(size[left], code[left], size[x], code[x])
             if near.any():
                 wave = np.concatenate((wave, left[near]))
-                yield np.full(near.sum(), node[root]), node[left[near]]
+                yield np.full(near.sum(), label[root]), label[left[near]]
                 left = left[~near]
 
 
-def links_of_small_runs(run: np.ndarray, node: np.ndarray, size: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links_of_small_runs(run: np.ndarray, label: np.ndarray, size: np.ndarray, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All links within runs of at most SMALL_RUN rows, which follow each other; ``run`` numbers them."""
     for step in range(1, SMALL_RUN):
         at = np.flatnonzero(run[step:] == run[:-step]) if len(run) > step else np.zeros(0, int)
         if not len(at):
             return
         at = at[are_near(size[at], code[at], size[at + step], code[at + step])]
-        yield node[at], node[at + step]
+        yield label[at], label[at + step]
 
 
-def star(node: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def star(label: np.ndarray, first: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of all to the first, without comparing."""
-    return [(np.full(len(node), first), node)] if len(node) else []
+    return [(np.full(len(label), first), label)] if len(label) else []
 
 
 def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool) -> Iterator[pa.RecordBatch]:
-    """``(a, b)`` between the rows of each table's bits, from rows ``(sig, node, size, c0, .., open)`` sorted by sig and node.
+    """``(a, b)`` between the labels of the rows of each table's bits, from rows ``(sig, node, label, size, c0, .., open)``
+    sorted by sig and node. Each two labels are linked once for a batch of rows, and no label with itself.
 
     At most ``largest`` rows are held: those of a larger run, or of one that has an ``open`` row, are all linked to its
     first, uncompared. With ``edges``, a task's first and last runs, which may go on in other tasks, come back as rows:
     whole, or, where they have been linked already, as their first row, ``open``.
     """
-    fields = ["sig", "node", "size", *PARTS_COMPARED, "open"]
+    fields = ["sig", "node", "label", "size", *PARTS_COMPARED, "open"]
     held: list[tuple[np.ndarray, ...]] = []
     size, first, count = 0, None, 0
 
     def table(found: list[tuple[np.ndarray, np.ndarray]], rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if found:
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            pairs = np.sort(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=1)
+            pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+            a, b = (np.ascontiguousarray(c) for c in pairs.T)
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[none] * (len(fields) - 1), pa.nulls(len(a), pa.bool_())], ["a", "b", *fields])
         if rows:
@@ -505,8 +511,8 @@ def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool)
             return [], []
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         if columns[-1].any():
-            return star(columns[1], columns[1].min()), []
-        return list(wide_links_of_run(columns[1], columns[2], np.stack(columns[3:-1], axis=1).view(np.uint64))), []
+            return star(columns[2], columns[2].min()), []
+        return list(wide_links_of_run(columns[2], columns[3], np.stack(columns[4:-1], axis=1).view(np.uint64))), []
 
     for batch in batches:
         if not batch.num_rows:
@@ -519,7 +525,7 @@ def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool)
         small[[0, -1]] = False  # the batch's first and last run may go on in others
         run = np.repeat(np.arange(len(small)), np.diff(cuts))
         whole = np.flatnonzero(small[run])
-        found = list(links_of_small_runs(run[whole], columns[1][whole], columns[2][whole], np.stack([c[whole] for c in columns[3:-1]], axis=1).view(np.uint64)))
+        found = list(links_of_small_runs(run[whole], columns[2][whole], columns[3][whole], np.stack([c[whole] for c in columns[4:-1]], axis=1).view(np.uint64)))
         cuts, small = cuts.tolist(), small.tolist()
         for s, e, done in zip(cuts[:-1], cuts[1:], small, strict=True):
             if held and held[0][0][0] != sig[s]:
@@ -537,29 +543,46 @@ def links_of_bands(batches: Iterator[pa.RecordBatch], largest: int, edges: bool)
                 if size > largest:
                     whole = [np.concatenate(c) for c in zip(*held, strict=True)]
                     first = (sig[s], [c[0] for c in whole])
-                    found += star(whole[1], first[1][1])
+                    found += star(whole[2], first[1][2])
                     held = [tuple(c[:1] for c in whole)]
             else:
-                found += star(part[1], first[1][1])
+                found += star(part[2], first[1][2])
         yield from table(found, rows)
     if held:
         yield from table(*close(edges))
 
 
-LINK_ROWS = "a long, b long, sig long, node long, size long, " + "".join(f"{c} long, " for c in PARTS_COMPARED) + "open boolean"
+LINK_ROWS = "a long, b long, sig long, node long, label long, size long, " + "".join(f"{c} long, " for c in PARTS_COMPARED) + "open boolean"
 
 
 def wide_links(rows: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
-    """Links ``(a, b)`` that connect at least all that share a table's sampled bits, have fingerprints within WIDE bits and
-    sizes that allow 0.8. Ranges of (sig, node) split bits that very many share; what lies at the ranges' ends is met again."""
+    """Links ``(a, b)`` of labels that connect at least all that share a table's sampled bits, have fingerprints within WIDE
+    bits and sizes that allow 0.8. Ranges of (sig, node) split bits that very many share; what lies at the ranges' ends is met again."""
     marked = rows.withColumn("open", F.lit(False))
     ranges = marked.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node")
     found = materialize(ranges.mapInArrow(lambda b: links_of_bands(b, largest, True), LINK_ROWS), "copies-links")
-    ends = found.filter("sig is not null").select("sig", "node", "size", *PARTS_COMPARED, "open")
+    ends = found.filter("sig is not null").select("sig", "node", "label", "size", *PARTS_COMPARED, "open")
     more = ends.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lambda b: links_of_bands(b, largest, False), LINK_ROWS)
     return found.filter("sig is null").union(more).select("a", "b")
 
 
+def candidates(folded: DataFrame, largest: int = LARGEST_RUN) -> DataFrame:
+    """``(node, near)`` of each set that the tables link to another: the smallest one that their links lead to.
+
+    A group of near copies would have a link per set and table. So the tables are gone through in PASSES: sets that one pass
+    has connected bear one label, and the next one links labels only. What few tables have not connected has few links in
+    as many again.
+    """
+    label, begin = None, 0
+    for end in PASSES:
+        own = folded.withColumn("label", F.col("node")) if label is None else folded.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        links = wide_links(table_rows(own, range(begin, end)), largest)
+        if label is not None:
+            links = links.union(label.select("node", "label"))
+        label, begin = components(links), end
+    return label.withColumnRenamed("label", "near")
+
+
 def verified(sets: DataFrame, *keys: str) -> DataFrame:
     """``(node, label)`` from rows ``(*keys, node, shingles)``: within each key, the smallest node that links of similarity
     0.8 or more lead to. A task holds the shingle sets of one key."""
@@ -639,7 +662,7 @@ def survivors(docs: DataFrame, largest: int = LARGEST_RUN, block: int = BLOCK) -
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
     folded = found.groupBy("node").agg(F.min(first).alias("first"), F.min("size").alias("size"), F.min("code").alias("code"))
     folded = materialize(folded, "copies-folded")
-    near = components(wide_links(table_rows(folded), largest)).withColumnRenamed("label", "near")
+    near = candidates(folded, largest)
     wanted = folded.join(near.hint("merge"), "node").select("near", "node", "size", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     label = labelled(materialize(wanted, "copies-wanted"), texts, block)
     groups = folded.select("node", "first").join(label.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
