@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pandas as pd
 import pytest
 from helpers import txns
 from pyspark.sql import functions as F
@@ -93,6 +94,42 @@ def test_lowered_limits_see_earlier_rows(spark, own, tmp_path):
     assert got == [[("P001", "t3", "HIGH"), ("P001", "t4", "HIGH")]]
 
 
+class Calls:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, out):
+        self.calls += 1
+        return out
+
+    def exists(self):
+        return self._call(bool(self.held))
+
+    def containsKey(self, key):
+        return self._call(key in self.held)
+
+    def getValue(self, key):
+        return self._call(self.held.get(key))
+
+    def updateValue(self, key, value):
+        self._call(self.held.__setitem__(key, value))
+
+
+def test_state_calls_do_not_grow_with_the_pairs():
+    """20,000 pairs of one slot, then the same and some new ones: a pair's first row counts, in a bounded number of state calls."""
+    one = live_rules.LiveRuleProcessor.__new__(live_rules.LiveRuleProcessor)
+    one.seen = Calls()
+    users = [f"u{k}" for k in range(10_000)]
+    rows = pd.DataFrame({"user_id": users * 2, "country": ["VN"] * 10_000 + ["US"] * 10_000, "event_ms": 5, "arrival": range(20_000)})
+    assert one._first_seen(rows).all()
+    more = pd.DataFrame({"user_id": ["u7", "u7", "new", "new", "u8"], "country": ["VN", "DE", "VN", "VN", None], "event_ms": 6, "arrival": [1, 2, 9, 3, 4]})
+    assert one._first_seen(pd.concat([rows, more], ignore_index=True))[-5:].tolist() == [False, True, False, True, False]
+    assert not one._first_seen(more).any() and not one._first_seen(rows).any()
+    assert one.seen.calls < 1000
+
+
 def test_service_with_live_rules(spark, own, tmp_path):
     """A switched-off pattern gives no alerts, the others keep their built-in settings, and a first version starts P002."""
     out, cp, inbox, rules = (str(tmp_path / n) for n in ("out", "cp", "in", "rules"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator, Sequence as Seq
 
 import numpy as np
@@ -19,7 +20,11 @@ from txnguard.streaming.processors import Sequence, find_runs, pack, unpack
 
 #: The longest window that a rule may ask for; rows are kept so long.
 HORIZON_MS = 86_400_000
-LIVE_COLUMNS = ["key", "event_ms", "arrival", "id", "user_id", "card_number", "amount", "status", "country", "fresh"]
+#: What the patterns of a key read. Spark hands the state row by row, so each column counts.
+LIVE_COLUMNS = {
+    "card_number": ["event_ms", "arrival", "id", "user_id", "card_number", "amount", "status"],
+    "user_id": ["event_ms", "arrival", "id", "user_id", "amount", "status", "country"],
+}
 LIVE_SCHEMA = (
     "pattern_id string, pattern_name string, severity string, description string, first_id string, id string, user_id string, "
     "amount double, event_ms long"
@@ -28,6 +33,9 @@ RULE_FIELDS = ["rule_id", "rule_name", "enabled", "threshold_amount", "threshold
 KEYS = {"P001": "card_number", "P002": "user_id", "P003": "user_id", "P004": "card_number"}
 SUCCESS, FAILED = "SUCCESS", "FRAUD"
 FOREVER = 2**62
+#: Packed tables that hold a slot's pairs of user and country; a batch opens those of its users. Fixed for a checkpoint's life.
+PAIR_BUCKETS = 64
+PAIR = ["user_id", "country"]
 
 
 class Version:
@@ -72,8 +80,8 @@ class LiveRuleProcessor(StatefulProcessor):
     behind the watermark counts for the rows not yet judged.
     """
 
-    def __init__(self, base: dict[str, PatternRule], known: dict[str, PatternRule], patterns: Seq[str], horizon_ms: int):
-        self.base, self.known, self.patterns, self.horizon_ms = base, known, list(patterns), horizon_ms
+    def __init__(self, base: dict[str, PatternRule], known: dict[str, PatternRule], key: str, patterns: Seq[str], horizon_ms: int):
+        self.base, self.known, self.key, self.patterns, self.horizon_ms = base, known, key, list(patterns), horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -81,7 +89,7 @@ class LiveRuleProcessor(StatefulProcessor):
         self.inbox = handle.getListState("inbox", "rows binary")
         self.rules = handle.getMapState("rules", "rule_id string, since long, seq long", "body string")
         if "P002" in self.patterns:
-            self.seen = handle.getMapState("seen", "user_id string, country string", "since long")
+            self.seen = handle.getMapState("pairs", "bucket int", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark, parts = timerValues.getCurrentWatermarkInMs(), []
@@ -95,7 +103,7 @@ class LiveRuleProcessor(StatefulProcessor):
             return
         txns["fresh"] = self._first_seen(txns) if "P002" in self.patterns else False
         late = txns["event_ms"] <= watermark
-        due = txns.loc[~late, LIVE_COLUMNS]
+        due = txns.loc[~late, [*LIVE_COLUMNS[self.key], "fresh"]]
         if len(due):
             self.inbox.appendValue((pack(due),))
             self.handle.registerTimer(int(due["event_ms"].min()))
@@ -104,15 +112,32 @@ class LiveRuleProcessor(StatefulProcessor):
             yield from self._new_countries(lost)
 
     def _first_seen(self, txns: pd.DataFrame) -> np.ndarray:
-        """Marks the row of each user and country not met before that arrived first."""
+        """Marks the row of each user and country not met before that arrived first.
+
+        A state call is a round trip to the JVM, so pairs are kept in packed buckets of users: the calls of a batch do not
+        grow with its pairs, and a small batch reads only its users' buckets.
+        """
         fresh, pairs = np.zeros(len(txns), bool), txns["country"].notna().to_numpy()
-        first = txns[pairs].sort_values("arrival", kind="stable").drop_duplicates(["user_id", "country"])
-        for at, user, country, ms in zip(first.index, first["user_id"], first["country"], first["event_ms"], strict=True):
-            if not self.seen.containsKey((user, country)):
-                self.seen.updateValue((user, country), (int(ms),))
-                fresh[at] = True
+        first = txns[pairs].sort_values("arrival", kind="stable").drop_duplicates(PAIR)
+        if not len(first):
+            return fresh
+        new = first[[*PAIR, "event_ms"]].assign(bucket=[zlib.crc32(u.encode()) % PAIR_BUCKETS for u in first["user_id"]], at=first.index)
+        known = self._known_pairs(new["bucket"].unique().tolist())
+        rows = pd.concat([known, new], ignore_index=True) if len(known) else new
+        rows = rows[~rows.duplicated(PAIR).to_numpy()]
+        added = rows["at"].to_numpy() >= 0
+        fresh[rows["at"].to_numpy()[added]] = True
+        changed = rows["bucket"].isin(rows["bucket"][added].unique())
+        for bucket, own in rows[changed].groupby("bucket", sort=False):
+            self.seen.updateValue((int(bucket),), (pack(own[[*PAIR, "event_ms"]]),))
         return fresh
 
+    def _known_pairs(self, buckets: list[int]) -> pd.DataFrame:
+        """The pairs met before of these buckets, ``at`` no row."""
+        held = [(b, self.seen.getValue((b,))) for b in buckets] if self.seen.exists() else []
+        parts = [unpack(value[0]).assign(bucket=b, at=-1) for b, value in held if value is not None]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+
     def _spans(self, pattern: str) -> list[tuple[int, int, PatternRule]]:
         """(from, until, settings) of the times in which the pattern is on."""
         versions = sorted(
@@ -141,9 +166,9 @@ class LiveRuleProcessor(StatefulProcessor):
             return
         rows = pd.concat(parts, ignore_index=True)
         waiting = rows[rows["event_ms"] > watermark]
-        seen = rows[rows["event_ms"] <= watermark].sort_values(["key", "event_ms", "arrival"], kind="stable", ignore_index=True)
+        seen = rows[rows["event_ms"] <= watermark].sort_values([self.key, "event_ms", "arrival"], kind="stable", ignore_index=True)
         ms, done = seen["event_ms"].to_numpy(), seen["done"].to_numpy(dtype=bool)
-        new = ms[~done]
+        new, keys = ms[~done], pd.factorize(seen[self.key])[0]
         for pattern in self.patterns if len(new) else []:
             if pattern == "P002":
                 yield from self._new_countries(seen[~done])
@@ -152,7 +177,7 @@ class LiveRuleProcessor(StatefulProcessor):
                 if until <= new.min() or begin > new.max():
                     continue
                 bits, sequence = stage_bits(rule, seen)
-                start, end = find_runs(seen.assign(fits=bits), sequence)
+                start, end = find_runs(pd.DataFrame({"key": keys, "fits": bits}), sequence)
                 s, e = start[end >= 0], end[end >= 0]
                 within = min(sequence.within_ms, self.horizon_ms)
                 hit = (ms[e] - ms[s] < within) & ~done[e] & (ms[e] >= begin) & (ms[e] < until)
@@ -208,20 +233,21 @@ def live_matches(
     spark = txns.sparkSession
     patterns = [p for p, k in KEYS.items() if k == key and p in known]
     n = slots or jobs.SLOTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = txns.withWatermark("event_time", delay).filter(F.col(key).isNotNull() & F.col("event_ms").isNotNull()).select(
-        jobs.slot_of([key], spark, n).cast("int").alias("slot"), "event_time", "event_ms", "arrival", F.col(key).alias("key"), "id", "user_id", "card_number",
-        F.col("amount").cast("double").alias("amount"), "status", "country", F.lit(None).cast("string").alias("rule"),
+    names, kinds = LIVE_COLUMNS[key], {"event_ms": "long", "arrival": "long", "amount": "double"}
+    known_rows = F.col(key).isNotNull() & F.col("event_ms").isNotNull()
+    rows = txns.withWatermark("event_time", delay).filter(known_rows).select(
+        jobs.slot_of([key], spark, n).cast("int").alias("slot"), "event_time",
+        *[F.col(c).cast("double").alias(c) if c == "amount" else F.col(c) for c in names], F.lit(None).cast("string").alias("rule"),
     )
     body = F.to_json(F.struct(*RULE_FIELDS))
     never_late = F.lit("2261-01-01T00:00:00Z").cast("timestamp")  # Spark drops rows behind the watermark; versions still count
-    none = F.lit(None).cast("string")
+    own = {"event_ms": F.unix_millis("rule_ts"), "arrival": F.col("rule_seq")}
     copies = changes.filter(F.col("rule_id").isin(patterns)).select(
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"), never_late.alias("event_time"), F.unix_millis("rule_ts").alias("event_ms"),
-        F.col("rule_seq").alias("arrival"), none.alias("key"), none.alias("id"), none.alias("user_id"), none.alias("card_number"),
-        F.lit(None).cast("double").alias("amount"), none.alias("status"), none.alias("country"), body.alias("rule"),
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"), never_late.alias("event_time"),
+        *[own.get(c, F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in names], body.alias("rule"),
     )
     return rows.union(copies).groupBy("slot").transformWithStateInPandas(
-        LiveRuleProcessor(base, known, patterns, horizon_ms), LIVE_SCHEMA, "Append", "EventTime"
+        LiveRuleProcessor(base, known, key, patterns, horizon_ms), LIVE_SCHEMA, "Append", "EventTime"
     )
 
 
