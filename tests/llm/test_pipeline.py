@@ -216,6 +216,55 @@ def test_links_of_a_large_group_do_not_add_up_over_tables(spark, monkeypatch):
     assert sum(given) < 20 * len(texts), given
 
 
+def test_near_copies_that_share_no_tables_bits(spark):
+    """Texts of 8 and 9 words have 4 and 5 shingles, similarity 0.8. Some pairs agree in no table's bits; they are one all the same."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(8)) for _ in range(300)]
+    texts += [f"{t} end{k}" for k, t in enumerate(texts)]
+    bits = simhash.sampled_bits(np.array([simhash.long_fingerprint(simhash.shingle_set(t.encode())) for t in texts]))
+    assert 0 < (~(bits[:300] == bits[300:]).any(axis=1)).sum() < 40
+    got = simhash.survivors(docs(spark, list(enumerate(texts))).repartition(3))
+    assert {r.doc_id for r in got.select("doc_id").collect()} == set(range(300))
+
+
+@pytest.mark.parametrize("rows", [10_000, 7])
+def test_the_search_without_tables_loses_no_link(spark, rows):
+    """Where no table has gathered anything, all groups come from the rarest common shingles: similarities about 0.8, chains,
+    a passage in nearly all texts, repeated rows; with runs of a hash in one Arrow batch, and over many."""
+    rng, texts = random.Random(9), []
+    line = [f"c{i}" for i in range(30)]
+    for n in (8, 9, 14, 24, 45, 90, 200):
+        for begin in ([], line):
+            base = begin + [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            texts.append(base)
+            for _ in range(12):
+                copy = list(rng.choice((base, texts[-1])))
+                for at in rng.sample(range(len(copy)), rng.randrange(len(copy) // 30 + 2)):
+                    copy[at] = f"x{rng.randrange(10**6)}"
+                texts.append(copy[: len(copy) - rng.randrange(n // 8 + 1)])
+    texts = [" ".join(t) for t in texts] + [None, "", "one two three"]
+    own = {}  # equal sets are one
+    for i, t in enumerate(texts):
+        own.setdefault(simhash.node_of(s := simhash.shingle_set((t or "").encode())), (i, len(s)))
+    signed = {i: int(np.uint64(n).view(np.int64)) for n, (i, _) in own.items()}
+    folded = [(signed[i], size, (i, 0)) for i, size in own.values()]
+    folded = spark.createDataFrame(folded, "node long, size long, first struct<k1 long, k2 long>")
+    near = spark.createDataFrame([], "node long, near long")
+    given = spark.createDataFrame([(i, 0, i, t) for i, t in enumerate(texts)] * 2, "k1 long, k2 long, doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        label = {r.node: r.label for r in simhash.missed(folded, near, given, 2000).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    order = sorted(signed)
+    found, want = {}, {}
+    for i, first in zip(order, five_word_groups([texts[i] for i in order]), strict=True):
+        found.setdefault(label.get(signed[i], signed[i]), []).append(i)
+        want.setdefault(first, []).append(i)
+    assert sorted(found.values()) == sorted(want.values()) and max(map(len, found.values())) > 3
+
+
 def test_columns_of_the_input_stay(spark):
     """Names that stages use inside are returned as they came."""
     rows = [(1, "one two three four five six seven", "en", "web"), (2, "one two three four five six seven", "en", "web"), (3, None, None, None)]

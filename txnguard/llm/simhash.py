@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnguard.llm.columns import fresh, only, spread, utf8, with_columns_of
@@ -356,6 +356,11 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, COPY_SHINGLE))
 
 
+def node_of(own: np.ndarray) -> int:
+    """The hash that stands for a set of hashes."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
 def long_fingerprint(own: np.ndarray) -> np.ndarray:
     """The SimHash of a set of hashes in LONG parts: each bit is 1 if set in more than half of the part's hashes of them."""
     ones = np.zeros(LONG * BITS, np.int64)
@@ -417,7 +422,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(t) for t in utf8(batch.column("text"))]
-        node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+        node = np.array([node_of(s) for s in sets], np.uint64)
         code = pa.array([long_fingerprint(s).tobytes() for s in sets], pa.binary())
         made = [pa.array(node.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), code]
         names = ["k1", "k2", "doc_id"]
@@ -642,16 +647,113 @@ def labelled(wanted: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFra
     return small.union(components(links.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
+# --- what no table gathers: an exact search between the tables' groups ---------------------------------------------------
+
+
+def head(own: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, in order: a fifth, which a similar set may lack, and one and a tenth more."""
+    return own[: len(own) // 5 + 1 + len(own) // 10]
+
+
+#: What a set has at least in common with one of similarity 0.8 or more, and how many of their heads' hashes both heads have.
+COMMON = "(4 * size + 4) div 5"
+COMMON_HEAD = f"1 + ({COMMON}) div 10"
+
+
+def hash_rows(rows: DataFrame, names: tuple[str, ...], of_set: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(hash, *names, node)``: a row for each hash that ``of_set`` takes from the shingle set of each row's text. Without
+    ``node`` in ``rows`` it is the set's own. Sets of less than 4 shingles are similar to none but equal ones."""
+    given = [*names, *(["node"] if "node" in rows.columns else [])]
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 32):  # sets can be large, and each hash becomes a row
+            few = batch.slice(at, 32)
+            sets = [shingle_set(t) for t in utf8(few.column("text"))]
+            taken = [of_set(s) if len(s) > 3 else s[:0] for s in sets]
+            columns = [few.column(c).to_numpy(zero_copy_only=False) for c in given]
+            if "node" not in given:
+                columns.append(np.array([node_of(s) for s in sets], np.uint64).view(np.int64))
+            count = [len(t) for t in taken]
+            arrays = [np.concatenate(taken).view(np.int64), *[np.repeat(c, count) for c in columns]]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["hash", *names, "node"])
+
+    schema = ", ".join(f"{c} long" for c in ("hash", *names, "node"))
+    return with_columns_of(schema, of, rows.select(*given, "text"))
+
+
+def met_elsewhere(rows: DataFrame) -> DataFrame:
+    """Those of ``rows(hash, [near,] node)`` whose hash is met under another value of the second column too, and a few more.
+
+    Rows are dealt by ranges, so a hash that very many sets have is split over tasks. A hash at an end of a batch may go on in
+    the next one and stays unchecked; whether a hash stays is so decided for all its rows alike.
+    """
+    names = rows.columns
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, group, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in (names[0], names[1], "node"))
+            new = key[1:] != key[:-1]
+            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+            ends = np.append(starts[1:], len(key))
+            met = group[starts] != group[ends - 1]
+            met[[0, -1]] = True
+            kept = np.repeat(met, ends - starts)
+            kept[1:] &= new | (node[1:] != node[:-1])
+            yield batch.filter(pa.array(kept))
+
+    return rows.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(of, rows.schema)
+
+
+def missed(folded: DataFrame, near: DataFrame, texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(node, label)`` that links sets of similarity 0.8 or more with different ``near``: those that share no table's bits.
+
+    None is lost. A set of n elements that is similar to another has at least 0.8 n of them in common with it. So it is left
+    out only if fewer of its elements are met in sets of another ``near`` at all: first of its least hashes, whose number is
+    enough to tell most sets, then, for the sets still there, of all. Of what is left, two similar sets share one of the
+    rarest of their common elements (as many as may be lacking, and one). Sets that share such a one are compared exactly.
+    """
+    own = folded.filter("size > 3").join(near.hint("merge"), "node", "left")
+    own = own.select("node", F.coalesce("near", "node").alias("near"), "size", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+
+    def having(rows: DataFrame, least: str) -> DataFrame:
+        """The sets that have so many of ``rows``."""
+        count = rows.groupBy("node").agg(F.count("*").alias("met"))
+        return materialize(own.join(count.hint("merge"), "node").filter(f"met >= {least}"), "copies-left")
+
+    rows = materialize(met_elsewhere(hash_rows(texts, (), head)), "copies-heads")
+    left = having(rows, COMMON_HEAD)
+    rows = rows.join(left.hint("merge"), "node").select("hash", "near", "node")
+    left = having(met_elsewhere(rows), COMMON_HEAD)
+    wanted = texts.join(left.select("near", "node", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["node"])
+    wanted = materialize(wanted, "copies-left-texts")
+    rows = materialize(met_elsewhere(hash_rows(wanted, ("near",), lambda s: s)), "copies-common")
+    left = having(rows, COMMON)
+    rows = rows.join(left.select("node", "size", "met").hint("merge"), "node")
+    rows = rows.join(rows.groupBy("hash").agg(F.count("*").alias("holders")).hint("merge"), "hash")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "hash"))
+    rarest = materialize(rows.withColumn("rank", rank).filter(f"rank <= met - {COMMON} + 1").select("hash", "node"), "copies-rarest")
+    first = rarest.groupBy("hash").agg(F.min("node").alias("first"))
+    group = components(rarest.join(first.hint("merge"), "hash").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    left = left.drop("near").join(group.withColumnRenamed("label", "near").hint("merge"), "node")
+    return labelled(left.select("near", "node", "size", "k1", "k2"), wanted.select("k1", "k2", "text"), block)
+
+
+# --- the stage -----------------------------------------------------------------------------------------------------------
+
+
 def survivors(docs: DataFrame, largest: int = LARGEST_RUN, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with one of each group: the one with the smallest doc_id, once if it is repeated.
 
     Texts are linked if their sets of five-word shingles have similarity (Jaccard) 0.8 or more. Sets that are equal are
     folded. Candidates come from SimHash: a set's long fingerprint has 512 bits, and a table samples 16 of them; candidates
     agree in those of one of TABLES tables and differ in at most WIDE of 192 bits. Sets at 0.8 differ in a bit with a
-    chance of 0.152 and meet in no table with one of 6e-4, at 0.85 of 1e-5 (computed for independent bits). Candidates only
-    gather texts, whose sets are then compared exactly. Bits that more
+    chance of 0.152 and meet in no table with one of 6e-4, at 0.85 of 1e-5 (computed for independent bits), short ones more
+    often. Candidates only gather texts, whose sets are then compared exactly; sets that no table has gathered are found by
+    their rarest common shingles and compared likewise (``missed``), so no link is lost whatever the bits. Bits that more
     than ``largest`` sets share gather all of them, and candidates of more than ``block`` shingles are compared block by
-    block, so no table's bits, group or set of candidates is held whole and no link is lost. Texts without words are equal. A
+    block, so no table's bits, group or set of candidates is held whole. Texts without words are equal. A
     group without any doc_id keeps one of its rows; a row is chosen by doc_id and content, so rows of one doc_id with
     different texts stay if their groups differ.
     """
@@ -665,6 +767,9 @@ def survivors(docs: DataFrame, largest: int = LARGEST_RUN, block: int = BLOCK) -
     near = candidates(folded, largest)
     wanted = folded.join(near.hint("merge"), "node").select("near", "node", "size", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     label = labelled(materialize(wanted, "copies-wanted"), texts, block)
+    more = missed(folded, near, texts, block).filter("node <> label")
+    if not more.isEmpty():
+        label = components(label.union(more).select(F.col("node").alias("a"), F.col("label").alias("b")))
     groups = folded.select("node", "first").join(label.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("first").alias("first"))
     own = [fresh(docs, "own_k1"), fresh(docs, "own_k2")]
     kept = groups.select(F.col("first.k1").alias(own[0]), F.col("first.k2").alias(own[1]))
