@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnguard.llm.columns import fresh, only, spread, utf8, with_columns_of
-from txnguard.llm.graph import components
+from txnguard.llm.graph import SALTS, components
 from txnguard.workdir import materialize
 
 BITS = 64
@@ -726,16 +726,19 @@ def missed(folded: DataFrame, near: DataFrame, texts: DataFrame, block: int = BL
     left = having(rows, COMMON_HEAD)
     rows = rows.join(left.hint("merge"), "node").select("hash", "near", "node")
     left = having(met_elsewhere(rows), COMMON_HEAD)
-    wanted = texts.join(left.select("near", "node", "k1", "k2"), ["k1", "k2"]).dropDuplicates(["node"])
+    wanted = texts.join(left.select("near", "node", "k1", "k2").hint("merge"), ["k1", "k2"]).dropDuplicates(["node"])
     wanted = materialize(wanted, "copies-left-texts")
     rows = materialize(met_elsewhere(hash_rows(wanted, ("near",), lambda s: s)), "copies-common")
     left = having(rows, COMMON)
     rows = rows.join(left.select("node", "size", "met").hint("merge"), "node")
     rows = rows.join(rows.groupBy("hash").agg(F.count("*").alias("holders")).hint("merge"), "hash")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "hash"))
-    rarest = materialize(rows.withColumn("rank", rank).filter(f"rank <= met - {COMMON} + 1").select("hash", "node"), "copies-rarest")
-    first = rarest.groupBy("hash").agg(F.min("node").alias("first"))
-    group = components(rarest.join(first.hint("merge"), "hash").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")  # many sets can share a hash
+    rarest = materialize(rows.withColumn("rank", rank).filter(f"rank <= met - {COMMON} + 1").select("hash", salt, "node"), "copies-rarest")
+    first = rarest.groupBy("hash", "salt").agg(F.min("node").alias("first"))
+    least = first.groupBy("hash").agg(F.min("first").alias("least"))
+    links = rarest.join(first.hint("merge"), ["hash", "salt"]).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    group = components(links.union(first.join(least.hint("merge"), "hash").select("first", "least")))
     left = left.drop("near").join(group.withColumnRenamed("label", "near").hint("merge"), "node")
     return labelled(left.select("near", "node", "size", "k1", "k2"), wanted.select("k1", "k2", "text"), block)
 
